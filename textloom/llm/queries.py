@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, sstable
+from . import packing, simhash, sstable, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op4_simhash_near_dedup": simhash.query,
     "op6_best_fit_packing": packing.query,
     "op7_sstable_output": sstable.query,
