@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, partitions, table
-from .tokens import Encoder
+from .tokens import encoder
 
 CAPACITY = 2048
 END = 0
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def task(batches):
         enc = None
         for batch in batches:
-            enc = enc or Encoder(tokenizer, end_id)
+            enc = enc or encoder(tokenizer, end_id)
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for i in range(0, len(ids), 256):
                 rows = []

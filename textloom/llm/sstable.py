@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, partitions, table
-from .tokens import Encoder
+from .tokens import encoder
 
 MAGIC = b"TLSST001"
 FOOTER = struct.Struct("<QIQIIQB8s")
@@ -179,7 +179,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
         total, last, ordinal, ends = 0, object(), 0, []
         for batch in batches:
             if writer is None:
-                enc = Encoder(tokenizer, END)
+                enc = encoder(tokenizer, END)
                 store, at = open_fs(folder)
                 store.create_dir(at, recursive=True)
                 name = f"{part:06d}-{uuid.uuid4().hex}.sst"
