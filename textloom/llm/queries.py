@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, sstable, toxicity
+from . import decontaminate, packing, simhash, sstable, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op4_simhash_near_dedup": simhash.query,
+    "op5_benchmark_decontamination": decontaminate.query,
     "op6_best_fit_packing": packing.query,
     "op7_sstable_output": sstable.query,
 }
