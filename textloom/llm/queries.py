@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, simhash, sstable, toxicity
+from . import chat, decontaminate, packing, simhash, sstable, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op3_chat_formatting": chat.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_best_fit_packing": packing.query,
     "op7_sstable_output": sstable.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_chat_formatting": chat.SQL,
+}
