@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, simhash, sstable, toxicity
+from . import chat, decontaminate, packing, quality, simhash, sstable, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_best_fit_packing": packing.query,
     "op7_sstable_output": sstable.query,
+    "op9_quality_rules": quality.query,
 }
 
 ORACLE: dict[str, str] = {
