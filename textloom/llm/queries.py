@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, quality, simhash, sstable, toxicity
+from . import chat, decontaminate, lm, packing, quality, simhash, sstable, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op7_sstable_output": sstable.query,
     "op9_quality_rules": quality.query,
+    "op10_lm_scoring": lm.query,
 }
 
 ORACLE: dict[str, str] = {
