@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm, packing, quality, simhash, sstable, toxicity
+from . import chat, decontaminate, lm, packing, quality, simhash, sstable, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_suffix_array_dedup": suffix_dedup.query,
     "op3_chat_formatting": chat.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_benchmark_decontamination": decontaminate.query,
