@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm, packing, quality, simhash, sstable, suffix_dedup, toxicity
+from . import chat, compact, decontaminate, lm, packing, quality, simhash, sstable, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_best_fit_packing": packing.query,
     "op7_sstable_output": sstable.query,
+    "op8_compact_windows": compact.query,
     "op9_quality_rules": quality.query,
     "op10_lm_scoring": lm.query,
 }
