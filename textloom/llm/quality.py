@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .native import pairs, words
+from .native import with_grams, words
 
 # Frequent function words of English, German, Spanish and French, in one alphabetical list
 COMMON = (
@@ -36,31 +36,33 @@ def _without(text: Column, what: str) -> Column:
     return F.length(F.regexp_replace(text, what, ""))
 
 
-def _repeated(ws: Column) -> Column:
-    """Words in windows of eight that occur twice or more: windows are compared by hash, their places by order."""
-    one = F.transform(ws, lambda w: F.xxhash64(w))
-    two = pairs(one, one, 1)
-    four = pairs(two, two, 2)
-    return pairs(four, four, 4)
+def _with_covered(df: DataFrame, name: str) -> DataFrame:
+    """Turns ``windows`` (a hash for each window of eight words) into ``name``: words in windows that occur twice or more.
 
-
-def _covered(windows: Column) -> Column:
-    n = F.size(windows)
-    at = F.array_sort(F.zip_with(windows, F.sequence(F.lit(0), n - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    last = F.lit(None).cast("struct<h:bigint,i:int>")
-    before = F.concat(F.array(last), F.slice(at, 1, n - 1))
-    after = F.concat(F.slice(at, F.lit(2), n - 1), F.array(last))
-    twice = F.zip_with(F.zip_with(at, before, lambda x, y: F.struct(x["i"].alias("i"), x["h"].alias("h"), (x["h"] == y["h"]).alias("same"))), after, lambda x, y: F.when(x["same"] | (x["h"] == y["h"]), x["i"]))
-    places = F.array_sort(F.filter(twice, lambda i: i.isNotNull()))
-    gaps = F.zip_with(places, F.slice(places, F.lit(2), F.greatest(F.size(places) - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
-    return F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)
+    Texts whose windows all differ skip the steps. The others sort (hash, place), keep places whose hash a neighbour has, and add up
+    what each place covers before the next.
+    """
+    keep = [F.col(c) for c in df.columns if c != "windows"]
+    some = lambda x: F.when(F.col("dups"), x)
+    none = F.lit(None).cast("struct<h:bigint,i:int>")
+    n = F.size("windows")
+    df = df.withColumn("dups", F.size(F.array_distinct("windows")) < n)
+    df = df.select(*keep, "dups", some(F.array_sort(F.zip_with("windows", F.sequence(F.lit(0), n - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("at"))
+    m = F.size("at")
+    df = df.select(*keep, "dups", "at", some(F.concat(F.array(none), F.slice("at", 1, m - 1))).alias("before"), some(F.concat(F.slice("at", F.lit(2), m - 1), F.array(none))).alias("after"))
+    same = F.zip_with("at", "before", lambda x, y: F.struct(x["i"].alias("i"), x["h"].alias("h"), (x["h"] == y["h"]).alias("same")))
+    twice = F.zip_with(same, "after", lambda x, y: F.when(x["same"] | (x["h"] == y["h"]), x["i"]))
+    df = df.select(*keep, "dups", some(F.array_sort(F.filter(twice, lambda i: i.isNotNull()))).alias("places"))
+    gaps = F.zip_with("places", F.slice("places", F.lit(2), F.greatest(F.size("places") - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    return df.select(*keep, F.coalesce(some(F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0).cast("long")).alias(name))
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes (as CLASSES), common (as COMMON)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text")).withColumn("words", words(F.col("text")))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    out = with_grams(out, F.col("words"), WINDOW, "windows")
     sorted_common = F.array_sort(F.concat(F.filter(F.transform("words", F.lower), lambda w: w.isin(COMMON)), F.array(*map(F.lit, sorted(COMMON)))))
     out = out.select(
         "doc_id",
@@ -73,8 +75,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         _without(F.col("text"), "[A-Z]+").alias("no_upper"),
         _without(F.col("text"), "[0-9]+").alias("no_digit"),
         _without(F.col("text"), r"[^\x00-\x7F]+").alias("no_beyond"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("words")).alias("windows"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        "windows",
         sorted_common.alias("sorted"),
     )
     chars = F.col("chars")
@@ -83,15 +85,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     # every common word stands in the sorted list once more than in the text, so its runs are the words in alphabetical order
     starts = F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda i: (i == 1) | (F.col("sorted")[i - 1] != F.col("sorted")[F.greatest(i - 2, F.lit(0))]))
     runs = F.zip_with("starts", F.concat(F.slice("starts", 2, len(COMMON) - 1), F.array(F.size("sorted") + 1)), lambda a, b: b - a - 1)
-    same = F.size(F.array_distinct("windows")) == F.size("windows")
-    return out.withColumn("starts", starts).select(
+    return _with_covered(out, "n_repeat_words").withColumn("starts", starts).select(
         "doc_id",
         "lang",
         "n_words",
         "word_chars",
         n["symbol"].cast("long").alias("n_symbols"),
         "n_dup_lines",
-        F.when(same, F.lit(0).cast("long")).otherwise(_covered(F.col("windows"))).alias("n_repeat_words"),
+        "n_repeat_words",
         F.array(*[n[c].cast("long") for c in CLASSES]).alias("classes"),
         F.transform(runs, lambda x: x.cast("long")).alias("common"),
     )
@@ -109,28 +110,33 @@ def references(own: DataFrame) -> list[tuple[list[int], list[int]]]:
     return out
 
 
-def distance(counts: Column, reference: list[int]) -> Column:
+def distance(counts: Column, total: Column, reference: list[int]) -> Column:
     """Jensen-Shannon distance of a histogram to a reference: 0 for equal shares, 1 where nothing is shared."""
-    total = float(sum(reference)) or 1.0
-    sure = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    both = F.zip_with(counts, F.array(*[F.lit(x / total) for x in reference]), lambda c, q: F.struct((c / F.greatest(sure, F.lit(1))).alias("p"), q.alias("q")))
-    parts = F.transform(both, lambda x: (term(x["p"], (x["p"] + x["q"]) / 2) + term(x["q"], (x["p"] + x["q"]) / 2)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    whole = float(sum(reference)) or 1.0
+
+    def part(c: Column, q: Column) -> Column:
+        p = c / total
+        return F.when(c > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0)) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(F.lit(0.0))
+
+    parts = F.zip_with(counts, F.array(*[F.lit(x / whole) for x in reference]), part)
+    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
 def judge(own: DataFrame, known: list[tuple[list[int], list[int]]]) -> DataFrame:
     """Adds base_failed, class_distance, word_distance (to the nearest reference, in 6 digits) and kept to ``features``."""
-    worded = F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x)))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+    one = F.lit(1).cast("long")
+    own = own.withColumns({"chars": F.greatest(total("classes"), one), "others": F.col("n_words") - total("common"), "total": F.greatest(F.col("n_words"), one)})
+    own = own.withColumn("worded", F.concat("common", F.array("others")))
     nearest = lambda xs: F.round(F.array_min(F.array(*xs)), 6) if xs else F.lit(0.0)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    out = own.withColumn("worded", worded).withColumns({
-        "base_failed": failed,
-        "class_distance": nearest([distance(F.col("classes"), c) for c, _ in known]),
-        "word_distance": nearest([distance(F.col("worded"), w) for _, w in known]),
+    out = own.withColumns({
+        "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
+        "class_distance": nearest([distance(F.col("classes"), F.col("chars"), c) for c, _ in known]),
+        "word_distance": nearest([distance(F.col("worded"), F.col("total"), w) for _, w in known]),
     })
     short = (F.col("word_chars") < GUARD_CHARS) | (F.col("n_words") < GUARD_WORDS)
-    return out.withColumn("kept", ~F.col("base_failed") & (short | ((F.col("class_distance") <= FAR_CLASSES) & (F.col("word_distance") <= FAR_WORDS)))).drop("worded")
+    kept = ~F.col("base_failed") & (short | ((F.col("class_distance") <= FAR_CLASSES) & (F.col("word_distance") <= FAR_WORDS)))
+    return out.withColumn("kept", kept).drop("chars", "others", "total", "worded")
 
 
 def rate(ws: Workspace, docs: DataFrame, **columns: str) -> DataFrame:
