@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import entities, joins, metrics, retrieval, windows  # noqa: F401
+from .queries import entities, joins, metrics, quality, retrieval, text, windows  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -9,9 +9,10 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -51,7 +52,7 @@ def main_text(html: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(main_text)
 
@@ -75,7 +76,7 @@ def semesters(text: str | None) -> list[int]:
     return sorted(x for x in found if 1 <= x <= 12)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def semester_list(texts: pd.Series) -> pd.Series:
     return texts.map(semesters)
 
@@ -105,7 +106,7 @@ def porter(word: str) -> str:
     return stem[:-1] + "i" if stem.endswith("y") and any(c in _VOWELS for c in stem[:-1]) else stem
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [porter(t) for t in ts])
 
@@ -114,7 +115,7 @@ def closest(vocabulary: dict[str, int], ratio: float = 0.8, most: int = 3):
     """A UDF that gives the most frequent of the closest known words; known and hopeless words stay. The vocabulary is bounded by the caller."""
     words = list(vocabulary)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def fix(tokens: pd.Series) -> pd.Series:
         def one(t):
             if t is None or t in vocabulary:
@@ -140,6 +141,6 @@ def rouge_l(a: list[str], b: list[str]) -> float:
     return 2 * p * r / (p + r) if p + r else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l_f(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rouge_l([porter(x) for x in (u if u is not None else [])], [porter(x) for x in (v if v is not None else [])]) for u, v in zip(a, b)])
