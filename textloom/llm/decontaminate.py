@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .native import pairs, words
+from .native import with_grams, words
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -29,11 +29,9 @@ BLOCKS = (13, 13, 13, 13, 12)
 TEST = 20_000
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of five-word shingles of the lower-cased words, in order."""
-    one = F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
-    two = pairs(one, one, 1)
-    return pairs(pairs(two, two, 2), one, 4)
+def with_shingles(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``sh``: hashes of five-word shingles of the lower-cased words, in order."""
+    return with_grams(df, words(F.lower(text)), SHINGLE, "sh")
 
 
 def fingerprint(hashes: Column, n: Column) -> Column:
@@ -80,7 +78,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item, sh, m, item_fp. Items of fewer than five words have no shingle and meet nothing."""
-    out = benchmark.select(F.col(id_col).alias("item"), shingles(F.col(text_col)).alias("sh")).where(F.size("sh") > 0)
+    out = with_shingles(benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")), F.col("text")).drop("text").where(F.size("sh") > 0)
     out = out.withColumn("m", F.size("sh"))
     return out.withColumn("item_fp", fingerprint(F.col("sh"), F.col("m"))).distinct()
 
@@ -98,8 +96,11 @@ def contaminated(ws: Workspace, docs: DataFrame, benchmark: DataFrame, id_col: s
     # the benchmark is the stated query set; its shingles are tested for in blocks
     hashes = [r["h"] for r in listed.select("h").distinct().toLocalIterator()]
     tests = [f"exists(sh, x -> x in ({','.join(map(str, hashes[i : i + TEST]))}))" for i in range(0, len(hashes), TEST)] or ["false"]
-    own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), shingles(F.col(text_col)).alias("sh"))
-    own = ws.save(own.where(F.expr(" or ".join(tests))).withColumn("n", F.size("sh")), "touched").distinct()
+    own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    own = with_shingles(own, F.col("text")).drop("text")
+    # a filter would be pushed below the steps that make the shingles and repeat them all; a generator is not
+    own = own.select("doc", "th", F.explode(F.when(F.expr(" or ".join(tests)), F.array("sh"))).alias("sh"))
+    own = ws.save(own.withColumn("n", F.size("sh")), "touched").distinct()
 
     hit = own.select("doc", "th", "n", F.posexplode("sh").alias("pos", "h")).join(listed, "h").select("doc", "th", "n", "item", "m", "pos").distinct()
     size = F.least("m", "n")
