@@ -47,7 +47,7 @@ def abbreviate(text: Column) -> Column:
 def typo(text: Column) -> Column:
     """Two neighbouring letters inside the text swapped, at a place that the text's digest names; null for short texts."""
     n = F.length(text)
-    j = (digest_int(text, F.lit("typo")) % (n - 2) + 2).cast("int")
+    j = (digest_int(text, F.lit("typo")) % F.greatest(n - 2, F.lit(1)) + 2).cast("int")
     out = F.concat(F.substring(text, F.lit(1), j - 1), F.substring(text, j + 1, F.lit(1)), F.substring(text, j, F.lit(1)), F.substring(text, j + 2, n))
     return F.when((n >= 8) & (out != text), out)
 
