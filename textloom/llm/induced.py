@@ -18,6 +18,8 @@ import tempfile
 import numpy as np
 
 CAP = np.int32(1 << 30)
+#: Entries that are tried at once, by the square root of the text's length: more of them more often meet in one range.
+STEP = 1.0
 
 
 class Store:
@@ -172,7 +174,7 @@ class _Pass:
         live = np.flatnonzero(weight)
         live = live if self.up else live[::-1]
         upto = np.cumsum(weight[live])
-        step, i = max(256, 2 * int(len(self.text) ** 0.5)), 0
+        step, i = max(128, int(STEP * len(self.text) ** 0.5)), 0
         while i < len(live):
             j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + step, "right")))
             chars = live[i:j]

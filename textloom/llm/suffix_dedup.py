@@ -25,12 +25,12 @@ from .common import Workspace, partitions, table
 from .induced import suffixes
 
 LENGTH = 400
-GRAM = 64
+GRAM = 160
 #: Different runs of one anchor that a shard sorts; of more, the runs are dealt anew by the next number of distances.
-CROWD, BLOCKS = 8192, (32, 4, 1)
+CROWD, BLOCKS = 4096, (32, 4, 1)
 #: Bytes that are suffix-sorted at once where anchors allow it, and runs for each task.
-SORTED, RUNS = 3 << 20, 6000
-RUN = "doc_id long, th long, first int, n int, h long, ch long, again boolean"
+SORTED, RUNS = 3 << 19, 6000
+RUN = "doc_id long, th long, first int, n int, h long, ch long, known boolean"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,14 +84,30 @@ def _places(x: np.ndarray, at: np.ndarray, w: int, first: bool) -> np.ndarray:
 
 
 def runs(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(first window, windows, anchor hash, hash of the bytes, whether the anchor's string is there twice) of each run of a text."""
+    """(first window, windows, anchor hash, hash of the bytes, whether known) of each run of a text.
+
+    Where a text repeats itself its anchor stands at several places of one run, which may be as long as the text. Windows that such a
+    run has twice are *known* to be repeats, and come as runs of their own; of each different window the first one stays as a
+    partner for other texts. All other runs have at most ``length - gram + 1`` windows.
+    """
     w, hasher = length - gram + 1, Hasher(b)
     h = hasher.grams(gram)
     least = _window_minima(h, w)
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     n = np.diff(np.append(first, len(least)))
     again = _places(h, first, w, True) != _places(h, first + n - 1, w, False)
-    return first, n, least[first], hasher.of(first, first + n - 1 + length) ^ n.astype(np.uint64), again
+    key, known = least[first], np.zeros(len(first), bool)
+    if again.any():
+        parts = [(first[~again], n[~again], key[~again], known[~again])]
+        for f, m, k in zip(first[again].tolist(), n[again].tolist(), key[again].tolist()):
+            at = np.arange(f, f + m)
+            _, once, inverse, count = np.unique(hasher.of(at, at + length), return_index=True, return_inverse=True, return_counts=True)
+            for places, sure in ((np.sort(once), False), (np.flatnonzero(count[inverse] > 1), True)):
+                if len(places):
+                    cut = np.flatnonzero(np.concatenate(([True], np.diff(places) > 1)))
+                    parts.append((f + places[cut], np.diff(np.append(cut, len(places))), np.full(len(cut), k, np.uint64), np.full(len(cut), sure)))
+        first, n, key, known = (np.concatenate(x) for x in zip(*parts))
+    return first, n, key, hasher.of(first, first + n - 1 + length) ^ n.astype(np.uint64), known
 
 
 def dealt(b: np.ndarray, first: int, n: int, block: int, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -144,7 +160,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-_RUN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("ch", pa.int64()), ("again", pa.bool_())])
+_RUN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("ch", pa.int64()), ("known", pa.bool_())])
 _SPAN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
 
@@ -241,16 +257,17 @@ def repeated_spans(ws: Workspace, docs: DataFrame, length: int = LENGTH, crowd:
 
     ``docs``: doc_id, th (hash of the text), text; rows that repeat both are places of their own and share their spans.
     """
-    found, out = ws.save(_found_runs(docs, length), "runs"), []
+    found = ws.save(_found_runs(docs, length), "runs")
+    span = ("doc_id", "th", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + length).alias("b"))
+    out, found = [found.where("known").select(*span)], found.where("not known")
     for level, block in enumerate((*BLOCKS, None)):
-        kinds = found.groupBy("h", "ch").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "first", "n")).alias("rep"), F.max("again").alias("again"))
+        kinds = found.groupBy("h", "ch").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "first", "n")).alias("rep"))
         kinds = ws.save(kinds, f"kinds-{level}")
-        many = kinds.where("c > 1").select("h", "ch")
-        twice = found.join(many, ["h", "ch"]).select("doc_id", "th", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + length).alias("b"))
-        out.append(ws.save(twice, f"twice-{level}"))
-        by_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("c").alias("least"), F.max("again").alias("any")).where("least = 1 and (kinds > 1 or any)")
-        wanted = kinds.join(by_anchor.select("h", "kinds"), "h").where("kinds > 1 or (c = 1 and again)")
-        wanted = ws.save(wanted.select("rep.*", "h", (F.col("c") == 1).alias("single"), "kinds"), f"wanted-{level}")
+        out.append(ws.save(found.join(kinds.where("c > 1").select("h", "ch"), ["h", "ch"]).select(*span), f"twice-{level}"))
+        # an anchor matters while it has different runs, one of them single
+        by_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("least = 1 and kinds > 1")
+        wanted = kinds.join(by_anchor.select("h", "kinds"), "h").select("rep.*", "h", (F.col("c") == 1).alias("single"), "kinds")
+        wanted = ws.save(wanted, f"wanted-{level}")
         few = wanted if block is None else wanted.where(F.col("kinds") <= crowd)
         out.append(ws.save(_sorted_spans(docs, few, length), f"sorted-{level}"))
         rest = wanted.where(F.col("kinds") > crowd)
@@ -282,9 +299,9 @@ def _kept(b: bytes, cut: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """All documents, with the list of their spans; touching spans of a document come together before the shuffle ends in its row."""
-    lists = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnsRenamed({"doc_id": "d2", "th": "t2"})
-    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["d2"]) & docs["th"].eqNullSafe(lists["t2"]), "left").drop("d2", "t2")
+    """All documents with all their columns, and ``__spans``: the different spans of a document, no more than its bytes."""
+    lists = spans.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_set(F.struct("a", "b")).alias("__spans"))
+    return docs.join(lists, docs["doc_id"].eqNullSafe(F.col("__d")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("__t")), "left").drop("__d", "__t")
 
 
 def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -296,7 +313,7 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
             for i in range(0, len(batch), 256):
                 rows = []
                 for r in batch.slice(i, 256).to_pylist():
-                    b, cut = _bytes(r["text"]), _merged(r["spans"])
+                    b, cut = _bytes(r["text"]), _merged(r["__spans"])
                     kept = _kept(b, cut)
                     rows.append((r["doc_id"], len(b), len(b) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
                 yield _batch(rows, schema)
@@ -312,7 +329,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated bytes, n_chars counted anew. A character that a cut goes through goes as well; nothing else changes."""
-    own = docs.withColumn("th", F.xxhash64("text"))
     with Workspace(spark, "suffix-stage") as ws:
         spans = ws.result(repeated_spans(ws, keyed(docs)), "spans")
         at, kinds = docs.columns, docs.schema
@@ -321,9 +337,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for batch in batches:
                 for i in range(0, len(batch), 256):
                     part = batch.slice(i, 256)
-                    texts = [t if not s else _kept(_bytes(t), _merged(s)).decode("utf-8", "ignore") for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
+                    texts = [t if not s else _kept(_bytes(t), _merged(s)).decode("utf-8", "ignore") for t, s in zip(part.column("text").to_pylist(), part.column("__spans").to_pylist())]
                     new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
                     cols = {c: pa.array(new[c], part.column(c).type) if c in new else part.column(c) for c in at}
                     yield pa.RecordBatch.from_pydict(cols)
 
-        return _with_spans(own, spans).drop("th").mapInArrow(task, kinds)
+        return _with_spans(docs, spans).mapInArrow(task, kinds)
