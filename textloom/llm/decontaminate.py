@@ -138,5 +138,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found; rows that repeat an identifier go together."""
     with Workspace(spark, "decontaminate-stage") as ws:
         found = contaminated(ws, docs, table(spark, sf_dir, "benchmark"))
-        gone = ws.result(found.select(F.col("doc_id").alias("gone")).distinct(), "gone")
-        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+        gone = ws.result(found.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")

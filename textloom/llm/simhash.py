@@ -139,7 +139,7 @@ def _keys(fps: DataFrame, chunks: dict[int, int] | None) -> DataFrame:
 
 def _forest(listed: np.ndarray, asks: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect what is within the radius of each asker; at most one fewer than values."""
-    root, out, step = np.arange(len(listed)), [], max(1, 4_000_000 // max(1, len(listed)))
+    root, out, step = np.arange(len(listed)), [], max(1, 1_000_000 // max(1, len(listed)))
     for i in range(0, len(asks), step):
         close = np.bitwise_count(asks[i : i + step, None] ^ listed[None, :]) <= radius
         for row in np.flatnonzero(close.sum(axis=1) > 1):
@@ -211,5 +211,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with Workspace(spark, "simhash-stage") as ws:
         own = near_duplicates(ws, docs)
         gone = own.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("not stays")
-        gone = ws.result(gone.select(F.col("doc_id").alias("gone")), "gone")
-        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+        gone = ws.result(gone.select(F.col("doc_id").alias("__gone")), "gone")
+        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")

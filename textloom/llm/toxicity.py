@@ -97,7 +97,7 @@ def fit(texts: list[tuple[str, int]], share: float | None = None) -> Model:
     rare = [r for r in rare if len(r) > 8]
     ordinary = _trained(ORDINARY_BYTES, [w for t in plain[:3000] for w in windows(t)][:150_000])
     model = Model(ordinary, _trained(TOXIC_BYTES, rare))
-    return Model(ordinary, model.toxic, _logistic(np.array([model.features(t) for t, _ in check]).reshape(len(check), -1), np.array([y for _, y in check]), share))
+    return Model(ordinary, model.toxic, _logistic(np.array([model.features(t) for t, _ in check]).reshape(len(check), len(MARGINS) + 1), np.array([y for _, y in check]), share))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: float | None) -> tuple[float, ...]:
