@@ -140,3 +140,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         found = contaminated(ws, docs, table(spark, sf_dir, "benchmark"))
         gone = ws.result(found.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
         return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+
+
+#: The same rows without fingerprints: every window that begins at a shared place, by the similarity itself.
+SQL = f"""
+with d as (select doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from (select distinct doc_id, text from documents)),
+b as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from benchmark),
+ds as (select doc_id, hash(text) as th, len(w) - 4 as n, pos, array_to_string(w[pos + 1 : pos + 5], ' ') as g from (select *, unnest(range(0, len(w) - 4)) as pos from d where len(w) >= 5)),
+bs as (select item_id, len(w) - 4 as m, array_to_string(w[pos + 1 : pos + 5], ' ') as g from (select *, unnest(range(0, len(w) - 4)) as pos from b where len(w) >= 5)),
+bc as (select item_id, m, g, count(*) as c from bs group by all),
+hit as (select doc_id, th, n, item_id, m, least(m, n) as size, pos from ds join bc using (g)),
+enough as (select doc_id, th, item_id from hit group by doc_id, th, item_id having count(*) >= min(ceil({SIMILAR} / {1 + SIMILAR} * (m + size) - 1e-9))),
+starts as (select distinct doc_id, th, item_id, m, size, least(pos, n - size) as start from hit join enough using (doc_id, th, item_id)),
+win as (select doc_id, th, item_id, m, size, start, ds.g, count(*) as c from starts join ds using (doc_id, th) where pos between start and start + size - 1 group by all),
+shared as (select doc_id, th, item_id, win.m as m, size, start, sum(least(win.c, bc.c)) as o from win join bc using (item_id, g) group by all),
+sim as (select *, o / (size + m - o) as s from shared),
+best as (select *, row_number() over (partition by doc_id, th, item_id order by s desc, start) as k from sim where s >= {SIMILAR} - 1e-12)
+select doc_id, item_id, cast(start as int) as start, cast(size + 4 as int) as n_words, round(s, 6) as similarity from best where k = 1
+"""

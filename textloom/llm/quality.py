@@ -153,3 +153,49 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Workspace(spark, "op9") as ws:
         out = rate(ws, table(spark, sf_dir, "documents"))
         return ws.result(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"))
+
+
+_LIST = "[" + ", ".join(f"'{w}'" for w in sorted(COMMON)) + "]"
+
+#: The same rows: windows as texts rather than hashes, histograms as rows rather than arrays.
+SQL = f"""
+with base as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as t from documents),
+w as (select r, doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from base),
+eights as (select r, i, array_to_string(w[i : i + 7], ' ') as g from (select r, w, unnest(range(1, len(w) - 6)) as i from w where len(w) >= 8)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, g) as n from eights) where n > 1),
+covered as (select r, sum(least(8, coalesce(gap, 8))) as n from (select r, lead(i) over (partition by r order by i) - i as gap from twice) group by r),
+lines as (select r, count(*) - count(distinct l) as n from (select r, unnest(string_split(t, chr(10))) as l from base) where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by r),
+n as (
+  select r, doc_id, lang, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) as chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as symbol, length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) as lower_n,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as upper_n, length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) as digit_n,
+    length(t) - length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) as beyond_n
+  from w
+),
+classes as (
+  select r, lang, unnest(['lower', 'upper', 'digit', 'symbol', 'beyond', 'space', 'rest']) as k,
+    unnest([lower_n, upper_n, digit_n, symbol, beyond_n, chars - word_chars, word_chars - lower_n - upper_n - digit_n - symbol - beyond_n]) as c from n
+),
+found as (select r, x as k, count(*) as c from (select r, unnest(w) as y from w) join (select unnest({_LIST}) as x) on lower(y) = x group by all),
+worded as (
+  select r, lang, k, coalesce(c, 0) as c from n cross join (select unnest({_LIST}) as k) left join found using (r, k)
+  union all select n.r, lang, '~', n_words - coalesce(s, 0) from n left join (select r, sum(c) as s from found group by r) f on f.r = n.r
+),
+refs as (select lang as ref from n group by lang having sum(n_words) > {SHARE} * (select sum(n_words) from n)),
+ref_class as (select lang as ref, k, sum(c) / sum(sum(c)) over (partition by lang) as q from classes where lang in (select ref from refs) group by lang, k),
+ref_word as (select lang as ref, k, sum(c) / sum(sum(c)) over (partition by lang) as q from worded where lang in (select ref from refs) group by lang, k),
+paired as (
+  select 'class' as kind, r, ref, c / greatest(sum(c) over (partition by r, ref), 1) as p, q from classes join ref_class using (k)
+  union all select 'word', r, ref, c / greatest(sum(c) over (partition by r, ref), 1), q from worded join ref_word using (k)
+),
+far as (
+  select kind, r, ref, sqrt(greatest(sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2, 0)) as d from paired group by all
+),
+near as (select r, round(min(d) filter (kind = 'class'), 6) as class_distance, round(min(d) filter (kind = 'word'), 6) as word_distance from far group by r),
+judged as (
+  select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(symbol as bigint) as n_symbols, cast(coalesce(l.n, 0) as bigint) as n_dup_lines, cast(coalesce(v.n, 0) as bigint) as n_repeat_words,
+    n_words < {MIN_WORDS} or 100 * coalesce(v.n, 0) > {MAX_REPEATED} * n_words as base_failed, class_distance, word_distance
+  from n join near using (r) left join lines l on l.r = n.r left join covered v on v.r = n.r
+)
+select *, not base_failed and (word_chars < {GUARD_CHARS} or n_words < {GUARD_WORDS} or (class_distance <= {FAR_CLASSES} and word_distance <= {FAR_WORDS})) as kept from judged
+"""

@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_suffix_array_dedup": suffix_dedup.SQL,
     "op3_chat_formatting": chat.SQL,
+    "op5_benchmark_decontamination": decontaminate.SQL,
+    "op9_quality_rules": quality.SQL,
 }

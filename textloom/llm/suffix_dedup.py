@@ -343,3 +343,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict(cols)
 
         return _with_spans(docs, spans).mapInArrow(task, kinds)
+
+
+#: The same rows window by window, over hexadecimal digits as DuckDB's strings count characters.
+SQL = f"""
+with b as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select r, i, md5_number(substr(x, 2 * i + 1, 2 * {LENGTH})) as h from (select r, x, unnest(range(0, greatest(length(x) // 2 - {LENGTH} + 1, 0))) as i from b)),
+twice as (select r, i from (select r, i, count(*) over (partition by h) as n from w) where n > 1),
+marked as (select r, i, case when i > lag(i) over (partition by r order by i) + {LENGTH} then 1 else 0 end as fresh from twice),
+spans as (select r, min(i) as a, max(i) + {LENGTH} as z from (select r, i, sum(fresh) over (partition by r order by i rows unbounded preceding) as k from marked) group by r, k),
+parts as (
+  select r, a as place, substr(x, 2 * before + 1, 2 * (a - before)) as part, z - a as cut from (select *, coalesce(lag(z) over (partition by r order by a), 0) as before from spans) join b using (r)
+  union all select r, 1e15, substr(x, 2 * coalesce(last, 0) + 1), 0 from b left join (select r, max(z) as last from spans group by r) using (r)
+),
+kept as (select r, string_agg(part, '' order by place) as k, sum(cut) as n_removed, count(*) - 1 as n_spans from parts group by r)
+select doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(n_removed as bigint) as n_removed, n_spans, sha256(unhex(k)) as kept_sha256 from b join kept using (r)
+"""
