@@ -123,3 +123,19 @@ def test_split_keeps_groups_whole(spark):
 
 def test_markdown(spark):
     assert Q.markdown(spark.createDataFrame([(1, None)], "a int, b string")) == "| a | b |\n| --- | --- |\n| 1 |  |"
+
+
+def test_models_save_and_load(spark, tmp_path):
+    from textloom.operators import learning as L
+
+    rows = [(i, ("pay the fee now " if i % 2 else "open the hall door ") + f"w{i}", float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, label double")
+    fitted = L.features(n=256).fit(df)
+    L.save(fitted, str(tmp_path / "m"))
+    assert L.load(str(tmp_path / "m")).transform(df).count() == 40
+    with pytest.raises(L.ModelMissing):
+        L.load(str(tmp_path / "none"))
+    folds = L.cross_validate(df, "complement_nb", "id", folds=2)
+    assert folds.count() == 40 and folds.where("label = prediction").count() == 40
+    weights = {r["label"]: r["weight"] for r in L.balanced(df.where("id < 30")).select("label", "weight").distinct().collect()}
+    assert weights == {0.0: 1.0, 1.0: 1.0}
