@@ -151,5 +151,5 @@ with m as (select lang from documents group by lang order by count(*) desc, lang
 """)
 def majority_baseline(spark, d):
     by = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    top = by.agg(F.sum("n").alias("n"), F.max(F.struct("n")).alias("m"))
-    return top.crossJoin(by.orderBy(F.desc("n"), "lang").limit(1).select(F.col("lang").alias("predicted"), F.col("n").alias("k"))).select("predicted", "n", F.round(F.col("k") / F.col("n"), 6).alias("accuracy"))
+    top = by.agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("predicted"), F.sum("n").alias("rows"), F.max("n").alias("most"))
+    return top.select("predicted", F.col("rows").alias("n"), F.round(F.col("most") / F.col("rows"), 6).alias("accuracy"))
