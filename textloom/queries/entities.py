@@ -143,3 +143,19 @@ def gazetteer_tags(spark, d):
     lexicon = spark.createDataFrame([("of the", "PAIR"), ("the", "ARTICLE")], "phrase string, label string")
     toks = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(tokens(F.col("text"), "[a-z]+")).alias("pos", "token"))
     return E.gazetteer(toks, F.broadcast(lexicon), longest=2).groupBy("doc_id", "label").agg(F.count("*").alias("found"))
+
+
+@query("sequence_tagger")
+def sequence_tagger(spark, d):
+    """A tagger fitted on a bounded sample of notes with rule entities, and its token accuracy over all notes by tag."""
+    from ..operators import tagging
+
+    tok = E.offset_tokens("text")
+    rows = notes(spark, d).select("o_orderkey", tok.alias("t"), E.rule_entities("text").alias("e"))
+    inside = lambda t, e: (t["start"] >= e["start"]) & (t["end"] <= e["end"])
+    entity = lambda t: F.get(F.filter("e", lambda e: inside(t, e)), F.lit(0))
+    gold = F.transform("t", lambda t: F.when(entity(t).isNull(), "O").otherwise(F.concat(F.when(entity(t)["start"] == t["start"], "B-").otherwise("I-"), entity(t)["label"])))
+    rows = rows.select("o_orderkey", F.transform("t", lambda t: t["text"]).alias("words"), gold.alias("gold"))
+    tagger = tagging.fit_sample(rows, "words", "gold", "o_orderkey", 200)
+    both = rows.select(F.explode(F.arrays_zip("gold", tagging.tag(tagger, F.col("words")).alias("pred"))).alias("x"))
+    return both.groupBy(F.col("x.gold").alias("tag")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("x.gold") == F.col("x.pred")).cast("double")), 6).alias("accuracy"))
