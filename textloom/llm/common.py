@@ -25,6 +25,49 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: What clears a worker's caches; modules that keep something between tasks enter it here.
+CACHES: list = []
+
+
+def release(caches: bool = True) -> None:
+    """Give back what earlier tasks of this Python worker left: workers live on from operator to operator."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    if caches:
+        for clear in CACHES:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
+def tidy(task, caches: bool = True):
+    """A task over Arrow batches that begins without earlier operators' caches and ends without its own leavings."""
+
+    def run(batches):
+        release(caches)
+        yield from task(batches)
+        release(False)
+
+    return run
+
+
+#: Rows of an Arrow batch: texts may be long, and both sides hold whole batches outside the JVM's heap.
+BATCH = "500"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows to a batch, unless the session has chosen a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 class Workspace:
     """Tables in a folder of their own below spark.checkpoint.dir, which driver and executors share.
 
@@ -33,6 +76,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         jvm = spark._jvm
         at = spark.conf.get("spark.checkpoint.dir", None)
         if not at:

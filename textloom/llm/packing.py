@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, table
+from .common import Workspace, partitions, table, tidy
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         at = to
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, ddl)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(task, False), ddl)
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY, per_bucket: int = 100_000) -> DataFrame:
@@ -135,7 +135,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY, per_bucket: int = 100_000) -
             yield pa.RecordBatch.from_pydict(cols)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "rank")
-    return ranked.mapInArrow(task, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(task), f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, plain_words, table
+from .common import Workspace, partitions, plain_words, table, tidy
 from .components import components
 
 SHINGLE = 4
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(task), "doc_id long, fp long")
 
 
 @cache
@@ -134,7 +134,7 @@ def _keys(fps: DataFrame, chunks: dict[int, int] | None) -> DataFrame:
                     chunk = np.arange(len(again)) - np.repeat(np.cumsum(m) - m, m)
                     yield pa.RecordBatch.from_arrays([pa.array(anchor[again] << 24 | chunk), pa.array(fp[row[again]]), pa.array(asks[again] & (chunk == own[again]))], schema=schema)
 
-    return fps.select("fp").mapInArrow(task, "key long, fp long, asks boolean")
+    return fps.select("fp").mapInArrow(tidy(task), "key long, fp long, asks boolean")
 
 
 def _forest(listed: np.ndarray, asks: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -180,7 +180,7 @@ def links(ws: Workspace, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
 
     dealt = _keys(fps, chunks).repartition(partitions(spark, rows, 1_000_000), "key")
-    return ws.save(dealt.mapInArrow(task, "a long, b long").distinct(), "links")
+    return ws.save(dealt.mapInArrow(tidy(task), "a long, b long").distinct(), "links")
 
 
 def near_duplicates(ws: Workspace, docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

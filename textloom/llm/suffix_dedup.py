@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, table
+from .common import Workspace, partitions, table, tidy
 from .induced import suffixes
 
 LENGTH = 400
@@ -177,7 +177,7 @@ def _found_runs(docs: DataFrame, length: int) -> DataFrame:
                 if cols[0]:
                     yield _run_batch(cols)
 
-    return docs.mapInArrow(task, RUN)
+    return docs.mapInArrow(tidy(task), RUN)
 
 
 def _put(cols: list[list], doc: int | None, th: int, own: tuple[np.ndarray, ...]) -> None:
@@ -209,7 +209,7 @@ def _dealt_runs(docs: DataFrame, wanted: DataFrame, block: int, length: int) ->
                 if cols[0]:
                     yield _run_batch(cols)
 
-    return _with_runs(docs, wanted).mapInArrow(task, RUN)
+    return _with_runs(docs, wanted).mapInArrow(tidy(task), RUN)
 
 
 def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -248,8 +248,8 @@ def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             i = j
 
     n = partitions(docs.sparkSession, wanted.count(), RUNS)
-    cuts = _with_runs(docs, wanted).mapInArrow(bring, "h long, doc_id long, th long, first int, n int, single boolean, bytes binary")
-    return cuts.repartition(n, "h").mapInArrow(shard, "doc_id long, th long, a int, b int")
+    cuts = _with_runs(docs, wanted).mapInArrow(tidy(bring), "h long, doc_id long, th long, first int, n int, single boolean, bytes binary")
+    return cuts.repartition(n, "h").mapInArrow(tidy(shard), "doc_id long, th long, a int, b int")
 
 
 def repeated_spans(ws: Workspace, docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
@@ -318,7 +318,7 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     rows.append((r["doc_id"], len(b), len(b) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
                 yield _batch(rows, schema)
 
-    return _with_spans(docs, spans).mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, spans).mapInArrow(tidy(task), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +342,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     cols = {c: pa.array(new[c], part.column(c).type) if c in new else part.column(c) for c in at}
                     yield pa.RecordBatch.from_pydict(cols)
 
-        return _with_spans(docs, spans).mapInArrow(task, kinds)
+        return _with_spans(docs, spans).mapInArrow(tidy(task), kinds)
 
 
 #: The same rows window by window, over hexadecimal digits as DuckDB's strings count characters.

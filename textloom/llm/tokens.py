@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from array import array
 from functools import cache
 
 import numpy as np
 
+from .common import CACHES
+
 #: Pieces learnt before the cache starts anew; about 260 MB of a Python worker.
 CACHE = 1_200_000
 
@@ -77,5 +78,4 @@ def encoder(path: str, end_id: int = 0) -> Encoder:
     return Encoder(path, end_id)
 
 
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
+CACHES.append(encoder.cache_clear)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, plain_words, remainder, table
+from .common import plain_words, remainder, small_batches, table, tidy
 
 WINDOW = 8
 LEVEL = 9
@@ -143,11 +143,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 scores = [sent.value.score(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, "doc_id long, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(task), "doc_id long, score double, predicted int")
 
 
 def learn(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """The model of the labelled rows that are not held out."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
     return fit(*sample(docs, labels))
 
@@ -169,4 +170,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 keep = [sent.value.score(t) < THRESHOLD for t in texts.slice(i, 512).to_pylist()]
                 yield batch.slice(i, 512).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(tidy(task), docs.schema)
