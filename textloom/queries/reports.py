@@ -124,6 +124,7 @@ def response_rows(spark, d):
 def invariance_rate(spark, d):
     """How often personal cues leave the routing label as it was: each request once with each cue."""
     cues = F.array(*[F.struct(F.lit(k).alias("cue"), F.lit(v).alias("said")) for k, v in (("age", "I am 45. "), ("gender", "As a woman, "), ("place", "I live in a village. "), ("health", "I use a wheelchair. "))])
-    rows = table(spark, d, "conversations").where("role = 'user'").select("text", R.route(F.col("text"), RULES)["label"].alias("label"), F.explode(cues).alias("c"))
-    now = R.route(F.concat("c.said", "text"), RULES)["label"]
-    return rows.groupBy("c.cue").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == now).cast("double")), 6).alias("unchanged"))
+    rows = table(spark, d, "conversations").where("role = 'user'").select("text", R.route(F.col("text"), RULES)["label"].alias("label"))
+    rows = rows.select("text", "label", F.explode(cues).alias("c"))
+    rows = rows.select("label", "c.cue", R.route(F.concat("c.said", "text"), RULES)["label"].alias("now"))
+    return rows.groupBy("cue").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("now")).cast("double")), 6).alias("unchanged"))
