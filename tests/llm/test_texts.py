@@ -267,3 +267,45 @@ def test_near_passages(spark):
     assert not {r["doc_id"] for r in got} & {7, 8, 9, 10, 12, 13, 14, 53}
     r = next(r for r in got if (r["doc_id"], r["class_doc_id"]) == (51, 50))
     assert r["start"] == 0 and r["n_words"] >= 50
+
+
+def around(text, other):
+    """Both texts' shingles within reach and the place among them, for each shingle that the texts share."""
+    a, b = ((compact.shingles(t) >> np.uint64(33)).astype(np.int32) for t in (text, other))
+    for x in a[np.isin(a, b)].tolist():
+        at = [t.tolist().index(x) for t in (a, b)]
+        low = [max(0, p - compact.T + 1) for p in at]
+        yield [t[i : p + compact.T] for t, i, p in zip((a, b), low, at)], [p - i for p, i in zip(at, low)]
+
+
+@pytest.mark.parametrize("edit", range(1, 50))
+@pytest.mark.parametrize("kind", ["insertion", "deletion"])
+def test_passages_with_an_edit_of_length(edit, kind):
+    w = [f"w{k}" for k in range(51)]
+    whole, less = w, w[:edit] + w[edit + 1 :]
+    a, b = (whole, less) if kind == "deletion" else (less, whole)
+    for group, at in around(" ".join(a), " ".join(b)):
+        want = compact.alike(group[0], at[0], group[1], at[1]) >= compact.SIMILAR
+        assert compact.classes(group, at) == ([0, 0] if want else [0, 1])
+        if 5 <= edit <= 45:
+            assert want
+
+
+def test_classes_are_those_of_brute_force():
+    r = np.random.default_rng(2)
+    base = r.integers(1, 2**31 - 1, 2 * compact.T - 1, dtype=np.int32)
+    texts_, c = [], compact.T - 1
+    for k in range(40):
+        x = base.copy() if k % 3 else np.resize(base[c - 2 : c + 3], len(base))
+        x[r.choice(len(x), r.integers(0, 30), replace=False)] = r.integers(1, 2**31 - 1)
+        x[c] = base[c]
+        cut = r.integers(0, 46)
+        texts_.append((x[cut:], c - cut) if k % 2 else (x[: len(x) - cut], c))
+    group, at = [x for x, _ in texts_], [p for _, p in texts_]
+    want = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if want[i] != want[j] and compact.alike(group[i], at[i], group[j], at[j]) >= compact.SIMILAR - 1e-9:
+                a, b = sorted((want[i], want[j]))
+                want = [a if v == b else v for v in want]
+    assert compact.classes(group, at) == want

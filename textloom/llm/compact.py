@@ -13,6 +13,8 @@ subsequences. Nodes whose span holds a passage are exactly the minima of passage
 from __future__ import annotations
 
 import math
+from functools import cached_property
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,10 @@ from .common import Workspace, partitions, plain_words, table
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
 #: Shingles of a passage.
 T = PASSAGE - SHINGLE + 1
-#: Passages with similarity 0.8 agree in a function with probability 0.8, in one of two with 0.96; equal passages agree in all.
-HASHES = 2
-#: Places of a passage that agree, one by one, where its similarity is 0.8.
+#: Passages with similarity 0.8 agree in a function with probability 0.8, in one of three with 0.992; equal passages agree in all.
+HASHES = 3
+#: Shingles that passages without repeats share where their similarity is 0.8.
 NEED = math.ceil(2 * T * SIMILAR / (1 + SIMILAR))
-#: Places in a row that agree then, and blocks of which such a run holds two neighbours.
-RUN, BLOCK = -(-NEED // 2), 7
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
@@ -156,16 +156,13 @@ def _pieces(batch: pa.RecordBatch, most: int = 2 << 20):
 
 
 def alike(a: np.ndarray, ca: int, b: np.ndarray, cb: int, t: int = T) -> float:
-    """Greatest Jaccard similarity of passages of t shingles of a and of b that hold their minima, at like distances from them."""
+    """Greatest Jaccard similarity of a passage of t shingles of a and one of b, each holding its text's minimum."""
     best = 0.0
-    for o in range(t):
-        i, j = ca - o, cb - o
-        if 0 <= i <= len(a) - t and 0 <= j <= len(b) - t:
-            x, y = set(a[i : i + t].tolist()), set(b[j : j + t].tolist())
+    sets = [[set(x[i : i + t].tolist()) for i in range(max(0, c - t + 1), min(c, len(x) - t) + 1)] for x, c in ((a, ca), (b, cb))]
+    for x in sets[0]:
+        for y in sets[1]:
             both = len(x & y)
             best = max(best, both / (len(x) + len(y) - both))
-            if best == 1.0:
-                break
     return best
 
 
@@ -177,98 +174,107 @@ def _agreeing(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (sums[..., T:] - sums[..., :-T]).max(axis=-1)
 
 
-def _window_sets(texts: list[np.ndarray], at: list[int], most: int = 150 << 20) -> np.ndarray | None:
-    """Bits of the different shingles of each passage that holds the minimum: (text, distance, words of 64 bits).
+class Group:
+    """Texts around one minimum, on a grid by the distance from it; places outside of a text have numbers below zero."""
+
+    def __init__(self, texts: list[np.ndarray], at: list[int]):
+        self.n = n = len(texts)
+        self.grid = grid = np.repeat(-1 - np.arange(n, dtype=np.int64)[:, None], 2 * T - 1, axis=1)
+        for i, (x, c) in enumerate(zip(texts, at)):
+            grid[i, T - 1 - c : T - 1 - c + len(x)] = x
+        #: Different shingles of each passage, 0 where it leaves the text, and of the passage with fewest.
+        self.sizes = np.where((grid[:, :T] >= 0) & (grid[:, T - 1 :] >= 0), T, 0).astype(np.int32)
+        self.repeats = np.zeros(n, bool)
+        for i in range(0, n, 4096):
+            part = np.sort(grid[i : i + 4096], axis=1)
+            self.repeats[i : i + 4096] = ((part[:, 1:] == part[:, :-1]) & (part[:, 1:] >= 0)).any(axis=1)
+        for i in np.flatnonzero(self.repeats):
+            order = np.argsort(grid[i], kind="stable")
+            again = grid[i][order[1:]] == grid[i][order[:-1]]
+            before = np.full(2 * T - 1, -1)
+            before[order[1:][again]] = order[:-1][again]
+            fresh = (np.lib.stride_tricks.sliding_window_view(before, T) < np.arange(T)[:, None]).sum(axis=1)
+            self.sizes[i] = np.where(self.sizes[i] > 0, fresh, 0)
+        self.least = np.where(self.sizes > 0, self.sizes, T).min(axis=1)
+
+    @cached_property
+    def numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Grid of numbers of different shingles, from 1 (0 outside of a text); texts by shingle number, and where each number's begin."""
+        different, number = np.unique(np.where(self.grid < 0, -1, self.grid), return_inverse=True)
+        number = number.reshape(self.grid.shape) + (different[0] >= 0)
+        text = np.repeat(np.arange(self.n), number.shape[1])
+        own = np.unique((number.ravel() * self.n + text)[number.ravel() > 0])
+        top = int(number.max()) + 1
+        return number, own % self.n, np.searchsorted(own // self.n, np.arange(top + 1))
+
+    def sharing(self, i: int, free: np.ndarray) -> np.ndarray:
+        """Free texts with so many shingles of text i that a passage of theirs may be similar to one of it."""
+        number, text, begin = self.numbered
+        own = np.unique(number[i])
+        own = own[own > 0]
+        both = np.bincount(np.concatenate([text[begin[k] : begin[k + 1]] for k in own]), minlength=self.n)
+        enough = np.maximum(SIMILAR * np.maximum(self.least, self.least[i]), SIMILAR / (1 + SIMILAR) * (self.least + self.least[i]))
+        return np.flatnonzero(free & (both >= enough - 1e-9))
+
+    def similar(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Whether any passage of text i is similar to any passage of each other text."""
+        near = np.zeros(len(js), bool)
+        slot = np.full(int(self.numbered[0].max()) + 1, -1)
+        own = np.unique(self.numbered[0][i])
+        own = own[own > 0]
+        slot[own] = np.arange(len(own))
+        # passages with too few shingles of text i at all are similar to none of it
+        some = []
+        for a in range(0, len(js), 1024):
+            part = js[a : a + 1024]
+            sums = np.zeros((len(part), 2 * T), np.int16)
+            np.cumsum(slot[self.numbered[0][part]] >= 0, axis=1, dtype=np.int16, out=sums[:, 1:])
+            sizes = self.sizes[part]
+            enough = np.maximum(SIMILAR * sizes, SIMILAR / (1 + SIMILAR) * (sizes + self.least[i]))
+            some.append(a + np.flatnonzero(((sums[:, T:] - sums[:, :-T] >= enough - 1e-9) & (sizes > 0)).any(axis=1)))
+        some = np.concatenate(some)
+        mine = self._passages(slot, np.array([i]))[0]
+        for a in range(0, len(some), 64):
+            part = js[some[a : a + 64]]
+            # texts without repeats: what agrees place by place is a set of as many shingles
+            plain = ~(self.repeats[part] | self.repeats[i])
+            sure = plain & (_agreeing(self.grid[part], self.grid[i]) >= NEED)
+            rest = np.flatnonzero(~sure)
+            near[some[a : a + 64]] = sure
+            if len(rest):
+                theirs = self._passages(slot, part[rest])
+                both = np.bitwise_count(mine[None, :, None, :] & theirs[:, None, :, :]).sum(axis=3, dtype=np.int32)
+                x, y = self.sizes[i][None, :, None], self.sizes[part[rest]][:, None, :]
+                near[some[a + rest]] = ((both >= SIMILAR * (x + y - both) - 1e-9) & (x > 0) & (y > 0)).any(axis=(1, 2))
+        return near
 
-    No bit is set where the passage leaves the text. None where the table would take more than ``most`` bytes.
-    """
-    flat = np.concatenate(texts)
-    different, number = np.unique(flat, return_inverse=True)
-    words = -(-len(different) // 64)
-    if len(texts) * T * words * 8 > most:
-        return None
-    out, k = np.zeros((len(texts), T, words), np.uint64), 0
-    for i, (x, c) in enumerate(zip(texts, at)):
-        ids = number[k : k + len(x)]
-        k += len(x)
-        have = np.zeros((len(x), words), np.uint64)
-        have[np.arange(len(x)), ids >> 6] = np.uint64(1) << (ids & 63).astype(np.uint64)
-        width = 1
+    def _passages(self, slot: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Bits of a text's shingles (by slot, two words) in each passage of other texts."""
+        at = slot[self.numbered[0][rows]]
+        have = np.zeros((*at.shape, 2), np.uint64)
+        for word in range(2):
+            here = at >> 6 == word
+            have[..., word][here] = np.uint64(1) << (at[here] & 63).astype(np.uint64)
+        width, out = 1, have
         while 2 * width <= T:
-            have = have[:-width] | have[width:]
+            out = out[:, :-width] | out[:, width:]
             width *= 2
-        have = have[: len(x) - T + 1] | have[T - width : T - width + len(x) - T + 1]
-        o = np.arange(max(0, c + T - len(x)), min(c, T - 1) + 1)
-        out[i, o] = have[c - o]
-    return out
+        return out[:, :T] | out[:, T - width : 2 * T - width]
 
 
 def classes(texts: list[np.ndarray], at: list[int]) -> list[int]:
     """For each text (shingles around its minimum ``at``) the first one that links of similar passages reach.
 
-    Texts lie on a grid by the distance from the minimum, and passages in which ``NEED`` places agree are similar. An edit inside a
-    passage takes five shingles in a row, so similar passages agree in ``RUN`` places in a row, and in two neighbouring blocks of
-    seven: of large groups only texts that share such a pair of blocks are compared. Where words came in or went, or a text repeats
-    itself, a run agrees in place and the rest does not; such pairs are compared as sets.
+    Every pair that shares as many shingles as similar passages need is compared by the sets of all its passages, whatever the size of
+    the group and wherever words came in, went or moved.
     """
-    n, width = len(texts), 2 * T - 1
-    sets: list[np.ndarray | None] = []
-    if n > 12 and sum(len(np.unique(x)) < len(x) // 2 for x in texts) > 6:
-        # texts that repeat themselves differ in phase while their passages have the same shingles: one of them speaks for all
-        sets.append(_window_sets(texts, at))
-        if sets[0] is not None:
-            first = {}
-            same = [first.setdefault(sets[0][i].tobytes(), i) for i in range(n)]
-            if len(first) < n:
-                own = list(first.values())
-                root = classes([texts[i] for i in own], [at[i] for i in own])
-                by = {i: own[r] for i, r in zip(own, root)}
-                return [by[i] for i in same]
-    grid = np.repeat(-1 - np.arange(n, dtype=np.int32)[:, None], width, axis=1)
-    for i, (x, c) in enumerate(zip(texts, at)):
-        grid[i, T - 1 - c : T - 1 - c + len(x)] = x
-
-    def as_sets(i: int, js: np.ndarray) -> np.ndarray:
-        if not sets:
-            sets.append(_window_sets(texts, at))
-        if sets[0] is None:  # many different texts: where up to two words came in or went, the rest agrees shifted
-            out, rows, most, rest = np.zeros(len(js), bool), grid[js], _agreeing(grid[js], grid[i]), np.zeros(len(js), np.int64)
-            for d in (1, 2):
-                np.maximum(rest, _agreeing(rows[:, d:], grid[i, :-d]), out=rest)
-                np.maximum(rest, _agreeing(rows[:, :-d], grid[i, d:]), out=rest)
-            for k in np.flatnonzero(most + rest >= NEED):
-                out[k] = alike(texts[i], at[i], texts[js[k]], at[js[k]]) >= SIMILAR
-            return out
-        out = []
-        for a in range(0, len(js), 512):
-            own, other = sets[0][i], sets[0][js[a : a + 512]]
-            both = np.bitwise_count(own & other).sum(axis=2, dtype=np.int32)
-            every = np.bitwise_count(own | other).sum(axis=2, dtype=np.int32)
-            out.append((both >= SIMILAR * every - 1e-9).any(axis=1, where=(own.any(axis=1) & other.any(axis=2))))
-        return np.concatenate(out)
-
-    def close(i: int, js: np.ndarray) -> np.ndarray:
-        near = np.zeros(len(js), bool)
-        for a in range(0, len(js), 8192):
-            most = _agreeing(grid[js[a : a + 8192]], grid[i])
-            near[a : a + 8192] = most >= NEED
-            some = np.flatnonzero((most < NEED) & (most >= RUN))
-            if len(some):
-                near[a + some] = as_sets(i, js[a + some])
-        return near
-
-    buckets = None
-    if n > 12:
-        weights = np.cumprod(np.full(2 * BLOCK, _ODD[0], np.uint64))
-        keys = [(grid[:, k : k + 2 * BLOCK].astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64) for k in range(0, width - 2 * BLOCK + 1, BLOCK)]
-        buckets = []
-        for key in keys:
-            order = np.argsort(key, kind="stable")
-            cut = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-            part = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, n)))
-            where = np.empty(n, np.int64)
-            where[order] = part
-            buckets.append((where, np.split(order, cut[1:])))
+    n = len(texts)
+    if n <= 12:
+        # most groups: a few texts without repeats that share too little
+        sets = [set(t.tolist()) for t in texts]
+        if all(len(x) == len(t) for x, t in zip(sets, texts)) and all(len(x & y) < NEED for x, y in combinations(sets, 2)):
+            return list(range(n))
+    group = Group(texts, at)
     root, free, left = np.arange(n), np.ones(n, bool), n
     for first in range(n):
         if not free[first]:
@@ -276,13 +282,9 @@ def classes(texts: list[np.ndarray], at: list[int]) -> list[int]:
         free[first], ask, left = False, [first], left - 1
         while ask and left:
             i = ask.pop()
-            if buckets is None:
-                js = np.flatnonzero(free)
-            else:
-                own = [m[w[i]] for w, m in buckets if len(m[w[i]]) > 1]
-                js = np.unique(np.concatenate([m[free[m]] for m in own])) if own else np.zeros(0, np.int64)
+            js = group.sharing(i, free)
             if len(js):
-                js = js[close(i, js)]
+                js = js[group.similar(i, js)]
                 root[js], free[js], left = first, False, left - len(js)
                 ask += js.tolist()
     return root.tolist()
