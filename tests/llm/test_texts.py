@@ -291,6 +291,18 @@ def test_passages_with_an_edit_of_length(edit, kind):
             assert want
 
 
+def test_moved_halves_in_small_and_large_groups():
+    w = [f"w{k}" for k in range(50)]
+    group, at = list(around(" ".join(w), " ".join(w[25:] + w[:25])))[3]
+    assert compact.alike(group[0], at[0], group[1], at[1]) >= compact.SIMILAR
+    assert compact.classes(group, at) == [0, 0]
+    r = np.random.default_rng(1)
+    more = r.integers(1, 2**31 - 1, (1500, 2 * compact.T - 1), dtype=np.int32)
+    more[:, compact.T - 1] = group[0][at[0]]
+    got = compact.classes([*more, *group], [compact.T - 1] * 1500 + at)
+    assert got == [*range(1500), 1500, 1500]
+
+
 def test_classes_are_those_of_brute_force():
     r = np.random.default_rng(2)
     base = r.integers(1, 2**31 - 1, 2 * compact.T - 1, dtype=np.int32)
