@@ -186,6 +186,22 @@ def test_language_model_without_training(spark):
         assert lm.score(ws, frame(spark, []), lm.train(ws, df.select("text"))).count() == 0
 
 
+def test_rare_ngrams_are_arcs_in_a_large_corpus(spark):
+    rare, half = "zig zag zog", "zog zig"
+    docs = [(0, rare), (1, half), (2, "zig zag zog")] + [(k, prose(k, 2000)) for k in range(3, 153)]
+    with Workspace(spark, "t") as ws:
+        df = frame(spark, docs)
+        got = {r["doc_id"]: r for r in lm.score(ws, df, lm.train(ws, df.where("doc_id <> 1").select("text"))).collect()}
+    n, v = got[0]["train_tokens"], len({w for i, t in docs if i != 1 for w in t.split()}) + 1
+    assert n > 300_000
+    p1 = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    # each word of the rare text follows its context twice of twice
+    assert abs(got[0]["score"] - (p1(2) + 3 * math.log10(1.5 / 2))) < 1e-6
+    # "zog" goes on to the end only; what comes after it otherwise is backed off to
+    back = math.log10((1 - 1.5 / 2) / (1 - 10 ** p1(152)))
+    assert abs(got[1]["score"] - (p1(2) + back + p1(2) + math.log10((1 - 1.5 / 2) / (1 - 10 ** p1(2))) + p1(152))) < 1e-6
+
+
 # toxicity
 
 

@@ -1,19 +1,14 @@
-"""Language-model scoring by a weighted backoff automaton.
+"""Language-model scoring by a weighted backoff automaton that lies in tables.
 
-States are contexts that go on in some kept n-gram; an arc of a state reads a word, carries its discounted log-probability and leads to
-the longest context that then holds; the failure arc carries the backoff weight and leads to the context without its first word. One
-walk over a text from left to right carries the state and adds up.
-
-Unigrams are counted over all training texts and stay in a table: the automaton knows the words of at least ``HEAD`` of all tokens
-(a million at most, whatever the input), and what a text has of rarer words joins the table. An n-gram of two or more words is kept
-if it has at least ``KEEP`` of all tokens, so there are a hundred thousand of an order at most; by the same share only words and
-shorter n-grams that are kept need to be looked at. Shares, unlike numbers, mean the same at every size.
+States are contexts, arcs of a state read a word and carry its discounted log-probability, and a state's failure arc carries the
+backoff weight and leads to the context without its first word. Every n-gram of the training texts is an arc, whatever its count and
+the size of the corpus, so arcs and weights stay in tables partitioned by hash. A text's trigrams meet the arcs; only positions
+without one go on to the weight of their context and the arcs of its shorter state, and from there to single words.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, plain_words, remainder, table
 
-ORDER = 3
-HEAD, KEEP = 1e-6, 1e-5
+#: Share of all tokens from which a word's count is sent to the tasks, a million words at most; rarer ones join the table of all.
+HEAD = 1e-6
+#: Share of all tokens that an n-gram of two or more words, and each word of it, needs to be an arc: none, so every n-gram is one.
+KEEP = 0.0
 DISCOUNT = 0.5
 ADD = 0.1
-#: Bits of a word's number; the automaton knows fewer words than that.
-BITS = 20
 #: Texts that a task holds at once.
 AT_ONCE = 1000
 
@@ -86,134 +81,47 @@ def _number(h: np.ndarray, known: np.ndarray, number: np.ndarray) -> np.ndarray:
     return np.where(known[at] == h, number[at], -1)
 
 
-def ngrams(docs: DataFrame, head, n: int, shorter: np.ndarray | None) -> DataFrame:
-    """(k, c): counts of n-grams whose words are all numbered, and whose first and last n - 1 words are among ``shorter``."""
-    sent = docs.sparkSession.sparkContext.broadcast((head, shorter))
+def _keys(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the bigram and of the trigram that begin at each token, and the tokens that follow it in its text."""
+    u = h.view(np.uint64)
+    after = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(h)) - 1
+
+    def mix(x, y):
+        x = (x * np.uint64(0x9E3779B97F4A7C15)) ^ (x >> np.uint64(32))
+        x = (x + y) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        return x * np.uint64(0xC2B2AE3D27D4EB4F)
+
+    two = mix(u, np.append(u[1:], np.zeros(1, np.uint64))) if len(u) else u
+    three = mix(two, np.append(u[2:], np.zeros(2, np.uint64))[: len(u)]) if len(u) else u
+    return two.view(np.int64), three.view(np.int64), after
+
+
+def ngrams(docs: DataFrame, n: int) -> DataFrame:
+    """(k, a, b, c): hashes of all n-grams of two or three words, of their first and last n - 1 words, and their counts."""
+    schema = pa.schema([(x, pa.int64()) for x in "kabc"])
+
+    def merged(found):
+        k, a, b = (np.concatenate(x) for x in zip(*found))
+        k, first, c = np.unique(k, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, a[first], b[first], c.astype(np.int64))], schema=schema)
 
     def task(batches):
-        (known, number), short = sent.value
         found, held = [], 0
         for _, h, ends in _slices(batches):
-            w = _number(h, known, number)
-            text = np.searchsorted(ends, np.arange(len(w)), "right")
-            last = n - 1
-            if len(w) <= last:
-                continue
-            ok = text[last:] == text[: len(w) - last]
-            key, first, rest = np.zeros(len(w) - last, np.int64), None, None
-            for i in range(n):
-                own = w[i : len(w) - last + i]
-                ok &= own >= 0
-                first, key = key, key << BITS | own
-            if short is not None:
-                rest = key & ((1 << BITS * last) - 1)
-                key, first, rest = key[ok], first[ok], rest[ok]
-                key = key[np.isin(first, short) & np.isin(rest, short)]
-            else:
-                key = key[ok]
-            found.append(key)
-            held += len(key)
-            if held > 4_000_000:
-                yield _merged(found)
+            two, three, after = _keys(h, ends)
+            at = np.flatnonzero(after >= n - 1)
+            short = h if n == 2 else two
+            found.append(((two if n == 2 else three)[at], short[at], short[at + 1]))
+            held += len(at)
+            if held > 2_000_000:
+                yield merged(found)
                 found, held = [], 0
-        if found:
-            yield _merged(found)
+        if held:
+            yield merged(found)
 
-    return docs.select("text").mapInArrow(task, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-
-
-@dataclass(frozen=True)
-class Automaton:
-    """Words by sorted hash with their numbers; by number the log-probability alone and the state after it; arcs by state and word."""
-
-    known: np.ndarray
-    number: np.ndarray
-    alone: np.ndarray
-    after: np.ndarray
-    keys: np.ndarray
-    weight: np.ndarray
-    to: np.ndarray
-    back: np.ndarray
-    fail: np.ndarray
-
-    @cached_property
-    def tables(self) -> tuple:
-        arcs = dict(zip(self.keys.tolist(), zip(self.weight.tolist(), self.to.tolist())))
-        # number -1, a word that the automaton doesn't know, is the last entry: its own probability joins later
-        return arcs, [*self.alone.tolist(), 0.0], [*self.after.tolist(), 0], self.back.tolist(), self.fail.tolist()
-
-    def walk(self, numbers: list[int]) -> float:
-        arcs, alone, after, back, fail = self.tables
-        state, total = 0, 0.0
-        for w in numbers:
-            while state:
-                arc = arcs.get(state << BITS | w) if w >= 0 else None
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += back[state]
-                state = fail[state]
-            else:
-                total += alone[w]
-                state = after[w]
-        return total
-
-
-def build(words: tuple[np.ndarray, np.ndarray], total: int, distinct: int, grams: list[tuple[np.ndarray, np.ndarray]]) -> Automaton:
-    """The automaton of head words (hash, count; most frequent first) and of kept n-grams of order 2, 3, ... (key, count).
-
-    p(w | h) = (c(hw) - D) / c(h) where hw is kept, else weight(h) * p(w | h without its first word); the weight makes the
-    probabilities of a context add up to one. A single word has (c + 0.1) / (N + 0.1 (V + 1)).
-    """
-    hashes, counts = words
-    alone = np.log10((counts + ADD) / (total + ADD * (distinct + 1)))
-    prob: list[dict[tuple, float]] = [{(i,): 10**x for i, x in enumerate(alone.tolist())}]
-    count: dict[tuple, int] = {(i,): c for i, c in enumerate(counts.tolist())}
-    for n, (keys, cs) in enumerate(grams, 2):
-        grams_n = {}
-        for key, c in zip(keys.tolist(), cs.tolist()):
-            g = tuple(key >> BITS * i & ((1 << BITS) - 1) for i in reversed(range(n)))
-            grams_n[g] = (c - DISCOUNT) / count[g[:-1]]
-            count[g] = c
-        prob.append(grams_n)
-    weight: dict[tuple, float] = {}
-
-    def p(g: tuple) -> float:
-        if g in prob[len(g) - 1]:
-            return prob[len(g) - 1][g]
-        return weight.get(g[:-1], 1.0) * p(g[1:])
-
-    states: dict[tuple, int] = {(): 0}
-    for level in prob[1:]:
-        kept: dict[tuple, list[float]] = {}
-        for g, x in level.items():
-            sums = kept.setdefault(g[:-1], [0.0, 0.0])
-            sums[0] += x
-            sums[1] += p(g[1:])
-        for h, (own, lower) in kept.items():
-            states[h] = len(states)
-            weight[h] = max(1 - own, 1e-12) / max(1 - lower, 1e-12)
-
-    def longest(g: tuple) -> int:
-        while g not in states:
-            g = g[1:]
-        return states[g]
-
-    arcs = [(states[g[:-1]] << BITS | g[-1], np.log10(x), longest(g[1 - ORDER :] if len(g) >= ORDER else g)) for level in prob[1:] for g, x in level.items()]
-    order = np.argsort(hashes)
-    by_state = sorted(states, key=states.get)
-    return Automaton(
-        hashes[order],
-        order,
-        alone,
-        np.array([states.get((i,), 0) for i in range(len(hashes))], np.int64),
-        np.array([a[0] for a in arcs], np.int64),
-        np.array([a[1] for a in arcs]),
-        np.array([a[2] for a in arcs], np.int64),
-        np.array([np.log10(weight.get(h, 1.0)) for h in by_state]),
-        np.array([0 if not h else longest(h[1:]) for h in by_state], np.int64),
-    )
+    rows = docs.select("text").mapInArrow(task, "k long, a long, b long, c long")
+    return rows.groupBy("k").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("c").alias("c"))
 
 
 def _pulled(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -224,54 +132,115 @@ def _pulled(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[order].astype(np.int64), c[order].astype(np.int64)
 
 
-def train(ws: Workspace, docs: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
-    """Automaton, table of unigram counts, number of tokens, number of different ones, of the column ``text`` of all rows."""
+def _arcs(grams: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(k, a, c, p, lower): p(w | h) = (c(hw) - D) / c(h) of each n-gram hw, and the probability of its last n - 1 words.
+
+    ``shorter`` (k, c, p) are the arcs of one word less; it holds every first and last part.
+    """
+    before = shorter.select(F.col("k").alias("a"), F.col("c").alias("times"))
+    rest = shorter.select(F.col("k").alias("b"), F.col("p").alias("lower"))
+    return grams.join(before, "a").join(rest, "b").select("k", "a", "c", ((F.col("c") - DISCOUNT) / F.col("times")).alias("p"), "lower")
+
+
+def _weights(arcs: DataFrame) -> DataFrame:
+    """(k, w): log10 of the weight that makes the probabilities of a context add up to one."""
+    left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
+    return arcs.groupBy(F.col("a").alias("k")).agg(F.log10(left("p") / left("lower")).alias("w"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Tables of unigram counts, of arcs of two and of three words and of their contexts' weights; numbers of tokens and of words."""
+
+    counts: DataFrame
+    two: DataFrame
+    back_one: DataFrame
+    three: DataFrame
+    back_two: DataFrame
+    n: int
+    v: int
+
+
+def train(ws: Workspace, docs: DataFrame) -> Model:
+    """All unigrams, bigrams and trigrams of the column ``text`` of all rows. A single word has (c + 0.1) / (N + 0.1 (V + 1))."""
     counts = ws.save(unigrams(docs), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = _pulled(counts.where(F.col("c") >= HEAD * n))
-    often = int((words[1] >= KEEP * n).sum())
-    order = np.argsort(words[0][:often])
-    head, shorter, grams = (words[0][:often][order], order), None, []
-    for k in range(2, ORDER + 1):
-        grams.append(_pulled(ngrams(docs, head, k, shorter).where(F.col("c") >= KEEP * n)))
-        shorter = np.sort(grams[-1][0])
-    return build(words, n, v, grams), counts, n, v
+    kept = F.col("c") >= KEEP * n
+    one = counts.where(kept).withColumn("p", (F.col("c") + ADD) / (n + ADD * (v + 1)))
+    two = ws.save(_arcs(ngrams(docs, 2).where(kept), one), "two")
+    three = ws.save(_arcs(ngrams(docs, 3).where(kept), two), "three")
+    return Model(counts, two, ws.save(_weights(two), "back-one"), three, ws.save(_weights(three), "back-two"), n, v)
 
 
-def score(ws: Workspace, docs: DataFrame, model: tuple[Automaton, DataFrame, int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(ws: Workspace, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every whole text.
 
     Null and empty texts are one end. Rows that repeat an identifier come back each; extra columns are ignored. Without training
     texts every token is unseen and has probability one.
     """
-    automaton, counts, n, v = model
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
-    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("walked", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
+    counts, n, total = model.counts, model.n, model.n + ADD * (model.v + 1)
+    words, often = _pulled(counts.where(F.col("c") >= HEAD * n))
+    order = np.argsort(words)
+    sent = docs.sparkSession.sparkContext.broadcast((words[order], np.log10((often[order] + ADD) / total)))
+    fields = [("row", pa.int64()), ("d", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
     schema = pa.schema(fields)
 
     def task(batches):
         from pyspark import TaskContext
 
-        row, a = TaskContext.get().partitionId() << 33, sent.value
+        row, (known, alone) = TaskContext.get().partitionId() << 33, sent.value
         for part, h, ends in _slices(batches):
-            numbers = _number(h, a.known, a.number)
-            alone = np.append(a.alone, 0.0)[numbers]
+            numbers = _number(h, known, np.arange(len(known)))
+            base = np.append(alone, 0.0)[numbers]
             out = []
-            for doc, i, j in zip(part.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
+            for d, doc, i, j in zip(part.column("d").to_pylist(), part.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
                 own = numbers[i:j]
                 rare, times = np.unique(h[i:j][own < 0], return_counts=True)
-                out.append((row, doc, j - i, int((own >= 0).sum()), float(alone[i:j].sum()), a.walk(own.tolist()), rare, times))
+                out.append((row, d, doc, j - i, int((own >= 0).sum()), float(base[i:j].sum()), rare, times))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], schema=schema)
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = ws.save(own.mapInArrow(task, "row long, doc_id long, n_tokens long, known long, base double, walked double, rare array<long>, times array<long>"), "walked")
+    def trigrams(batches):
+        for part, h, ends in _slices(batches):
+            _, three, after = _keys(h, ends)
+            d = np.repeat(part.column("d").to_numpy(), np.diff(ends, prepend=0))
+            place = np.arange(len(h)) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))
+            at = np.flatnonzero(after >= 2)
+            yield pa.RecordBatch.from_arrays([pa.array(three[at]), pa.array(d[at]), pa.array((place[at] + 2).astype(np.int32))], names=["k", "d", "i"])
+
+    def missed(batches):
+        """Positions without an arc of three words, and the first two: context, bigram, word before, word. What is not there is d, which no key is."""
+        for part, h, ends in _slices(batches):
+            two, _, _ = _keys(h, ends)
+            out = [[] for _ in range(5)]
+            for d, miss, first, end in zip(part.column("d").to_pylist(), part.column("miss").to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                i = first + np.array([0, *([1] if end - first > 1 else []), *(miss or [])], np.int64)
+                none = np.full(len(i), d, np.int64)
+                second, third = i > first, i > first + 1
+                for col, x in zip(out, (none, np.where(third, two[i - 2], none), np.where(second, two[i - 1], none), np.where(second, h[i - 1], none), h[i])):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["d", "a", "b", "v", "w"])
+
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("d", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
+    own = ws.save(docs.mapInArrow(task, "row long, d long, doc_id long, n_tokens long, known long, base double, rare array<long>, times array<long>"), "words")
     rare = own.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("k"), F.col("x.times").alias("times"))
     rare = rare.join(counts.where(F.col("c") < HEAD * n), "k", "left")
-    total = n + ADD * (v + 1)
     rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + ADD) / total)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("seen"))
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return own.join(rare, "row", "left").select("doc_id", "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("walked") + more).alias("score"))
+    met = docs.mapInArrow(trigrams, "k long, d long, i int").join(model.three.select("k", F.log10("p").alias("p")), "k", "left")
+    met = ws.save(met.groupBy("d").agg(F.sum("p").alias("arcs"), F.collect_set(F.when(F.col("p").isNull(), F.col("i"))).alias("miss")), "arcs")
+    lost = docs.join(met.select("d", "miss"), "d", "left").select("d", "text", "miss").mapInArrow(missed, "d long, a long, b long, v long, w long")
+    lost = lost.join(model.back_two.select(F.col("k").alias("a"), F.col("w").alias("from_two")), "a", "left")
+    lost = lost.join(model.two.select(F.col("k").alias("b"), F.log10("p").alias("p")), "b", "left")
+    lost = lost.join(model.back_one.select(F.col("k").alias("v"), F.col("w").alias("from_one")), "v", "left")
+    lost = lost.join(counts.select(F.col("k").alias("w"), "c"), "w", "left")
+    zero = F.lit(0.0)
+    single = F.coalesce("from_one", zero) + F.log10((F.coalesce("c", F.lit(0)) + ADD) / total)
+    lost = lost.groupBy("d").agg(F.sum(F.coalesce("from_two", zero) + F.coalesce("p", single)).alias("backed"))
+    # rows that repeat identifier and text were added up together
+    scores = own.groupBy("d").agg(F.count("*").alias("copies")).join(met.select("d", "arcs"), "d", "left").join(lost, "d", "left")
+    scores = scores.select("d", (F.coalesce("arcs", zero) / F.col("copies") + F.coalesce("backed", zero) / F.col("copies")).alias("score"))
+    out = own.join(rare, "row", "left").join(scores, "d")
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", zero)).alias("base_score"), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
