@@ -236,6 +236,18 @@ def brute_leaks(docs, items):
     return out
 
 
+def test_decontamination_without_identifiers(spark, tmp_path):
+    item = prose(75, 30)
+    docs = [(None, f"{prose(76, 20)} {item}"), (None, f"{item} {prose(77, 20)}"), (None, prose(78, 60)), (1, f"{prose(79, 20)} {item}"), (2, prose(80, 60))]
+    asked = spark.createDataFrame([(1, item)], "item_id long, text string")
+    with Workspace(spark, "t") as ws:
+        got = decontaminate.contaminated(ws, frame(spark, docs), asked).collect()
+    assert sorted((r["doc_id"] or 0, r["start"], r["similarity"]) for r in got) == [(0, 0, 1.0), (0, 20, 1.0), (1, 20, 1.0)]
+    asked.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = decontaminate.stage(spark, frame(spark, docs), str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, prose(78, 60)), (2, prose(80, 60))]
+
+
 def test_decontamination_matches_brute_force(spark):
     item = [prose(70, 20), prose(71, 40), prose(72, 12), "too short now", None, "again " * 12]
     w = item[1].split()

@@ -83,36 +83,31 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
     return out.withColumn("item_fp", fingerprint(F.col("sh"), F.col("m"))).distinct()
 
 
-def contaminated(ws: Workspace, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The best window of each document for each item that it is similar to by ``SIMILAR`` or more.
-
-    doc_id, item_id, start (word at which the window begins, from 0), n_words, similarity. A document shorter than the item is one
-    window as a whole. Null and empty texts, and those of fewer than five words, meet nothing. Rows that repeat identifier and text
-    are reported once; of equal windows the first is. Extra columns are ignored.
-    """
-    spark = docs.sparkSession
+def _found(ws: Workspace, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``contaminated``, and th, the hash of the text that the row stands for."""
     known = ws.save(items(benchmark, item_col), "items")
     listed = known.select("item", "m", F.explode("sh").alias("h")).distinct()
     # the benchmark is the stated query set; its shingles are tested for in blocks
     hashes = [r["h"] for r in listed.select("h").distinct().toLocalIterator()]
     tests = [f"exists(sh, x -> x in ({','.join(map(str, hashes[i : i + TEST]))}))" for i in range(0, len(hashes), TEST)] or ["false"]
-    own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    # rows meet by a key that is never null, as identifiers may be
+    own = docs.select(F.xxhash64(id_col, text_col).alias("d"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     own = with_shingles(own, F.col("text")).drop("text")
     # a filter would be pushed below the steps that make the shingles and repeat them all; a generator is not
-    own = own.select("doc", "th", F.explode(F.when(F.expr(" or ".join(tests)), F.array("sh"))).alias("sh"))
+    own = own.select("d", "doc", "th", F.explode(F.when(F.expr(" or ".join(tests)), F.array("sh"))).alias("sh"))
     own = ws.save(own.withColumn("n", F.size("sh")), "touched").distinct()
 
-    hit = own.select("doc", "th", "n", F.posexplode("sh").alias("pos", "h")).join(listed, "h").select("doc", "th", "n", "item", "m", "pos").distinct()
+    hit = own.select("d", "n", F.posexplode("sh").alias("pos", "h")).join(listed, "h").select("d", "n", "item", "m", "pos").distinct()
     size = F.least("m", "n")
     hit = hit.withColumn("size", size).withColumn("need", need(F.col("m"), F.col("size"))).where("n >= need")
-    row = Window.partitionBy("doc", "th", "item").orderBy("pos")
+    row = Window.partitionBy("d", "item").orderBy("pos")
     hit = ws.save(hit.withColumn("nth", F.row_number().over(row)), "hits")
     # the place with which a window that begins here has enough of them
-    last = hit.select("doc", "th", "item", (F.col("nth") - F.col("need") + 1).alias("nth"), F.col("pos").alias("reach"))
-    begin = hit.join(last, ["doc", "th", "item", "nth"]).where("reach - pos < size")
-    begin = begin.select("doc", "th", "m", "size", F.least("pos", F.col("n") - F.col("size")).alias("start")).distinct()
+    last = hit.select("d", "item", (F.col("nth") - F.col("need") + 1).alias("nth"), F.col("pos").alias("reach"))
+    begin = hit.join(last, ["d", "item", "nth"]).where("reach - pos < size")
+    begin = begin.select("d", "m", "size", F.least("pos", F.col("n") - F.col("size")).alias("start")).distinct()
 
-    shown = own.join(begin, ["doc", "th"]).select("doc", "th", "m", "start", F.slice("sh", F.col("start") + 1, F.col("size")).alias("win"))
+    shown = own.join(begin, "d").select("d", "doc", "th", "m", "start", F.slice("sh", F.col("start") + 1, F.col("size")).alias("win"))
     shown = ws.save(shown.withColumn("fp", fingerprint(F.col("win"), F.size("win"))), "windows")
     asked = shown.select("m", "fp", F.posexplode(F.array(*block_keys(F.col("fp")))).alias("block", "value")).distinct()
     index = None
@@ -125,8 +120,18 @@ def contaminated(ws: Workspace, docs: DataFrame, benchmark: DataFrame, id_col: s
     near = near.select("m", "fp", "item").distinct()
     sure = shown.join(near, ["m", "fp"]).join(known.select("item", "m", "sh"), ["item", "m"])
     sure = sure.withColumn("similarity", similarity(F.col("win"), F.col("sh"))).where(F.col("similarity") >= SIMILAR - 1e-12)
-    best = sure.groupBy("doc", "th", "item").agg(F.max(F.struct("similarity", -F.col("start"), F.size("win").alias("size"))).alias("best"))
-    return best.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), (-F.col("best.col2")).alias("start"), (F.col("best.size") + SHINGLE - 1).alias("n_words"), F.round("best.similarity", 6).alias("similarity"))
+    best = sure.groupBy("d", "doc", "th", "item").agg(F.max(F.struct("similarity", -F.col("start"), F.size("win").alias("size"))).alias("best"))
+    return best.select("th", F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), (-F.col("best.col2")).alias("start"), (F.col("best.size") + SHINGLE - 1).alias("n_words"), F.round("best.similarity", 6).alias("similarity"))
+
+
+def contaminated(ws: Workspace, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The best window of each document for each item that it is similar to by ``SIMILAR`` or more.
+
+    doc_id, item_id, start (word at which the window begins, from 0), n_words, similarity. A document shorter than the item is one
+    window as a whole. Null and empty texts, and those of fewer than five words, meet nothing. Rows that repeat identifier and text
+    are reported once; of equal windows the first is. A null identifier is reported as null, for each text. Extra columns are ignored.
+    """
+    return _found(ws, docs, benchmark, id_col, text_col, item_col).drop("th")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +140,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found; rows that repeat an identifier go together."""
+    """Documents in which no benchmark item is found; rows that repeat an identifier go together, those without one by their text."""
     with Workspace(spark, "decontaminate-stage") as ws:
-        found = contaminated(ws, docs, table(spark, sf_dir, "benchmark"))
-        gone = ws.result(found.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+        found = _found(ws, docs, table(spark, sf_dir, "benchmark"))
+        gone = found.select(F.col("doc_id").alias("__gone"), F.when(F.col("doc_id").isNull(), F.col("th")).alias("__text")).distinct()
+        gone = ws.result(gone, "gone")
+        own = F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"]))
+        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & own.eqNullSafe(gone["__text"]), "left_anti")
 
 
 #: The same rows without fingerprints: every window that begins at a shared place, by the similarity itself.
