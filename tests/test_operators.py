@@ -87,6 +87,16 @@ def test_validation(spark):
     assert [r["error"] for r in X.validate(df).collect()] == ["blank", "blank", "too long", None, "blank"]
 
 
+def test_spelling_of_long_words_and_two_edits(spark, tmp_path):
+    from textloom.queries.text import spell_correct
+
+    known = ["retrieval", "information", "planet", "plan"]
+    asked = {"informtion": "information", "retreivl": "retrieval", "rertieavl": "retrieval", "plaxxt": "planet", "pxaxn": "pxaxn", "zzzzzzzz": "zzzzzzzz"}
+    spark.createDataFrame([(" ".join(known * 50), "en")], "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(" ".join(asked),)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["w"]: r["fixed"] for r in spell_correct(spark, str(tmp_path)).collect()} == asked
+
+
 def test_spelling(spark):
     vocab = vocabulary(spark.createDataFrame([("semester",)] * 5 + [("exam",)] * 4 + [("exams",)] * 2, "w string"), 2)
     asked = spark.createDataFrame([("semseter",), ("exm",), ("exams",), ("zzz",)], "w string")

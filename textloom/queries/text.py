@@ -125,5 +125,5 @@ def spell_correct(spark, d):
     from ..operators.spelling import correct, vocabulary
 
     words = table(spark, d, DOCS).where("lang = 'en'").select(F.explode(T.tokens(F.col("text"), "[a-z]+")).alias("w"))
-    asked = table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"), "[a-z]+")).alias("w")).where(F.length("w") <= 8)
+    asked = table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"), "[a-z]+")).alias("w"))
     return correct(asked, vocabulary(words, 50))
