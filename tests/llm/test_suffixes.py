@@ -57,10 +57,10 @@ def brute(rows, length):
     return sorted(out)
 
 
-def ours(spark, rows, length, crowd):
+def ours(spark, rows, length, crowd, **more):
     docs = suffix_dedup.keyed(frame(spark, rows))
     with Workspace(spark, "t") as ws:
-        spans = suffix_dedup.repeated_spans(ws, docs, length, crowd)
+        spans = suffix_dedup.repeated_spans(ws, docs, length, crowd, **more)
         return sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in suffix_dedup.digests(docs, spans).collect())
 
 
@@ -72,6 +72,26 @@ def test_matches_brute_force(spark, crowd):
         assert ours(spark, rows, length, crowd) == brute([(i, (t or "").encode()) for i, t in rows], length)
 
 
+def test_shards_far_larger_than_memory(spark, tmp_path, monkeypatch):
+    """Queues of 64 bytes: every array of a sort is a file, and the result is the same."""
+    rows = texts() + [(100 + k, prose(50, 30) + prose(200 + k, 20) + prose(51, 30)) for k in range(6)]
+    assert ours(spark, rows, 120, 4096, memory=64) == brute([(i, (t or "").encode()) for i, t in rows], 120)
+
+
+def test_stage_takes_passages_of_over_fifty_words(spark):
+    """Passages of 51 to 60 words, in different places of different documents, go by the bytes that brute force takes."""
+    rows = [(k, f"{prose(300 + k, 40 + k)} {prose(400 + k // 2, 51 + k // 2)} {prose(500 + k, 30)}") for k in range(20)]
+    rows += [(None, prose(600, 80)), (30, None), (31, ""), (32, prose(601, 70)), (32, prose(602, 70))]
+    out = suffix_dedup.stage(spark, frame(spark, rows), "")
+    assert out.columns == frame(spark, rows).columns
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in out.collect())
+    kept = sorted((i, h) for i, _, _, _, h in brute([(i, (t or "").encode()) for i, t in rows], suffix_dedup.PASSAGE))
+    assert [(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in got] == kept
+    for k in range(20):
+        text = next(t for i, t in got if i == k)
+        assert prose(400 + k // 2, 51 + k // 2)[10:-10] not in text and text.startswith(prose(300 + k, 39 + k))
+
+
 def test_stage_rewrites_texts(spark):
     out = {r["doc_id"]: r for r in suffix_dedup.stage(spark, frame(spark), "").collect()}
     assert out[2]["text"] == "" and out[2]["n_chars"] == 0

@@ -1,11 +1,12 @@
 """Exact substring dedup: bytes of strings of ``LENGTH`` bytes that start at two places or more.
 
-1. *Anchors.* The least hash of the ``GRAM``-byte strings in a window of ``LENGTH`` bytes depends on the window alone, so equal
-   windows have equal anchors. Consecutive windows with one anchor are a run. Runs with equal bytes fall together in an aggregation
-   that keeps counts alone; a run whose anchor is met nowhere else is done with.
+1. *Anchors.* The least hash of the ``gram(LENGTH)``-byte strings in a window of ``LENGTH`` bytes depends on the window alone, so equal
+   windows have equal anchors. Consecutive windows with one anchor are a run. Runs with equal bytes (by 128 bits: the anchor's hash and
+   XXH3 of the bytes) fall together in an aggregation that keeps counts alone; a run whose anchor is met nowhere else is done with.
 2. *Shards.* What is left, each different run of an anchor once, goes to a shard by its anchor. A shard is suffix-sorted by external
    induced sorting, and neighbours among its windows that have ``LENGTH`` bytes in common are repeats. Anchors are sorted in groups
-   of some megabytes; one anchor's runs are never apart.
+   of some megabytes; one anchor's runs are never apart, so a shard may be far larger: queues and arrays beyond ``MEMORY`` bytes each
+   are files of the task's scratch.
 3. *Crowded anchors.* An anchor with very many different runs is dealt anew: windows at 32 (then 4, then 1) consecutive distances
    from the anchor share a core of bytes, which is their key in another round of the same.
 4. Spans come together by document and are cut out.
@@ -25,15 +26,23 @@ from .common import Workspace, partitions, table, tidy
 from .induced import suffixes
 
 LENGTH = 400
-GRAM = 160
+#: Length of what repeats in the pipeline's stage: passages of over 50 words, which have 200 bytes even at four bytes a word.
+PASSAGE = 200
 #: Different runs of one anchor that a shard sorts; of more, the runs are dealt anew by the next number of distances.
 CROWD, BLOCKS = 4096, (32, 4, 1)
 #: Bytes that are suffix-sorted at once where anchors allow it, and runs for each task.
 SORTED, RUNS = 3 << 19, 6000
+#: Bytes that each array of a sort may have in memory; larger ones are mapped files.
+MEMORY = 1 << 26
 RUN = "doc_id long, th long, first int, n int, h long, ch long, known boolean"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def gram(length: int) -> int:
+    """Bytes of the strings whose least hash is a window's anchor."""
+    return max(1, 2 * length // 5)
+
+
 class Hasher:
     """Hashes of substrings of one text from prefix sums of a polynomial, by scattered bytes."""
 
@@ -83,15 +92,31 @@ def _places(x: np.ndarray, at: np.ndarray, w: int, first: bool) -> np.ndarray:
     return out
 
 
-def runs(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def _digests(b: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """XXH3 of the bytes of each run."""
+    import xxhash
+
+    raw, digest = memoryview(b), xxhash.xxh3_64_intdigest
+    return np.array([digest(raw[i:j]) for i, j in zip(first.tolist(), (first + n - 1 + length).tolist())], np.uint64)
+
+
+def _equal(b: np.ndarray, i: np.ndarray, j: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows at i and at j have the same bytes."""
+    at, out = np.lib.stride_tricks.sliding_window_view(b, length), np.empty(len(i), bool)
+    for k in range(0, len(i), 4096):
+        out[k : k + 4096] = (at[i[k : k + 4096]] == at[j[k : k + 4096]]).all(axis=1)
+    return out
+
+
+def runs(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(first window, windows, anchor hash, hash of the bytes, whether known) of each run of a text.
 
     Where a text repeats itself its anchor stands at several places of one run, which may be as long as the text. Windows that such a
-    run has twice are *known* to be repeats, and come as runs of their own; of each different window the first one stays as a
-    partner for other texts. All other runs have at most ``length - gram + 1`` windows.
+    run has twice, compared byte by byte, are *known* to be repeats, and come as runs of their own; of each different window the first
+    one stays as a partner for other texts. All other runs have at most ``length - gram(length) + 1`` windows.
     """
-    w, hasher = length - gram + 1, Hasher(b)
-    h = hasher.grams(gram)
+    w, hasher = length - gram(length) + 1, Hasher(b)
+    h = hasher.grams(gram(length))
     least = _window_minima(h, w)
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     n = np.diff(np.append(first, len(least)))
@@ -102,19 +127,23 @@ def runs(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         for f, m, k in zip(first[again].tolist(), n[again].tolist(), key[again].tolist()):
             at = np.arange(f, f + m)
             _, once, inverse, count = np.unique(hasher.of(at, at + length), return_index=True, return_inverse=True, return_counts=True)
-            for places, sure in ((np.sort(once), False), (np.flatnonzero(count[inverse] > 1), True)):
+            twice = np.flatnonzero(count[inverse] > 1)
+            later = twice[once[inverse[twice]] != twice]
+            later = later[_equal(b, at[later], at[once[inverse[later]]], length)]
+            twice = np.union1d(later, once[inverse[later]])
+            for places, sure in ((np.sort(once), False), (twice, True)):
                 if len(places):
                     cut = np.flatnonzero(np.concatenate(([True], np.diff(places) > 1)))
                     parts.append((f + places[cut], np.diff(np.append(cut, len(places))), np.full(len(cut), k, np.uint64), np.full(len(cut), sure)))
         first, n, key, known = (np.concatenate(x) for x in zip(*parts))
-    return first, n, key, hasher.of(first, first + n - 1 + length) ^ n.astype(np.uint64), known
+    return first, n, key, _digests(b, first, n, length), known
 
 
-def dealt(b: np.ndarray, first: int, n: int, block: int, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def dealt(b: np.ndarray, first: int, n: int, block: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """The windows of one run as runs of ``block`` distances from the anchor; keys are hashes of the core that such windows share."""
     part = b[first : first + n - 1 + length]
-    w, hasher = length - gram + 1, Hasher(part)
-    h = hasher.grams(gram)
+    w, hasher = length - gram(length) + 1, Hasher(part)
+    h = hasher.grams(gram(length))
     at = np.arange(n)
     anchor = _places(h, at, w, True)
     group = (anchor - at) // block
@@ -122,10 +151,10 @@ def dealt(b: np.ndarray, first: int, n: int, block: int, length: int = LENGTH, g
     size = np.diff(np.append(cut, n))
     core = anchor[cut] - group[cut] * block
     key = hasher.of(core, core + length - block + 1) + group[cut].astype(np.uint64) * _ODD
-    return cut + first, size, key, hasher.of(cut, cut + size - 1 + length) ^ size.astype(np.uint64), np.zeros(len(cut), bool)
+    return cut + first, size, key, _digests(part, cut, size, length), np.zeros(len(cut), bool)
 
 
-def repeats(texts: list[bytes], windows: list[int], length: int = LENGTH) -> list[np.ndarray]:
+def repeats(texts: list[bytes], windows: list[int], length: int = LENGTH, memory: int = MEMORY) -> list[np.ndarray]:
     """For each text whether its first windows, ``windows`` of them, occur at another of all these windows. By suffix order."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     raw = np.frombuffer(b"\0".join(texts) + b"\0", "u1").astype(np.int32) + 1
@@ -135,7 +164,7 @@ def repeats(texts: list[bytes], windows: list[int], length: int = LENGTH) -> lis
     np.add.at(asked, ends - sizes, 1)
     np.add.at(asked, ends - sizes + np.array(windows), -1)
     asked = np.cumsum(asked[:-1]).astype(bool)
-    order, common = suffixes(raw, cap=length)
+    order, common = suffixes(raw, cap=length, memory=memory)
     own = np.flatnonzero(asked[order])
     near = np.zeros(len(own) + 1, bool)
     if len(own) > 1:
@@ -173,7 +202,7 @@ def _found_runs(docs: DataFrame, length: int) -> DataFrame:
                 for d, t, text in zip(ids.slice(i, 128).to_pylist(), th.slice(i, 128).to_pylist(), texts.slice(i, 128).to_pylist()):
                     b = np.frombuffer(_bytes(text), "u1")
                     if len(b) >= length:
-                        _put(cols, d, t, runs(b, length, min(GRAM, length)))
+                        _put(cols, d, t, runs(b, length))
                 if cols[0]:
                     yield _run_batch(cols)
 
@@ -205,14 +234,14 @@ def _dealt_runs(docs: DataFrame, wanted: DataFrame, block: int, length: int) ->
                 for r in batch.slice(i, 64).to_pylist():
                     b = np.frombuffer(_bytes(r["text"]), "u1")
                     for x in r["runs"]:
-                        _put(cols, r["doc_id"], r["th"], dealt(b, x["first"], x["n"], block, length, min(GRAM, length)))
+                        _put(cols, r["doc_id"], r["th"], dealt(b, x["first"], x["n"], block, length))
                 if cols[0]:
                     yield _run_batch(cols)
 
     return _with_runs(docs, wanted).mapInArrow(tidy(task), RUN)
 
 
-def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int, memory: int) -> DataFrame:
     """Spans of single runs that occur at another window of their anchor, by suffix-sorting shards of anchors."""
     cut = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("single", pa.bool_()), ("bytes", pa.binary())])
 
@@ -240,7 +269,7 @@ def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 j, total = j + 1, total + more
             own = whole.slice(heads[i], heads[j] - heads[i]).to_pydict()
             rows = []
-            for k, found in enumerate(repeats(own["bytes"], own["n"], length)):
+            for k, found in enumerate(repeats(own["bytes"], own["n"], length, memory)):
                 if own["single"][k] and found.any():
                     rows += [(own["doc_id"][k], own["th"][k], a, b) for a, b in _spans(found, own["first"][k], length)]
             if rows:
@@ -252,7 +281,7 @@ def _sorted_spans(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return cuts.repartition(n, "h").mapInArrow(tidy(shard), "doc_id long, th long, a int, b int")
 
 
-def repeated_spans(ws: Workspace, docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(ws: Workspace, docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, memory: int = MEMORY) -> DataFrame:
     """(doc_id, th, a, b): byte spans, which may overlap, that strings of ``length`` bytes cover which start at another place too.
 
     ``docs``: doc_id, th (hash of the text), text; rows that repeat both are places of their own and share their spans.
@@ -269,7 +298,7 @@ def repeated_spans(ws: Workspace, docs: DataFrame, length: int = LENGTH, crowd:
         wanted = kinds.join(by_anchor.select("h", "kinds"), "h").select("rep.*", "h", (F.col("c") == 1).alias("single"), "kinds")
         wanted = ws.save(wanted, f"wanted-{level}")
         few = wanted if block is None else wanted.where(F.col("kinds") <= crowd)
-        out.append(ws.save(_sorted_spans(docs, few, length), f"sorted-{level}"))
+        out.append(ws.save(_sorted_spans(docs, few, length, memory), f"sorted-{level}"))
         rest = wanted.where(F.col("kinds") > crowd)
         if block is None or rest.isEmpty():
             break
@@ -328,9 +357,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated bytes, n_chars counted anew. A character that a cut goes through goes as well; nothing else changes."""
+    """Documents without bytes of repeated strings of ``PASSAGE`` bytes, n_chars counted anew.
+
+    A character that a cut goes through goes as well; nothing else changes. Null and empty texts stay as they are; rows that repeat
+    identifier and text repeat each other, and lose what they share.
+    """
     with Workspace(spark, "suffix-stage") as ws:
-        spans = ws.result(repeated_spans(ws, keyed(docs)), "spans")
+        spans = ws.result(repeated_spans(ws, keyed(docs), PASSAGE), "spans")
         at, kinds = docs.columns, docs.schema
 
         def task(batches):
