@@ -297,6 +297,18 @@ def test_near_passages(spark):
     assert r["start"] == 0 and r["n_words"] >= 50
 
 
+def test_crowded_minima_are_compared_by_chunks(spark):
+    """Many variants of one passage: chunks of two find the classes that one task finds."""
+    docs = []
+    for k in range(12):
+        w = prose(97, 80).split()
+        w[5 * (k % 6) + 20] = f"own{k}"
+        docs.append((60 + k, f"{prose(110 + k, 20)} {' '.join(w)} {prose(130 + k, 20)}"))
+    with Workspace(spark, "t") as ws:
+        whole, split = ({(r["doc_id"], r["class_doc_id"]) for r in compact.near_passages(ws, frame(spark, docs), crowd=n).collect()} for n in (compact.CROWD, 2))
+    assert whole == split and {(60 + k, 60) for k in range(12)} <= whole
+
+
 def around(text, other):
     """Both texts' shingles within reach and the place among them, for each shingle that the texts share."""
     a, b = ((compact.shingles(t) >> np.uint64(33)).astype(np.int32) for t in (text, other))
@@ -349,3 +361,39 @@ def test_classes_are_those_of_brute_force():
                 a, b = sorted((want[i], want[j]))
                 want = [a if v == b else v for v in want]
     assert compact.classes(group, at) == want
+
+
+def edited(seed, kind):
+    """Two texts with one passage of 50 words between words of their own; the second passage has one edit at a random place."""
+    r = np.random.default_rng(seed)
+    own = lambda k, n: [f"{k}{x}" for x in r.integers(0, 10**9, n)]
+    p, at = own("p", 50), int(r.integers(0, 50))
+    q = {"substitution": [*p[:at], "other", *p[at + 1 :]], "insertion": [*p[:at], "other", *p[at:]], "deletion": p[:at] + p[at + 1 :]}[kind]
+    return [" ".join(own(f"a{i}", 60) + x + own(f"b{i}", 60)) for i, x in enumerate((p, q))]
+
+
+def best_passage(a, b):
+    a, b = ([tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)] for t in (a, b))
+    a, b = ([set(x[i : i + compact.T]) for i in range(len(x) - compact.T + 1)] for x in (a, b))
+    return max(len(x & y) / len(x | y) for x in a[40:80] for y in b[40:80])
+
+
+@pytest.mark.parametrize("crowd", [2, compact.CROWD])
+def test_recall_against_brute_force(spark, crowd):
+    """Of pairs with a passage similarity of 0.8 or more nine of ten are linked, for each kind of edit, and no other pair is."""
+    pairs = [(kind, edited(1000 * n + k, kind)) for n, kind in enumerate(("substitution", "insertion", "deletion")) for k in range(60 if crowd > 2 else 10)]
+    docs = [(2 * k + i, t) for k, (_, two) in enumerate(pairs) for i, t in enumerate(two)]
+    with Workspace(spark, "t") as ws:
+        of = defaultdict(set)
+        for r in compact.near_passages(ws, frame(spark, docs), crowd=crowd).collect():
+            of[r["doc_id"]].add(r["class_doc_id"])
+    found, all_ = Counter(), Counter()
+    for k, (kind, (a, b)) in enumerate(pairs):
+        linked = bool(of[2 * k] & of[2 * k + 1])
+        if best_passage(a, b) >= compact.SIMILAR:
+            all_[kind] += 1
+            found[kind] += linked
+        else:
+            assert not linked
+    print({kind: (found[kind], all_[kind]) for kind in all_})
+    assert all(all_[kind] >= 5 and found[kind] >= 0.9 * all_[kind] for kind in ("substitution", "insertion", "deletion"))

@@ -5,16 +5,15 @@ subsequence i..j with l <= i <= c <= j <= r has the shingle at c as its minimum.
 subsequences. Nodes whose span holds a passage are exactly the minima of passage-long windows, so the tree is built of those alone.
 
 1. Windows meet by function and minimum. Windows with the same shingles around their minimum are one class of copies at once.
-2. Of each class one window brings its shingles. Classes that meet are verified by the exact similarity of passages of ``PASSAGE``
-   words that hold the minimum, inside both windows; links of classes are followed until no class is left to ask.
+2. Of each class one window brings its interval of shingles. Intervals that meet are joined on their minimum: those of which no passage
+   can have enough shingles in common with the others go first, by counts; the rest are verified by the exact similarity of passages
+   of ``PASSAGE`` words that hold the minimum, inside both windows, and links are followed until no class is left to ask.
 3. A document comes back with the first document of each class that its passages belong to.
 """
 
 from __future__ import annotations
 
 import math
-from functools import cached_property
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, partitions, plain_words, table
+from .components import components
 
 SHINGLE, PASSAGE, SIMILAR = 5, 50, 0.8
 #: Shingles of a passage.
@@ -31,6 +31,8 @@ T = PASSAGE - SHINGLE + 1
 HASHES = 3
 #: Shingles that passages without repeats share where their similarity is 0.8.
 NEED = math.ceil(2 * T * SIMILAR / (1 + SIMILAR))
+#: Different windows of one minimum that one task compares; of more, chunks are compared pair by pair.
+CROWD = 100_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
@@ -166,170 +168,197 @@ def alike(a: np.ndarray, ca: int, b: np.ndarray, cb: int, t: int = T) -> float:
     return best
 
 
-def _agreeing(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Most places that agree in a passage, for rows of grids against others (shapes broadcast)."""
-    equal = rows == other
-    sums = np.zeros((*equal.shape[:-1], equal.shape[-1] + 1), np.uint8)
-    np.cumsum(equal, axis=-1, dtype=np.uint8, out=sums[..., 1:])
-    return (sums[..., T:] - sums[..., :-T]).max(axis=-1)
+def grids(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Texts (their shingles one after another, from 1) as rows by distance from the minimum, which stands ``at`` a place; 0 outside."""
+    out = np.zeros((len(sizes), 2 * T - 1), np.int32)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes - (T - 1 - at), sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), place] = flat
+    return out
 
 
-class Group:
-    """Texts around one minimum, on a grid by the distance from it; places outside of a text have numbers below zero."""
+def _sums(x: np.ndarray) -> np.ndarray:
+    """How many places of each passage are true; passage i are the places from i on."""
+    sums = np.zeros((len(x), 2 * T), np.uint8)
+    np.cumsum(x, axis=1, dtype=np.uint8, out=sums[:, 1:])
+    return sums[:, T:] - sums[:, :-T]
 
-    def __init__(self, texts: list[np.ndarray], at: list[int]):
-        self.n = n = len(texts)
-        self.grid = grid = np.repeat(-1 - np.arange(n, dtype=np.int64)[:, None], 2 * T - 1, axis=1)
-        for i, (x, c) in enumerate(zip(texts, at)):
-            grid[i, T - 1 - c : T - 1 - c + len(x)] = x
+
+class Texts:
+    """Texts around minima, on grids. Groups of texts that share a minimum are handled side by side, not one after another."""
+
+    def __init__(self, grid: np.ndarray):
+        self.grid = self.once = grid
+        order = np.argsort(grid, axis=1, kind="stable")
+        value = np.take_along_axis(grid, order, 1)
+        again = (value[:, 1:] == value[:, :-1]) & (value[:, 1:] > 0)
+        self.repeats = again.any(axis=1)
         #: Different shingles of each passage, 0 where it leaves the text, and of the passage with fewest.
-        self.sizes = np.where((grid[:, :T] >= 0) & (grid[:, T - 1 :] >= 0), T, 0).astype(np.int32)
-        self.repeats = np.zeros(n, bool)
-        for i in range(0, n, 4096):
-            part = np.sort(grid[i : i + 4096], axis=1)
-            self.repeats[i : i + 4096] = ((part[:, 1:] == part[:, :-1]) & (part[:, 1:] >= 0)).any(axis=1)
-        for i in np.flatnonzero(self.repeats):
-            order = np.argsort(grid[i], kind="stable")
-            again = grid[i][order[1:]] == grid[i][order[:-1]]
-            before = np.full(2 * T - 1, -1)
-            before[order[1:][again]] = order[:-1][again]
-            fresh = (np.lib.stride_tricks.sliding_window_view(before, T) < np.arange(T)[:, None]).sum(axis=1)
-            self.sizes[i] = np.where(self.sizes[i] > 0, fresh, 0)
+        self.sizes = np.where(_sums(grid > 0) == T, T, 0).astype(np.int16)
+        if self.repeats.any():
+            odd = np.flatnonzero(self.repeats)
+            row, nth = np.nonzero(again[odd])
+            before = np.full((len(odd), 2 * T - 1), -1, np.int16)
+            before[row, order[odd[row], nth + 1]] = order[odd[row], nth]
+            for i in range(T):
+                self.sizes[odd, i] = np.where(self.sizes[odd, i] > 0, (before[:, i : i + T] < i).sum(axis=1), 0)
+            self.once = grid.copy()
+            self.once[odd] = np.where(before < 0, grid[odd], 0)
         self.least = np.where(self.sizes > 0, self.sizes, T).min(axis=1)
 
-    @cached_property
-    def numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Grid of numbers of different shingles, from 1 (0 outside of a text); texts by shingle number, and where each number's begin."""
-        different, number = np.unique(np.where(self.grid < 0, -1, self.grid), return_inverse=True)
-        number = number.reshape(self.grid.shape) + (different[0] >= 0)
-        text = np.repeat(np.arange(self.n), number.shape[1])
-        own = np.unique((number.ravel() * self.n + text)[number.ravel() > 0])
-        top = int(number.max()) + 1
-        return number, own % self.n, np.searchsorted(own // self.n, np.arange(top + 1))
-
-    def sharing(self, i: int, free: np.ndarray) -> np.ndarray:
-        """Free texts with so many shingles of text i that a passage of theirs may be similar to one of it."""
-        number, text, begin = self.numbered
-        own = np.unique(number[i])
-        own = own[own > 0]
-        both = np.bincount(np.concatenate([text[begin[k] : begin[k + 1]] for k in own]), minlength=self.n)
-        enough = np.maximum(SIMILAR * np.maximum(self.least, self.least[i]), SIMILAR / (1 + SIMILAR) * (self.least + self.least[i]))
-        return np.flatnonzero(free & (both >= enough - 1e-9))
-
-    def similar(self, i: int, js: np.ndarray) -> np.ndarray:
-        """Whether any passage of text i is similar to any passage of each other text."""
-        near = np.zeros(len(js), bool)
-        slot = np.full(int(self.numbered[0].max()) + 1, -1)
-        own = np.unique(self.numbered[0][i])
-        own = own[own > 0]
-        slot[own] = np.arange(len(own))
-        # passages with too few shingles of text i at all are similar to none of it
-        some = []
-        for a in range(0, len(js), 1024):
-            part = js[a : a + 1024]
-            sums = np.zeros((len(part), 2 * T), np.int16)
-            np.cumsum(slot[self.numbered[0][part]] >= 0, axis=1, dtype=np.int16, out=sums[:, 1:])
-            sizes = self.sizes[part]
-            enough = np.maximum(SIMILAR * sizes, SIMILAR / (1 + SIMILAR) * (sizes + self.least[i]))
-            some.append(a + np.flatnonzero(((sums[:, T:] - sums[:, :-T] >= enough - 1e-9) & (sizes > 0)).any(axis=1)))
-        some = np.concatenate(some)
-        mine = self._passages(slot, np.array([i]))[0]
-        for a in range(0, len(some), 64):
-            part = js[some[a : a + 64]]
+    def candidates(self, group: np.ndarray) -> np.ndarray:
+        """Texts with a passage of which enough shingles stand in another text of their group, in a time that grows with the rows.
+
+        Shingles are counted in cells by hash; two that share a cell let a text through that the comparison then dismisses.
+        """
+        bits = max(16, int(self.grid.size).bit_length() + 1)
+        cell = (group.astype(np.uint64)[:, None] << np.uint64(31) ^ self.once.astype(np.uint64)) * np.uint64(_ODD[0]) >> np.uint64(64 - bits)
+        seen = np.bincount(cell[self.once > 0].astype(np.int64), minlength=1 << bits) > 1
+        # a repeat counts as its first
+        cell = (group.astype(np.uint64)[:, None] << np.uint64(31) ^ self.grid.astype(np.uint64)) * np.uint64(_ODD[0]) >> np.uint64(64 - bits)
+        odd = np.zeros(int(group.max()) + 1, bool)
+        odd[group[self.repeats]] = True
+        enough = np.where(odd[group][:, None], SIMILAR * self.sizes, NEED) - 1e-9
+        return np.flatnonzero(((_sums(seen[cell.astype(np.int64)] & (self.grid > 0)) >= enough) & (self.sizes > 0)).any(axis=1))
+
+    def similar(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each pair of texts whether any passage of the one is similar to any passage of the other."""
+        near = np.zeros(len(i), bool)
+        for a in range(0, len(i), 2048):
+            x, y = i[a : a + 2048], j[a : a + 2048]
             # texts without repeats: what agrees place by place is a set of as many shingles
-            plain = ~(self.repeats[part] | self.repeats[i])
-            sure = plain & (_agreeing(self.grid[part], self.grid[i]) >= NEED)
+            sure = (_sums((self.grid[x] == self.grid[y]) & (self.grid[x] > 0)).max(axis=1) >= NEED) & ~(self.repeats[x] | self.repeats[y])
             rest = np.flatnonzero(~sure)
-            near[some[a : a + 64]] = sure
-            if len(rest):
-                theirs = self._passages(slot, part[rest])
-                both = np.bitwise_count(mine[None, :, None, :] & theirs[:, None, :, :]).sum(axis=3, dtype=np.int32)
-                x, y = self.sizes[i][None, :, None], self.sizes[part[rest]][:, None, :]
-                near[some[a + rest]] = ((both >= SIMILAR * (x + y - both) - 1e-9) & (x > 0) & (y > 0)).any(axis=(1, 2))
+            near[a : a + 2048] = sure
+            both = np.sort(np.concatenate((self.once[x[rest]], self.once[y[rest]]), axis=1), axis=1)
+            both = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(axis=1)
+            p, q = self.least[x[rest]], self.least[y[rest]]
+            rest = rest[both >= np.maximum(SIMILAR * np.maximum(p, q), SIMILAR / (1 + SIMILAR) * (p + q)) - 1e-9]
+            for b in range(0, len(rest), 64):
+                some = rest[b : b + 64]
+                near[a + some] = self._compared(x[some], y[some])
         return near
 
-    def _passages(self, slot: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Bits of a text's shingles (by slot, two words) in each passage of other texts."""
-        at = slot[self.numbered[0][rows]]
-        have = np.zeros((*at.shape, 2), np.uint64)
-        for word in range(2):
-            here = at >> 6 == word
-            have[..., word][here] = np.uint64(1) << (at[here] & 63).astype(np.uint64)
-        width, out = 1, have
-        while 2 * width <= T:
-            out = out[:, :-width] | out[:, width:]
-            width *= 2
-        return out[:, :T] | out[:, T - width : 2 * T - width]
+    def _compared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The same by the sets of all passages: a bit for each different shingle of a pair."""
+        cells = np.concatenate((self.grid[i], self.grid[j]), axis=1)
+        order = np.argsort(cells, axis=1)
+        value = np.take_along_axis(cells, order, 1)
+        slot = np.empty_like(order)
+        np.put_along_axis(slot, order, np.cumsum(np.diff(value, axis=1, prepend=value[:, :1]) != 0, axis=1), 1)
+        bits = np.zeros((*cells.shape, 3), np.uint64)  # at most 182 different ones
+        for word in range(3):
+            here = (slot >> 6 == word) & (cells > 0)
+            bits[..., word][here] = np.uint64(1) << (slot[here] & 63).astype(np.uint64)
+        sets = []
+        for out in (bits[:, : 2 * T - 1], bits[:, 2 * T - 1 :]):
+            width = 1
+            while 2 * width <= T:
+                out = out[:, :-width] | out[:, width:]
+                width *= 2
+            sets.append(out[:, :T] | out[:, T - width : 2 * T - width])
+        both = np.bitwise_count(sets[0][:, :, None] & sets[1][:, None]).sum(axis=3, dtype=np.int32)
+        x, y = self.sizes[i][:, :, None], self.sizes[j][:, None]
+        return ((both >= SIMILAR * (x + y - both) - 1e-9) & (x > 0) & (y > 0)).any(axis=(1, 2))
+
+    def roots(self, group: np.ndarray) -> np.ndarray:
+        """For each text the first one of its group that links of similar passages reach; groups are numbers that ascend.
+
+        In each round one text of every group asks all of its group that no link has reached yet, so a group of copies takes one
+        round, and each link between classes is found wherever words came in, went or moved.
+        """
+        root, state = np.arange(len(group)), np.zeros(len(group), np.int8)  # free, asks, done
+        live = self.candidates(group) if len(group) else root
+        while len(live):
+            own, st, place = group[live], state[live], np.arange(len(live))
+            heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            size = np.diff(np.append(heads, len(live)))
+            asks, free = (np.minimum.reduceat(np.where(st == x, place, len(live)), heads) for x in (1, 0))
+            who = np.where(asks < len(live), asks, np.minimum(free, len(live) - 1))
+            st[who] = 2
+            others = np.flatnonzero(st == 0)
+            i, j = live[np.repeat(who, size)[others]], live[others]
+            near = self.similar(i, j)
+            root[j[near]] = root[i[near]]
+            st[others[near]] = 1
+            state[live] = st
+            live = live[(st < 2) & np.repeat(np.add.reduceat((st == 0).astype(np.int64), heads) > 0, size)]
+        return root
 
 
 def classes(texts: list[np.ndarray], at: list[int]) -> list[int]:
-    """For each text (shingles around its minimum ``at``) the first one that links of similar passages reach.
+    """For each text of one group (shingles around its minimum ``at``) the first one that links of similar passages reach."""
+    grid = grids(np.concatenate(texts), np.array([len(x) for x in texts]), np.array(at))
+    return Texts(grid).roots(np.zeros(len(texts), np.int64)).tolist()
+
+
+def _reaches(s: np.ndarray) -> np.ndarray:
+    """31 bits of each shingle, from 1."""
+    return np.maximum(s >> np.uint64(33), 1).astype(np.int32)
 
-    Every pair that shares as many shingles as similar passages need is compared by the sets of all its passages, whatever the size of
-    the group and wherever words came in, went or moved.
+
+def _classes(ws: Workspace, docs: DataFrame, met: DataFrame, crowd: int) -> DataFrame:
+    """(k, e, root): classes of copies whose minimum met another, and the class that stands for what they reach.
+
+    ``met`` has in ``kinds`` how many classes of copies share the minimum. Of more than ``crowd`` each pair of chunks is compared in a
+    task of its own, and what the tasks link comes together as components.
     """
-    n = len(texts)
-    if n <= 12:
-        # most groups: a few texts without repeats that share too little
-        sets = [set(t.tolist()) for t in texts]
-        if all(len(x) == len(t) for x, t in zip(sets, texts)) and all(len(x & y) < NEED for x, y in combinations(sets, 2)):
-            return list(range(n))
-    group = Group(texts, at)
-    root, free, left = np.arange(n), np.ones(n, bool), n
-    for first in range(n):
-        if not free[first]:
-            continue
-        free[first], ask, left = False, [first], left - 1
-        while ask and left:
-            i = ask.pop()
-            js = group.sharing(i, free)
-            if len(js):
-                js = js[group.similar(i, js)]
-                root[js], free[js], left = first, False, left - len(js)
-                ask += js.tolist()
-    return root.tolist()
-
-
-def _classes(docs: DataFrame, met: DataFrame, rows: int) -> DataFrame:
-    """(k, e, root): classes of copies whose minimum met another, and the class that stands for what they reach."""
-    lists = met.groupBy("d").agg(F.collect_list(F.struct("k", "e", "c", "lo", "hi")).alias("windows")).withColumnRenamed("d", "d2")
-    brought = pa.schema([("k", pa.int64()), ("e", pa.int64()), ("c", pa.int32()), ("s", pa.list_(pa.int32()))])
-    linked = pa.schema([("k", pa.int64()), ("e", pa.int64()), ("root", pa.int64())])
+    lists = met.groupBy("d").agg(F.collect_list(F.struct("k", "e", "c", "lo", "hi", "kinds")).alias("windows")).withColumnRenamed("d", "d2")
+    names = ("k", "b", "m", "e", "c", "s")
+    brought = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))))
+    linked = pa.schema([(x, pa.int64()) for x in ("k", "e", "root", "m")])
 
     def bring(batches):
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                k, e, c, s = [], [], [], []
-                for r in batch.slice(i, 64).to_pylist():
-                    own = (shingles(r["text"]) >> np.uint64(33)).astype(np.int32)
-                    for w in r["windows"]:
-                        k.append(w["k"])
-                        e.append(w["e"])
-                        c.append(w["c"] - w["lo"])
-                        s.append(own[w["lo"] : w["hi"] + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(e), pa.array(c, pa.int32()), pa.array(s, pa.list_(pa.int32()))], schema=brought)
+            for part in _pieces(batch):
+                s, begin = joined(part.column("text").to_pylist())
+                windows = part.column("windows")
+                own = windows.flatten()
+                k, e, c, lo, hi, kinds = (own.field(x).to_numpy() for x in ("k", "e", "c", "lo", "hi", "kinds"))
+                first = np.repeat(begin, pa.compute.list_value_length(windows).to_numpy())
+                m = -(-kinds // crowd)
+                chunk = (e.view(np.uint64) % m.astype(np.uint64)).astype(np.int64)
+                row = np.repeat(np.arange(len(k)), m)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+                block = np.minimum(chunk[row], other) * m[row] + np.maximum(chunk[row], other)
+                size = (hi - lo + 1).astype(np.int64)[row]
+                at = np.arange(size.sum()) + np.repeat((first + lo)[row] - (np.cumsum(size) - size), size)
+                ends = np.concatenate(([0], np.cumsum(4 * size))).astype(np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(_reaches(s[at]))])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (k[row], block, m[row], e[row], (c - lo)[row])), texts], schema=brought)
 
     def shard(batches):
-        parts = list(batches)
+        parts = [b for b in batches if len(b)]
         if not parts:
             return
-        whole = pa.Table.from_batches(parts).sort_by([("k", "ascending"), ("e", "ascending")])
-        k, e, c = (whole.column(x).to_numpy() for x in "kec")
-        heads = np.append(np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))), len(k))
-        out = [[], [], []]
-        for a, b in zip(heads[:-1], heads[1:]):
-            texts = [np.array(x, np.int32) for x in whole.column("s").slice(a, b - a).to_pylist()]
-            root = classes(texts, c[a:b].tolist())
-            out[0].append(k[a:b])
-            out[1].append(e[a:b])
-            out[2].append(e[a:b][root])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=linked)
-
-    cuts = docs.join(lists, docs["d"] == lists["d2"]).select("text", "windows").mapInArrow(bring, "k long, e long, c int, s array<int>")
-    return cuts.repartition(partitions(docs.sparkSession, rows, 20_000), "k").mapInArrow(shard, "k long, e long, root long")
-
-
-def near_passages(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        k, block, m, e, c = (np.concatenate([b.column(x).to_numpy() for b in parts]) for x in names[:5])
+        flat, sizes = [], []
+        for b in parts:
+            texts = b.column("s")
+            ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            flat.append(np.frombuffer(texts.buffers()[2], np.int32)[ends[0] // 4 : ends[-1] // 4])
+            sizes.append(np.diff(ends) // 4)
+        grid = grids(np.concatenate(flat), np.concatenate(sizes), c.astype(np.int64))
+        order = np.lexsort((e, block, k))
+        k, block, m, e = k[order], block[order], m[order], e[order]
+        group = np.cumsum(np.concatenate(([False], (k[1:] != k[:-1]) | (block[1:] != block[:-1]))))
+        root = Texts(grid[order]).roots(group)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (k, e, e[root], m))], schema=linked)
+
+    spark = docs.sparkSession
+    rows = met.agg(F.sum(F.ceil(F.col("kinds") / crowd))).first()[0] or 0
+    cuts = docs.join(lists, docs["d"] == lists["d2"]).select("text", "windows").mapInArrow(bring, "k long, b long, m long, e long, c int, s binary")
+    cuts = cuts.repartition(partitions(spark, rows, 20_000), "k", "b")
+    found = ws.save(cuts.mapInArrow(shard, "k long, e long, root long, m long"), "linked")
+    out, crowded = found.where("m = 1").select("k", "e", "root"), found.where("m > 1")
+    if not crowded.isEmpty():
+        node = crowded.select("k", "e", F.xxhash64("k", "e").alias("a"), F.xxhash64("k", "root").alias("b"))
+        reach = components(ws, node.select("a", "b"))
+        node = node.select("k", "e", "a").distinct().join(reach, F.col("a") == F.col("node"), "left")
+        out = out.unionByName(node.select("k", "e", F.coalesce(reach["root"], "a").alias("root")))
+    return out
+
+
+def near_passages(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """Passages of whole texts that occur elsewhere with a similarity of ``SIMILAR`` or more.
 
     doc_id, class_doc_id (the smallest document of the class that the passage belongs to), start (first word), n_words, n_windows
@@ -344,9 +373,9 @@ def near_passages(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_c
     found = ws.save(found.join(more, "k", "left_semi"), "met-windows")
     ws.drop("windows")
     kinds = ws.save(found.groupBy("k", "e").agg(F.count("*").alias("n"), F.min(F.struct("d", "c", "lo", "hi")).alias("rep"), F.max("d").alias("last")), "kinds")
-    several = kinds.groupBy("k").agg(F.count("*").alias("kinds")).where("kinds > 1").select("k")
-    met = ws.save(kinds.join(several, "k", "left_semi").select("k", "e", "rep.*"), "met")
-    linked = ws.save(_classes(docs.dropDuplicates(["d"]), met, met.count()), "linked")
+    several = kinds.groupBy("k").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    met = ws.save(kinds.join(several, "k").select("k", "e", "rep.*", "kinds"), "met")
+    linked = _classes(ws, docs.dropDuplicates(["d"]), met, crowd)
     kinds = kinds.join(linked, ["k", "e"], "left").withColumn("root", F.coalesce("root", "e"))
     size = kinds.groupBy("k", "root").agg(F.min("rep.d").alias("a"), F.max("last").alias("b")).where("a <> b").select("k", "root")
     kinds = kinds.join(size, ["k", "root"]).select("k", "e", "root")
