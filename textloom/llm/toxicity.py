@@ -1,14 +1,17 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A window of words is compressed twice: with the ordinary dictionary alone, and with the toxic dictionary's content before it, where
-matches cost a little more than those in the ordinary one. What the second saves is the window's evidence. Sums over a document's windows, by their number, and the largest
-window feed a logistic threshold, fitted on labelled texts that no dictionary has seen.
+One dictionary is trained on toxic texts and one, of the same size, on as many ordinary texts; no text is in both. A window of words is
+compressed with either, and the difference of the two lengths is the window's evidence. Both dictionaries lie before the same base, a
+third one of other ordinary texts, so that the two lengths differ by what either class says and not by which rare words it happened to
+hold. In a second round the toxic dictionary is trained on those windows of toxic texts that it compressed better than the ordinary one.
+
+How far differences go beyond margins to either side, by the number of windows, and the largest difference feed a logistic threshold,
+fitted on labelled texts that no dictionary has seen.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -19,18 +22,21 @@ from pyspark.sql import functions as F
 
 from .common import plain_words, remainder, small_batches, table, tidy
 
-WINDOW = 8
+WINDOW = 24
 LEVEL = 9
-#: Bytes that a window saves count beyond each of these.
-MARGINS = (0, 1, 2, 3, 4)
-TOXIC_BYTES, ORDINARY_BYTES = 2048, 112_640
+#: Bytes that windows differ by count beyond each of these, to either side.
+MARGINS = (0, 1, 2, 3, 4, 6)
+#: Bytes of a class's dictionary and of the base; lengths of the segments and of the strings that training counts.
+CLASS_BYTES, BASE_BYTES, SEGMENT, COUNTED = 8192, 112_640, 8, 6
+#: Words of a training window in the first round and in the second, and bytes by which a window goes on to the second.
+FIRST, SECOND, GAIN = 3, 12, 3
+#: Pairs of dictionaries, each trained without another part of the texts; their differences are averaged.
+PAIRS = 3
 #: Bounds of the labelled sample: texts of each class, and the longest text that is learnt from, in characters.
 SAMPLE = {1: 2000, 0: 4000}
 LONGEST = 20_000
-#: A word teaches the toxic dictionary if so many different toxic texts have it, and this share of them, and no ordinary text of the
-#: sample does. The share keeps out what a few near copies of one toxic text have in common.
-RECURS, RECURS_SHARE = 3, 0.015
 THRESHOLD = 0.3
+FEATURES = 2 * len(MARGINS) + 2
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -41,82 +47,96 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    ordinary: bytes
-    toxic: bytes
-    weights: tuple[float, ...] = (0.0,) * (len(MARGINS) + 2)
+    #: An ordinary and a toxic dictionary each.
+    pairs: tuple[tuple[bytes, bytes], ...]
+    base: bytes
+    weights: tuple[float, ...] = (0.0,) * (FEATURES + 1)
 
     def features(self, text: str | None) -> list[float]:
-        plain, both = _compressors(self.ordinary, self.toxic)
-        own = windows(text)
-        saved = [len(plain(w)) - len(both(w)) for w in own]
-        sums = [sum(s - m for s in saved if s > m) / len(own) for m in MARGINS]
-        return [*np.log1p(100 * np.array(sums)), np.log1p(max(0, *saved))]
+        own, gain = windows(text), 0.0
+        for pair in self.pairs:
+            plain, toxic = (_compressor(d, self.base) for d in pair)
+            gain = gain + np.array([len(plain(w)) - len(toxic(w)) for w in own], np.float64) / len(self.pairs)
+        sums = [np.maximum(side - m, 0).sum() / len(own) for side in (gain, -gain) for m in MARGINS]
+        return [*np.log1p(100 * np.array(sums)), np.log1p(max(0.0, gain.max())), gain.mean()]
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights, [1.0, *self.features(text)]), -30, 30))))
 
 
 @cache
-def _compressors(ordinary: bytes, toxic: bytes):
+def _compressor(own: bytes, base: bytes):
+    """Compresses with a class's dictionary before the base. Both are content alone: literals cost either class the same."""
     import zstandard
 
-    out = []
-    for raw in (ordinary, toxic + ordinary):
-        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        out.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-    return out
+    d = zstandard.ZstdCompressionDict(own + base, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
 
-def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary; too few samples to train on become the dictionary themselves."""
+def _trained(size: int, samples: list[bytes], **how: int) -> bytes:
+    """Content of a trained dictionary, which follows its three first offsets; too few samples to train on become the content themselves."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes().partition(bytes((1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0)))[2]
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:] or b" "
+        return b"".join(samples)[-size:]
+
+
+def _pair(plain: list[str], toxic: list[str], base: bytes) -> tuple[bytes, bytes]:
+    """A dictionary of ordinary and one of toxic texts; the toxic one anew on those of its windows that it compressed better."""
+    how = {"k": SEGMENT, "d": COUNTED}
+    ordinary, first = (_trained(CLASS_BYTES, [w for t in own for w in windows(t, FIRST)], **how) for own in (plain, toxic))
+    short, long = _compressor(first, base), _compressor(ordinary, base)
+    better = [w for t in toxic for w in windows(t, SECOND) if len(long(w)) - len(short(w)) >= GAIN]
+    return ordinary, _trained(CLASS_BYTES, better, **how) or first
 
 
 def fit(texts: list[tuple[str, int]], share: float | None = None) -> Model:
     """A model of labelled texts, the same for the same texts in any order. ``share``: toxic texts in the corpus, if the sample's share differs.
 
-    Of the different texts two thirds train the dictionaries and one third sets the threshold. A text that occurs with both labels,
-    or without words, teaches nothing. Without toxic texts every score is the share.
+    Of the different texts three quarters train the dictionaries and one quarter sets the threshold. A text that occurs with both
+    labels, or without words, teaches nothing. Without toxic texts every score is the share.
     """
     labels: dict[str, set[int]] = {}
     for text, y in texts:
         labels.setdefault(text or "", set()).add(y)
     known = sorted(((hashlib.md5(t.encode("utf-8", "replace")).digest(), t, y.copy().pop()) for t, y in labels.items() if len(y) == 1 and plain_words(t)))
-    learn, check = [x[1:] for x in known if x[0][0] % 3], [x[1:] for x in known if not x[0][0] % 3]
-    plain = [t for t, y in learn if not y]
-    common = {w for t in plain for w in plain_words(t)}
-    recurs = Counter(w for t, y in learn if y for w in set(plain_words(t)) if w not in common)
-    often = max(RECURS, RECURS_SHARE * sum(y for _, y in learn))
-    rare = [b" " + b" ".join(w for w in plain_words(t) if recurs[w] >= often) + b" " for t, y in learn if y]
-    rare = [r for r in rare if len(r) > 8]
-    ordinary = _trained(ORDINARY_BYTES, [w for t in plain[:3000] for w in windows(t)][:150_000])
-    model = Model(ordinary, _trained(TOXIC_BYTES, rare))
-    return Model(ordinary, model.toxic, _logistic(np.array([model.features(t) for t, _ in check]).reshape(len(check), len(MARGINS) + 1), np.array([y for _, y in check]), share))
+    learn, check = [x[1:] for x in known if x[0][0] % 4], [x[1:] for x in known if not x[0][0] % 4]
+    toxic, plain = ([t for t, y in learn if y == x] for x in (1, 0))
+    n = min(len(toxic), -(-len(plain) // 2))
+    by_class, rest = (plain[:n], toxic), plain[n:]
+    base = _trained(BASE_BYTES, [w for t in rest for w in windows(t, WINDOW // 3)])
+    pairs = tuple(_pair(*([t for i, t in enumerate(own) if i % PAIRS != k] for own in by_class), base) for k in range(PAIRS))
+    model = Model(pairs, base)
+    x = np.array([model.features(t) for t, _ in check]).reshape(len(check), FEATURES)
+    return Model(pairs, base, _logistic(x, np.array([y for _, y in check]), share))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: float | None) -> tuple[float, ...]:
     """Newton steps with a small ridge; the intercept moves to the corpus's share of label 1."""
     prior = min(max(share if share is not None else (y.mean() if len(y) else 0.0), 1e-4), 1 - 1e-4)
     if not len(y) or y.min() == y.max():
-        return (float(np.log(prior / (1 - prior))), *[0.0] * (len(MARGINS) + 1))
-    x, w = np.column_stack([np.ones(len(y)), x]), np.zeros(len(MARGINS) + 2)
+        return (float(np.log(prior / (1 - prior))), *[0.0] * FEATURES)
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    x, w = np.column_stack([np.ones(len(y)), (x - middle) / spread]), np.zeros(FEATURES + 1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        ridge = np.diag([1e-3, *[0.1] * (len(MARGINS) + 1)])
+        ridge = np.diag([1e-3, *[0.5] * FEATURES])
         w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
     own = y.mean()
+    w[1:] /= spread
+    w[0] -= w[1:] @ middle
     w[0] += np.log(prior / (1 - prior)) - np.log(own / (1 - own))
     return tuple(map(float, w))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], float | None]:
-    """Labelled texts to learn from, at most ``SAMPLE`` of each class in the order of a hash, and the share of class 1 among labels."""
+    """Labelled texts to learn from, at most ``SAMPLE`` of each class in the order of a hash, and the share of class 1 among labels.
+
+    Of rows that share an identifier one teaches, whatever their order; null texts and identifiers teach nothing.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     if not n:
@@ -126,8 +146,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         part = known.where(F.col("y") == y).orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
         few = part if few is None else few.unionByName(part)
     short = docs.where(F.length(text_col) <= LONGEST).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # both the ids that are broadcast and the rows that are collected are bounded by SAMPLE
-    rows = short.join(F.broadcast(few.distinct()), "id").select("text", "y").limit(2 * sum(SAMPLE.values())).collect()
+    # the ids that are broadcast are bounded by SAMPLE; so are the rows collected, one text for each, the least by its digest
+    rows = short.join(F.broadcast(few.distinct()), "id").groupBy("id", "y").agg(F.min(F.struct(F.md5("text"), "text")).alias("own")).select("own.text", "y").collect()
     return [(r["text"], r["y"]) for r in rows], n.get(1, 0) / sum(n.values())
 
 
@@ -154,6 +174,7 @@ def learn(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every row of ``documents``; labels of the held-out rows are not read."""
     docs = table(spark, sf_dir, "documents")
     out = score(docs, learn(spark, docs, sf_dir))
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
