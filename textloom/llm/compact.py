@@ -4,7 +4,8 @@ For each of ``HASHES`` hash functions the shingles of a text form a Cartesian tr
 subsequence i..j with l <= i <= c <= j <= r has the shingle at c as its minimum. One such compact window stands for all of these
 subsequences. Nodes whose span holds a passage are exactly the minima of passage-long windows, so the tree is built of those alone.
 
-1. Windows meet by function and minimum. Windows with the same shingles around their minimum are one class of copies at once.
+1. Windows meet by function and minimum. Windows with the same shingles around their minimum are one class of copies at once, and so
+   are windows with the same passages as sets, where texts repeat themselves.
 2. Of each class one window brings its interval of shingles. Intervals that meet are joined on their minimum: those of which no passage
    can have enough shingles in common with the others go first, by counts; the rest are verified by the exact similarity of passages
    of ``PASSAGE`` words that hold the minimum, inside both windows, and links are followed until no class is left to ask.
@@ -106,6 +107,41 @@ def _reach(left, c, right) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(left, c - T + 1), np.minimum(right, c + T - 1)
 
 
+def _before(s: np.ndarray) -> np.ndarray:
+    """Place at which each shingle stood last, -1 for none."""
+    out, order = np.full(len(s), -1, np.int64), np.argsort(s, kind="stable")
+    same = np.flatnonzero(s[order[1:]] == s[order[:-1]])
+    out[order[same + 1]] = order[same]
+    return out
+
+
+def passages(s: np.ndarray, before: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Reaches in which a shingle stands twice, and for each a hash of its passages, as sets of sets.
+
+    Where a text repeats a word or a line, reaches move on place by place and hold the same sets all along. Their similarity to any
+    other is the same, so they are copies of one another.
+    """
+    close = np.concatenate(([0], np.cumsum(before >= np.arange(len(s)) - 2 * T)))
+    some = np.flatnonzero(close[hi + 1] > close[lo + 1])
+    odd, out = [], []
+    for a in range(0, len(some), 4096):
+        own = some[a : a + 4096]
+        at = lo[own, None] + np.arange(2 * T - 1)
+        inside = at <= hi[own, None]
+        at = np.minimum(at, len(s) - 1)
+        last = np.where(inside, before[at] - lo[own, None], -1)
+        real = (last >= 0).any(axis=1)
+        own, last, inside, value = own[real], last[real], inside[real], mixed(s[at[real]], 0)
+        sets = np.zeros((len(own), T), np.uint64)
+        for i in range(T):
+            sets[:, i] = np.where(inside[:, i + T - 1], (value[:, i : i + T] * (last[:, i : i + T] < i)).sum(axis=1, dtype=np.uint64), 0)
+        sets.sort(axis=1)
+        sets[:, 1:][sets[:, 1:] == sets[:, :-1]] = 0
+        odd.append(own)
+        out.append(mixed(sets, 1).sum(axis=1, dtype=np.uint64))
+    return np.concatenate([np.zeros(0, np.int64), *odd]), np.concatenate([np.zeros(0, np.uint64), *out])
+
+
 _ROW = pa.schema([("k", pa.int64()), ("e", pa.int64()), ("d", pa.int64()), ("c", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
@@ -123,7 +159,7 @@ def _windows(docs: DataFrame) -> DataFrame:
                 # prefix sums restart where the powers end; a reach is far shorter than that
                 power = np.arange(len(s)) & (len(up) - 1)
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s * up[power])))
-                cols = [[] for _ in range(6)]
+                cols, before = [[] for _ in range(6)], _before(s)
                 for f in range(HASHES):
                     h = mixed(s, f)
                     left, c, right = compact_windows(h)
@@ -136,6 +172,8 @@ def _windows(docs: DataFrame) -> DataFrame:
                     for i in np.flatnonzero(power[lo] > power[hi]):
                         e[i] = (s[lo[i] : hi[i] + 1] * up[: hi[i] + 1 - lo[i]]).sum(dtype=np.uint64)
                     e ^= (hi - lo).astype(np.uint64) << np.uint64(8) | (c - lo).astype(np.uint64)
+                    odd, sets = passages(s, before, lo, hi)
+                    e[odd] = sets
                     first = begin[doc]
                     for col, x in zip(cols, (h[c].view(np.int64), e.view(np.int64), d[doc], (c - first).astype(np.int32), (lo - first).astype(np.int32), (hi - first).astype(np.int32))):
                         col.append(x)
