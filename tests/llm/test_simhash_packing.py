@@ -9,11 +9,11 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textloom.llm import packing, simhash
+from textloom.llm import packing, similar, simhash
 from textloom.llm.common import Workspace
 from textloom.llm.components import components
 
-from .helpers import frame, texts
+from .helpers import frame, prose, texts
 
 
 def brute_fingerprint(text):
@@ -75,10 +75,87 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert got == sorted((i or -1, f, want[k]) for k, ((i, _), f) in enumerate(zip(rows, fps)))
 
 
+def shingles5(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(a, b):
+    return a == b or (bool(a | b) and len(a & b) >= 0.8 * len(a | b))
+
+
+def similar_roots(rows):
+    sets = [shingles5(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and alike(sets[i], sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return [min((i for (i, _), r in zip(rows, root) if r == own and i is not None), default=None) for own in root]
+
+
+def variants():
+    """Copies of texts with words changed, put in or left out, so that similarities lie on both sides of 0.8."""
+    out = []
+    for k in range(24):
+        w = prose(700 + k // 6, 200 + 40 * (k // 6)).split()
+        r = np.random.default_rng(k)
+        for at in sorted(r.choice(len(w), k % 6 + 1 if k % 6 else 0, replace=False), reverse=True):
+            w[at : at + 1] = [["other"], [], [w[at], "more"]][int(r.integers(3))]
+        out.append((200 + k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [3, simhash.AT_ONCE])
+def test_similar_documents_match_brute_force(spark, at_once):
+    rows = texts() + variants()
+    with Workspace(spark, "t") as ws:
+        got = Counter((r["doc_id"], r["component_id"]) for r in similar.similar_documents(ws, frame(spark, rows), at_once=at_once).collect())
+    assert got == Counter(zip((i for i, _ in rows), similar_roots(rows)))
+
+
+def test_similar_recall():
+    """Pairs with a similarity of 0.8 to 0.85 meet at an anchor in nearly all cases, and unrelated ones are never within the radius."""
+    r, met, far = np.random.default_rng(8), 0, 0
+    for _ in range(300):
+        a = r.integers(1, 2**63, 200, dtype=np.uint64)
+        b = np.concatenate([a[20:], r.integers(1, 2**63, 20, dtype=np.uint64)])
+        fp = np.frombuffer(b"".join(similar.sketch(np.unique(x))[1] for x in (a, b, r.integers(1, 2**63, 200, dtype=np.uint64))), "<u8").reshape(3, -1)
+        assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.82
+        ok = False
+        for block in range(similar.BLOCKS):
+            row, at, nearest = similar.anchors(fp[:2], block)
+            ok |= any(bool(set(at[(row == x) & nearest]) & set(at[row == 1 - x])) for x in (0, 1))
+        met += ok and similar._apart(fp[0], fp[1]) <= similar.RADIUS
+        far += similar._apart(fp[0], fp[2]) <= similar.RADIUS
+    assert met >= 0.95 * 300 and not far
+
+
+def test_forest_is_least():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, (4, similar.WORDS), dtype=np.uint64)
+    fp = base[r.integers(0, 4, 60)]
+    for row in fp:
+        for bit in r.integers(0, 230, r.integers(0, 40)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    d = similar._apart(fp[:, None], fp[None])
+    got = similar.forest(fp, np.ones(60, bool))
+    pairs, root, want = sorted((int(d[i, j]), i, j) for i in range(60) for j in range(i) if d[i, j] <= similar.RADIUS), list(range(60)), 0
+    n = 0
+    for x, i, j in pairs:
+        if root[i] != root[j]:
+            root, want, n = [root[i] if k == root[j] else k for k in root], want + x, n + 1
+    assert len(got) == n and sum(int(d[i, j]) for i, j in got) == want
+
+
 def test_stage_keeps_one_of_each_group(spark):
-    kept = [r["doc_id"] for r in simhash.stage(spark, frame(spark), "").collect()]
+    df = frame(spark)
+    out = similar.stage(spark, df, "")
+    kept = [r["doc_id"] for r in out.collect()]
+    assert out.columns == df.columns
     assert 1 in kept and 2 not in kept and 4 not in kept and 7 in kept and 8 not in kept
-    assert simhash.stage(spark, frame(spark, []), "").count() == 0
+    assert similar.stage(spark, frame(spark, []), "").count() == 0
 
 
 def test_components(spark):

@@ -92,7 +92,7 @@ def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return near, errors[order], first
 
 
-def _remainders(x: np.ndarray) -> np.ndarray:
+def remainders(x: np.ndarray) -> np.ndarray:
     for i in range(22, 10, -1):
         x = np.where(x >> i & 1, x ^ (GENERATOR << (i - 11)), x)
     return x
@@ -103,7 +103,7 @@ def anchors(fp: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     at, bits = BLOCKS[block]
     near, errors, first = golay()
     x = (fp.view(np.uint64) >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    rem = _remainders(x)
+    rem = remainders(x)
     n = first[rem + 1] - first[rem]
     row = np.repeat(np.arange(len(x)), n)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
