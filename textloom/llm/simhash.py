@@ -204,12 +204,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Workspace(spark, "op4") as ws:
         out = near_duplicates(ws, table(spark, sf_dir, "documents"))
         return ws.result(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those whose component has a smaller identifier. Rows that repeat an identifier stay or go together."""
-    with Workspace(spark, "simhash-stage") as ws:
-        own = near_duplicates(ws, docs)
-        gone = own.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("not stays")
-        gone = ws.result(gone.select(F.col("doc_id").alias("__gone")), "gone")
-        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
