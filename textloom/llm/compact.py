@@ -121,11 +121,9 @@ def passages(s: np.ndarray, before: np.ndarray, lo: np.ndarray, hi: np.ndarray)
     Where a text repeats a word or a line, reaches move on place by place and hold the same sets all along. Their similarity to any
     other is the same, so they are copies of one another.
     """
-    close = np.concatenate(([0], np.cumsum(before >= np.arange(len(s)) - 2 * T)))
-    some = np.flatnonzero(close[hi + 1] > close[lo + 1])
     odd, out = [], []
-    for a in range(0, len(some), 4096):
-        own = some[a : a + 4096]
+    for a in range(0, len(lo), 1024):
+        own = np.arange(a, min(a + 1024, len(lo)))
         at = lo[own, None] + np.arange(2 * T - 1)
         inside = at <= hi[own, None]
         at = np.minimum(at, len(s) - 1)
@@ -160,6 +158,7 @@ def _windows(docs: DataFrame) -> DataFrame:
                 power = np.arange(len(s)) & (len(up) - 1)
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s * up[power])))
                 cols, before = [[] for _ in range(6)], _before(s)
+                close = np.concatenate(([0], np.cumsum(before >= np.arange(len(s)) - 2 * T)))
                 for f in range(HASHES):
                     h = mixed(s, f)
                     left, c, right = compact_windows(h)
@@ -172,8 +171,12 @@ def _windows(docs: DataFrame) -> DataFrame:
                     for i in np.flatnonzero(power[lo] > power[hi]):
                         e[i] = (s[lo[i] : hi[i] + 1] * up[: hi[i] + 1 - lo[i]]).sum(dtype=np.uint64)
                     e ^= (hi - lo).astype(np.uint64) << np.uint64(8) | (c - lo).astype(np.uint64)
-                    odd, sets = passages(s, before, lo, hi)
-                    e[odd] = sets
+                    again = np.flatnonzero(close[hi + 1] > close[lo + 1])
+                    _, some, same = np.unique(e[again], return_index=True, return_inverse=True)
+                    odd, sets = passages(s, before, lo[again[some]], hi[again[some]])
+                    kinds = e[again[some]]
+                    kinds[odd] = sets
+                    e[again] = kinds[same]
                     first = begin[doc]
                     for col, x in zip(cols, (h[c].view(np.int64), e.view(np.int64), d[doc], (c - first).astype(np.int32), (lo - first).astype(np.int32), (hi - first).astype(np.int32))):
                         col.append(x)
@@ -226,17 +229,17 @@ class Texts:
 
     def __init__(self, grid: np.ndarray):
         self.grid = self.once = grid
-        order = np.argsort(grid, axis=1, kind="stable")
-        value = np.take_along_axis(grid, order, 1)
-        again = (value[:, 1:] == value[:, :-1]) & (value[:, 1:] > 0)
-        self.repeats = again.any(axis=1)
+        value = np.sort(grid, axis=1)
+        self.repeats = ((value[:, 1:] == value[:, :-1]) & (value[:, 1:] > 0)).any(axis=1)
         #: Different shingles of each passage, 0 where it leaves the text, and of the passage with fewest.
         self.sizes = np.where(_sums(grid > 0) == T, T, 0).astype(np.int16)
         if self.repeats.any():
             odd = np.flatnonzero(self.repeats)
-            row, nth = np.nonzero(again[odd])
+            order = np.argsort(grid[odd], axis=1, kind="stable")
+            value = np.take_along_axis(grid[odd], order, 1)
+            row, nth = np.nonzero((value[:, 1:] == value[:, :-1]) & (value[:, 1:] > 0))
             before = np.full((len(odd), 2 * T - 1), -1, np.int16)
-            before[row, order[odd[row], nth + 1]] = order[odd[row], nth]
+            before[row, order[row, nth + 1]] = order[row, nth]
             for i in range(T):
                 self.sizes[odd, i] = np.where(self.sizes[odd, i] > 0, (before[:, i : i + T] < i).sum(axis=1), 0)
             self.once = grid.copy()
