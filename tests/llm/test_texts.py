@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom.llm import chat, compact, decontaminate, lm, quality, sstable, toxicity
 from textloom.llm.common import Workspace
@@ -54,6 +55,21 @@ def test_shards_round_trip(spark, vocab, tmp_path):
     want = Counter((i, zlib.crc32(e)) for (i, _), e in zip(docs, enc.encode([t for _, t in docs])))
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in sstable.digests(spark, f"file://{tmp_path}/out", shards).collect()) == want
     assert sstable.write(frame(spark, []), f"file://{tmp_path}/none", vocab) == []
+    assert sstable.digests(spark, f"file://{tmp_path}/none", []).count() == 0
+
+
+def test_the_smallest_identifier_is_not_null(spark, vocab, tmp_path):
+    docs = [(None, "none"), (-(2**63), "least"), (2**63 - 1, "most"), (None, "none again")]
+    shards = sstable.write(frame(spark, docs), f"file://{tmp_path}/out", vocab, per_shard=100)
+    rows = sstable.read(spark, f"file://{tmp_path}/out", shards).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None, None, -(2**63), 2**63 - 1]
+    f = io.BytesIO()
+    w = sstable.Writer(f)
+    for i, d in enumerate((None, -(2**63), 5)):
+        w.add(sstable.key(d), i, np.arange(2))
+    w.close()
+    r = sstable.Reader(f, len(f.getvalue()))
+    assert [[s for s, _ in r.get(d)] for d in (None, -(2**63), 5, 6)] == [[0], [1], [2], []]
 
 
 def test_lookup_in_one_shard():
@@ -124,10 +140,19 @@ def test_quality_counts(spark):
         assert not any(r["kept"] and r["base_failed"] for r in by[i])
 
 
+def test_a_small_language_is_not_held_against_others(spark):
+    """Under one percent of all words there is no reference; the same texts are judged where their share is larger."""
+    rows = [(k, prose(800 + k, 400), "aa") for k in range(60)] + [(100, " ".join(chr(0x3042 + k % 80) * 8 for k in range(70)), "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with Workspace(spark, "t") as ws:
+        few = {r["doc_id"]: r for r in quality.rate(ws, df).collect()}
+        assert few[100]["class_distance"] > quality.FAR_CLASSES and few[100]["kept"]
+        odd = df.where("doc_id = 100").withColumn("lang", F.lit("aa"))
+        assert [r["kept"] for r in quality.rate(ws, df.where("doc_id < 100").unionByName(odd)).where("doc_id = 100").collect()] == [False]
+
+
 def test_distance_is_jensen_shannon(spark):
     df = spark.createDataFrame([([3, 1, 0],), ([0, 0, 5],), ([6, 2, 0],)], "c array<bigint>")
-    from pyspark.sql import functions as F
-
     total = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x)
     got = [r[0] for r in df.select(quality.distance(F.col("c"), total, [3, 1, 0])).collect()]
     assert got[0] == pytest.approx(0, abs=1e-6) and got[1] == pytest.approx(1) and got[2] == pytest.approx(0, abs=1e-6)
@@ -248,6 +273,16 @@ def test_decontamination_without_identifiers(spark, tmp_path):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, prose(78, 60)), (2, prose(80, 60))]
 
 
+def test_fingerprints_of_very_long_items(spark):
+    """Counters hold more than 65535 shingles."""
+    r = np.random.default_rng(9)
+    h = r.integers(-(2**63), 2**63 - 1, 70_000)
+    h[:68_000] |= 1 << 7
+    got = spark.createDataFrame([(h.tolist(),)], "h array<bigint>").select(decontaminate.fingerprint(F.col("h"), F.size("h"))).first()[0]
+    bits = np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    assert got % 2**64 == sum(1 << b for b in range(64) if 2 * bits[b] > len(h))
+
+
 def test_decontamination_matches_brute_force(spark):
     item = [prose(70, 20), prose(71, 40), prose(72, 12), "too short now", None, "again " * 12]
     w = item[1].split()

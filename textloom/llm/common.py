@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,7 +83,9 @@ class Workspace:
         if not at:
             at = spark.sparkContext.getCheckpointDir()
             at = at.rsplit("/", 1)[0] if at else None
-        if not at:  # a local session, as in tests: nobody named a shared folder
+        if not at:  # a session in one process, as in tests: nobody named a shared folder
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             at = "file:///tmp/textloom-checkpoints"
             spark.conf.set("spark.checkpoint.dir", at)
         self.root = f"{at.rstrip('/')}/textloom-{name}-{uuid.uuid4().hex}"

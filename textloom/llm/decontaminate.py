@@ -34,22 +34,27 @@ def with_shingles(df: DataFrame, text: Column) -> DataFrame:
     return with_grams(df, words(F.lower(text)), SHINGLE, "sh")
 
 
-def fingerprint(hashes: Column, n: Column) -> Column:
-    """SimHash of ``n`` hashes: a bit is set where over half of them set it. Counters stand in lanes of 16 bits, four to a long."""
+def _lanes(hashes: Column, n: Column, width: int) -> Column:
+    """Counters of ``width`` bits side by side in longs; one pass over the hashes for each of ``width`` bits."""
+    one = sum(1 << k for k in range(0, 64, width))
 
     def lane(j: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(0x0001000100010001)))
-
-    at = F.array(*map(lane, range(16)))
-    bit = lambda j, k: F.when(2 * F.shiftrightunsigned(at[j], 16 * k).bitwiseAND(F.lit(0xFFFF)) > n, F.shiftleft(F.lit(1).cast("long"), j + 16 * k)).otherwise(F.lit(0).cast("long"))
-    out = bit(0, 0)
-    for j in range(16):
-        for k in range(4):
-            if j or k:
-                out = out.bitwiseOR(bit(j, k))
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(one)))
+
+    at = F.array(*map(lane, range(width)))
+    out = None
+    for j in range(width):
+        for k in range(0, 64, width):
+            bit = F.when(2 * F.shiftrightunsigned(at[j], k).bitwiseAND(F.lit((1 << width) - 1)) > n, F.shiftleft(F.lit(1).cast("long"), j + k)).otherwise(F.lit(0).cast("long"))
+            out = bit if out is None else out.bitwiseOR(bit)
     return out
 
 
+def fingerprint(hashes: Column, n: Column) -> Column:
+    """SimHash of ``n`` hashes: a bit is set where over half of them set it. Over 65535 hashes take wider counters."""
+    return F.when(n < 1 << 16, _lanes(hashes, n, 16)).otherwise(_lanes(hashes, n, 32))
+
+
 def block_keys(fp: Column) -> list[Column]:
     out, at = [], 0
     for n in BLOCKS:

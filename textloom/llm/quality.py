@@ -27,7 +27,8 @@ MAX_REPEATED = 30
 GUARD_CHARS, GUARD_WORDS = 400, 60
 #: Largest distances (square roots of divergences in bits, 0 to 1) to the nearest reference.
 FAR_CLASSES, FAR_WORDS = 0.24, 0.285
-#: A language with a smaller share of all words is no reference; there are a hundred at most.
+#: A language with a smaller share of all words has no reference, so there are a hundred at most; its documents have nothing to be held
+#: against and pass the method, as short ones do.
 SHARE = 0.01
 CLASSES = ("lower", "upper", "digit", "symbol", "punctuation", "beyond_ascii", "space")
 
@@ -98,15 +99,15 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
-def references(own: DataFrame) -> list[tuple[list[int], list[int]]]:
-    """Class and word counts (with one for all other words at the end) of each language that has ``SHARE`` of all words."""
+def references(own: DataFrame) -> list[tuple[str | None, list[int], list[int]]]:
+    """Name, class and word counts (with one for all other words at the end) of each language that has ``SHARE`` of all words."""
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(COMMON))]
     by = own.groupBy("lang").agg(F.sum("n_words").alias("n"), *sums)
     total = by.agg(F.sum("n")).first()[0] or 0
     out = []
     for r in by.where(F.col("n") > SHARE * total).orderBy("lang").collect():
         w = [r[f"w{i}"] for i in range(len(COMMON))]
-        out.append(([r[f"c{i}"] for i in range(len(CLASSES))], [*w, r["n"] - sum(w)]))
+        out.append((r["lang"], [r[f"c{i}"] for i in range(len(CLASSES))], [*w, r["n"] - sum(w)]))
     return out
 
 
@@ -122,7 +123,7 @@ def distance(counts: Column, total: Column, reference: list[int]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def judge(own: DataFrame, known: list[tuple[list[int], list[int]]]) -> DataFrame:
+def judge(own: DataFrame, known: list[tuple[str | None, list[int], list[int]]]) -> DataFrame:
     """Adds base_failed, class_distance, word_distance (to the nearest reference, in 6 digits) and kept to ``features``."""
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
     one = F.lit(1).cast("long")
@@ -131,11 +132,12 @@ def judge(own: DataFrame, known: list[tuple[list[int], list[int]]]) -> DataFrame
     nearest = lambda xs: F.round(F.array_min(F.array(*xs)), 6) if xs else F.lit(0.0)
     out = own.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
-        "class_distance": nearest([distance(F.col("classes"), F.col("chars"), c) for c, _ in known]),
-        "word_distance": nearest([distance(F.col("worded"), F.col("total"), w) for _, w in known]),
+        "class_distance": nearest([distance(F.col("classes"), F.col("chars"), c) for _, c, _ in known]),
+        "word_distance": nearest([distance(F.col("worded"), F.col("total"), w) for _, _, w in known]),
     })
     short = (F.col("word_chars") < GUARD_CHARS) | (F.col("n_words") < GUARD_WORDS)
-    kept = ~F.col("base_failed") & (short | ((F.col("class_distance") <= FAR_CLASSES) & (F.col("word_distance") <= FAR_WORDS)))
+    alone = ~reduce(lambda a, b: a | b, (F.col("lang").eqNullSafe(F.lit(lang)) for lang, _, _ in known), F.lit(False))
+    kept = ~F.col("base_failed") & (short | alone | ((F.col("class_distance") <= FAR_CLASSES) & (F.col("word_distance") <= FAR_WORDS)))
     return out.withColumn("kept", kept).drop("chars", "others", "total", "worded")
 
 
@@ -194,8 +196,8 @@ far as (
 near as (select r, round(min(d) filter (kind = 'class'), 6) as class_distance, round(min(d) filter (kind = 'word'), 6) as word_distance from far group by r),
 judged as (
   select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(symbol as bigint) as n_symbols, cast(coalesce(l.n, 0) as bigint) as n_dup_lines, cast(coalesce(v.n, 0) as bigint) as n_repeat_words,
-    n_words < {MIN_WORDS} or 100 * coalesce(v.n, 0) > {MAX_REPEATED} * n_words as base_failed, class_distance, word_distance
+    n_words < {MIN_WORDS} or 100 * coalesce(v.n, 0) > {MAX_REPEATED} * n_words as base_failed, class_distance, word_distance, lang not in (select ref from refs) as alone
   from n join near using (r) left join lines l on l.r = n.r left join covered v on v.r = n.r
 )
-select *, not base_failed and (word_chars < {GUARD_CHARS} or n_words < {GUARD_WORDS} or (class_distance <= {FAR_CLASSES} and word_distance <= {FAR_WORDS})) as kept from judged
+select * exclude (alone), not base_failed and (alone or word_chars < {GUARD_CHARS} or n_words < {GUARD_WORDS} or (class_distance <= {FAR_CLASSES} and word_distance <= {FAR_WORDS})) as kept from judged
 """

@@ -9,8 +9,9 @@ File layout (all numbers little-endian)::
     bloom    n_bits u64 | n_hashes u32 | bits
     footer   index offset u64 | index length u32 | bloom offset u64 | bloom length u32 | blocks u32 | entries u64 | id width u8 | magic
 
-A key is the identifier as 8 bytes, big-endian with the sign bit turned, so that bytes sort as numbers do, then an ordinal of 4 bytes
-for rows that share an identifier. A null identifier sorts first, as the smallest number does.
+A key is a byte that is 0 for a null identifier and 1 for others, so that null sorts first; the identifier as 8 bytes, big-endian with
+the sign bit turned, so that bytes sort as numbers do; then an ordinal of 4 bytes for rows of a shard that share an identifier. Rows
+of one identifier may lie in several neighbouring shards, each of which numbers its own.
 """
 
 from __future__ import annotations
@@ -30,23 +31,23 @@ from pyspark.sql import functions as F
 from .common import Workspace, partitions, table
 from .tokens import encoder
 
-MAGIC = b"TLSST001"
+MAGIC = b"TLSST002"
 FOOTER = struct.Struct("<QIQIIQB8s")
 ENTRY = struct.Struct("<QII")
 LINE = struct.Struct("<QII")
 BLOCK = 256 * 1024
 BITS, HASHES = 10, 7
-NULL = -(2**63)
+#: Bytes of a key without its ordinal.
+OWN = 9
 END = 0
 
 
 def key(doc_id: int | None, ordinal: int = 0) -> bytes:
-    return struct.pack(">QI", (NULL if doc_id is None else doc_id) + 2**63, ordinal)
+    return struct.pack(">BQI", doc_id is not None, 0 if doc_id is None else doc_id + 2**63, ordinal)
 
 
 def unkey(k: bytes) -> int | None:
-    n = struct.unpack(">Q", k[:8])[0] - 2**63
-    return None if n == NULL else n
+    return struct.unpack(">Q", k[1:OWN])[0] - 2**63 if k[0] else None
 
 
 def _bits(k: bytes, n_bits: int) -> Iterator[int]:
@@ -91,7 +92,7 @@ class Writer:
         n_bits = max(64, BITS * self.entries)
         bits = np.zeros(-(-n_bits // 8), "u1")
         for k in self.keys:
-            for b in _bits(k[:8], n_bits):
+            for b in _bits(k[:OWN], n_bits):
                 bits[b >> 3] |= 1 << (b & 7)
         bloom = struct.pack("<QI", n_bits, HASHES) + bits.tobytes()
         self.file.write(index + bloom)
@@ -142,13 +143,13 @@ class Reader:
         """(start, ids) of each document of this identifier, by Bloom filter, then binary search in the block index."""
         if self.bloom is None:
             self.bloom = self._at(self.bloom_at, self.bloom_n)
-        k = key(doc_id)[:8]
+        k = key(doc_id)[:OWN]
         n_bits = struct.unpack_from("<Q", self.bloom)[0]
         if not all(self.bloom[12 + (b >> 3)] >> (b & 7) & 1 for b in _bits(k, n_bits)):
             return []
         i, out = max(0, bisect_right(self.index, k, key=lambda x: x[0]) - 1), []
-        while i < len(self.index) and self.index[i][0][:8] <= k:
-            out += [(s, ids) for own, s, ids in self.block(i) if own[:8] == k]
+        while i < len(self.index) and self.index[i][0][:OWN] <= k:
+            out += [(s, ids) for own, s, ids in self.block(i) if own[:OWN] == k]
             i += 1
         return out
 
