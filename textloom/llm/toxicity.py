@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import plain_words, remainder, small_batches, table, tidy
 
 WINDOW = 24
-LEVEL = 9
+LEVEL = 7
 #: Bytes that windows differ by count beyond each of these, to either side.
 MARGINS = (0, 1, 2, 3, 4, 6)
 #: Bytes of a class's dictionary and of the base; lengths of the segments and of the strings that training counts.
