@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.python_text import main_text, porter, rouge_l, semesters
 from textloom.operators import variants as V
+from textloom.queries.documents import SEMESTERS
 
 
 def one(spark, expr, value):
@@ -17,14 +18,15 @@ def one(spark, expr, value):
 @pytest.mark.parametrize(
     ("text", "out"),
     [
-        ("I can't pay", "i cannot pay"),
-        ("the dept info", "the department information"),
-        ("a 12.5% rise", "a <percent> rise"),
-        ("paid Rs 1,200 on 12/03/2024", "paid <amount> on <date>"),
-        ("call 9876543210", "call <phone>"),
-        ("sooooo good", "soo good"),
+        ("They weren't told; who'll say?", "they were not told who'll say"),
+        ("Let's go, she'd wait", "let us go she would wait"),
+        ("min qty, fyi", "minimum quantity for your information"),
+        ("Write to a.b@example.org or see https://example.org/x?y=1", "write to <email> or see <url>"),
+        ("due 2031-07-09, EUR 45.50 off", "due <date> <amount> off"),
+        ("7 % of 30 rows", "<percent> of <num> rows"),
+        ("hmmmmm\t\tno\n", "hmm no"),
         (None, ""),
-        ("", ""),
+        ("  ", ""),
     ],
 )
 def test_clean(spark, text, out):
@@ -47,7 +49,18 @@ def test_question_type(spark):
     assert [one(spark, T.question_type, q) for q in ("How do I apply?", "when is it", "Is it open?", "hello")] == ["procedure", "time", "yes_no", "statement"]
 
 
-@pytest.mark.parametrize(("text", "out"), [("Semester III", [3]), ("sem 1-3", [1, 2, 3]), ("Semesters IV and VI", [4, 6]), ("5th semester", [5]), ("none", []), (None, [])])
+@pytest.mark.parametrize(
+    ("text", "out"),
+    [
+        *SEMESTERS.items(),
+        ("Year/Semester - III/VI or VII", [6, 7]),
+        ("first to third semesters; sem viii", [1, 2, 3, 8]),
+        ("Semester 13, semester 0", []),
+        ("semester v", [5]),
+        ("", []),
+        (None, []),
+    ],
+)
 def test_semesters(text, out):
     assert semesters(text) == out
 

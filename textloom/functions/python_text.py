@@ -57,22 +57,35 @@ def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(main_text)
 
 
-_SEMESTER = re.compile(r"\bsem(?:ester)?s?\.?\s*[:\-]?\s*((?:(?:[ivx]+|\d+)(?:st|nd|rd|th)?(?:\s*(?:,|&|and|to|-|–)\s*)?)+)", re.I)
-_ORDINAL = re.compile(r"\b(\d+)(?:st|nd|rd|th)\s+sem", re.I)
-_ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
+_ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth".split()
+_ROMANS = "i ii iii iv v vi vii viii ix x".split()
+_NUMBER = rf"(?:\d{{1,2}}(?:st|nd|rd|th)?|{'|'.join(sorted(_ROMANS + _ORDINALS, key=len, reverse=True))})\b"
+_LIST = rf"{_NUMBER}(?:\s*(?:,|/|&|\band\b|\bor\b|\bto\b|-|–)+\s*{_NUMBER})*"
+#: "Year / Semester: III / VI" names the year before the slash; otherwise numbers stand behind the word, or before it.
+_PAIRED = re.compile(rf"\byear\s*/\s*sem(?:ester)?s?\s*[:\-]?\s*{_NUMBER}\s*/\s*({_LIST})", re.I)
+_BEHIND = re.compile(rf"\bsem(?:ester)?s?\b\.?\s*[:\-]?\s*({_LIST})", re.I)
+_BEFORE = re.compile(rf"\b({_LIST})\s+sem(?:ester)?s?\b", re.I)
+_PART = re.compile(rf"({_NUMBER})(?:\s*(?:\bto\b|-|–)\s*({_NUMBER}))?", re.I)
+
+
+def _number(said: str) -> int:
+    said = said.lower()
+    for names in (_ROMANS, _ORDINALS):
+        if said in names:
+            return names.index(said) + 1
+    return int(re.match(r"\d+", said)[0])
 
 
 def semesters(text: str | None) -> list[int]:
-    """Numbers of semesters in lists, ranges, roman numerals and ordinals, ascending."""
+    """Numbers of semesters from 1 to 12 in lists, ranges and alternatives, as digits, roman numerals or ordinals, ascending."""
     found: set[int] = set()
-    num = lambda s: _ROMAN.get(s.lower()) or (int(s) if s.isdigit() else None)
-    for m in _SEMESTER.finditer(text or ""):
-        part = re.sub(r"(?<=\d)(st|nd|rd|th)", "", m[1], flags=re.I)
-        for a, _, b in re.findall(r"(\d+|[ivx]+)(\s*(?:to|-|–)\s*(\d+|[ivx]+))?", part, re.I):
-            lo, hi = num(a), num(b) if b else None
-            if lo:
-                found.update(range(lo, (hi or lo) + 1))
-    found.update(int(x) for x in _ORDINAL.findall(text or ""))
+    rest = text or ""
+    for pattern in (_PAIRED, _BEHIND, _BEFORE):
+        for m in pattern.finditer(rest):
+            for low, high in _PART.findall(m[1]):
+                found.update(range(_number(low), _number(high or low) + 1))
+        # what one form has named is not read again by the next
+        rest = pattern.sub(" ; ", rest)
     return sorted(x for x in found if 1 <= x <= 12)
 
 

@@ -31,7 +31,8 @@ def polite(text: Column) -> Column:
 
 
 def mixed(text: Column) -> Column:
-    tail = F.array(*map(F.lit, (" batao please", " jaldi bata do", " kaise hoga")))
+    """A polite ending in another language."""
+    tail = F.array(*map(F.lit, (", bitte", ", por favor", ", s'il vous plaît")))
     n = digest_int(text, F.lit("mixed"))
     return F.when(F.length(text) <= 120, F.concat(F.regexp_replace(text, r"[.!?]+$", ""), F.element_at(tail, (n % 3 + 1).cast("int"))))
 

@@ -52,9 +52,18 @@ def year_notations(spark, d):
     return table(spark, d, "nation").select("n_nationkey", year_of(said).alias("year"))
 
 
-@query("semester_notations", "select n_nationkey, [[3], [1, 2, 3], [4, 6], [5], [2]][n_nationkey % 5 + 1] as semesters from nation")
+#: Each form with the numbers that it names.
+SEMESTERS = {
+    "Semester III": [3], "sem 1-3": [1, 2, 3], "Semesters IV and VI": [4, 6], "5th semester": [5], "sem: 2": [2], "offered in Sem. VII or VIII": [7, 8],
+    "Year / Semester: II / IV": [4], "the second semester": [2], "3rd and 4th semester": [3, 4], "seminar room 4": [], "semesters 1, 3 & 5": [1, 3, 5], "no notion": [],
+}
+_FORMS = ", ".join(f"'{x}'" for x in SEMESTERS)
+_NAMED = ", ".join(map(str, SEMESTERS.values()))
+
+
+@query("semester_notations", f"select n_nationkey, [{_FORMS}][n_nationkey % {len(SEMESTERS)} + 1] as said, [{_NAMED}][n_nationkey % {len(SEMESTERS)} + 1] as semesters from nation")
 def semester_notations(spark, d):
     from ..functions.python_text import semester_list
 
-    said = F.element_at(F.array(*map(F.lit, ("Semester III", "sem 1-3", "Semesters IV and VI", "5th semester", "sem: 2"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
-    return table(spark, d, "nation").select("n_nationkey", semester_list(said).alias("semesters"))
+    said = F.element_at(F.array(*map(F.lit, SEMESTERS)), (F.col("n_nationkey") % len(SEMESTERS) + 1).cast("int"))
+    return table(spark, d, "nation").select("n_nationkey", said.alias("said"), semester_list(said).alias("semesters"))

@@ -218,7 +218,7 @@ def same_label_neighbour(spark, d):
 @query("chunk_to_document", f"""
 with chunks as (select doc_id, unnest(range(0, len(w), 200)) as begin_at, w from (select doc_id, {TOK.format("text")} as w from documents) where len(w) > 0),
 cut as (select doc_id, cast(begin_at // 200 as int) as pos, w[begin_at + 1 : begin_at + 220] as w from chunks),
-asked as (select item_id as query_id, list_distinct({TOK.format("text")}) as q from benchmark where item_id % 10 = 0),
+asked as (select item_id as query_id, list_distinct({TOK.format("text")}) as q from benchmark where item_id % 100 = 0),
 hits as (select query_id, doc_id, pos, count(*) as score from (select query_id, unnest(q) as term from asked) join (select doc_id, pos, unnest(list_distinct(w)) as term from cut) using (term) group by all),
 best as (select *, row_number() over (partition by query_id, doc_id order by score desc, pos) as r from hits)
 select * from (select query_id, doc_id, pos as chunk, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from best where r = 1) where rank <= 3
@@ -227,7 +227,8 @@ def chunk_to_document(spark, d):
     from ..functions.text import windows
 
     cut = table(spark, d, "documents").select("doc_id", F.posexplode(windows(tokens(F.col("text")))).alias("pos", "w"))
-    asked = items(spark, d).where("query_id % 10 = 0").select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    # the stated query set: items whose identifier is divisible by 100, against all chunks
+    asked = items(spark, d).where("query_id % 100 = 0").select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     hits = cut.select("doc_id", "pos", F.explode(F.array_distinct("w")).alias("term")).join(small(asked), "term")
     hits = hits.groupBy("query_id", "doc_id", "pos").agg(F.count("*").alias("score")).withColumn("chunk", F.col("pos"))
     return R.ranked(R.best_part(hits), 3)
