@@ -161,70 +161,65 @@ def test_distance_is_jensen_shannon(spark):
 # language model
 
 
-def test_language_model_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm, "HEAD", 2e-3)
-    monkeypatch.setattr(lm, "KEEP", 4e-3)
-    docs = texts() + [(30, "brand new words only"), (31, "brand new")]
-    train = [t for i, t in docs if (i or 0) % 3]
+def brute_scores(docs, train):
     tok = lambda t: [*words(t), b"\n"]
-    c, c2, c3 = Counter(), Counter(), Counter()
+    c = Counter()
     for t in map(tok, train):
-        c.update(t)
-        c2.update(zip(t, t[1:]))
-        c3.update(zip(t, t[1:], t[2:]))
-    n, v = sum(c.values()), len(c)
-    keep = lambda k: k >= 4e-3 * n
-    k2 = {g: x for g, x in c2.items() if keep(x) and all(keep(c[w]) for w in g)}
-    k3 = {g: x for g, x in c3.items() if keep(x) and g[:2] in k2 and g[1:] in k2}
-    p1 = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-
-    def p2(u, w):
-        if (u, w) in k2:
-            return (k2[u, w] - 0.5) / c[u]
-        kept = [g for g in k2 if g[0] == u]
-        return (1 - sum((k2[g] - 0.5) / c[u] for g in kept)) / (1 - sum(p1(g[1]) for g in kept)) * p1(w)
-
-    def p3(t, u, w):
-        if (t, u, w) in k3:
-            return (k3[t, u, w] - 0.5) / c2[t, u]
-        kept = [g for g in k3 if g[:2] == (t, u)]
-        weight = max(1 - sum((k3[g] - 0.5) / c2[t, u] for g in kept), 1e-12) / max(1 - sum(p2(u, g[2]) for g in kept), 1e-12) if kept else 1.0
-        return weight * p2(u, w)
+        for k in (1, 2, 3):
+            c.update(tuple(t[i : i + k]) for i in range(len(t) - k + 1))
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
 
-    with Workspace(spark, "t") as ws:
-        df = frame(spark, docs)
-        got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 4)) for r in lm.score(ws, df, lm.train(ws, df.where("coalesce(doc_id, 0) % 3 <> 0").select("text"))).collect())
-    want = Counter()
+    def p(context, w):
+        if not context:
+            return (c[w,] + 0.1) / (n + 0.1 * (v + 1))
+        return (c[*context, w] + lm.PRIOR * p(context[1:], w)) / (c[tuple(context)] + lm.PRIOR)
+
+    out = []
     for i, t in docs:
         t = tok(t)
-        score = sum(math.log10(p1(w) if k == 0 else p2(t[k - 1], w) if k == 1 else p3(t[k - 2], t[k - 1], w)) for k, w in enumerate(t))
-        want[i, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10(p1(w)) for w in t), 5), round(score, 4)] += 1
-    near = lambda a: sorted((x[0] or -1, *x[1:4], round(x[4], 3), round(x[5], 2)) for x in a.elements())
-    assert near(got) == near(want)
+        score = sum(math.log10(p(t[max(0, k - 2) : k], w)) for k, w in enumerate(t))
+        out.append((-1 if i is None else i, len(t), sum(c[w,] > 0 for w in t), n, sum(math.log10(p([], w)) for w in t), score))
+    return sorted(out)
 
 
-def test_language_model_without_training(spark):
-    with Workspace(spark, "t") as ws:
-        df = frame(spark)
-        got = lm.score(ws, df, lm.train(ws, df.where("false").select("text"))).collect()
-        assert len(got) == len(texts()) and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
-        assert lm.score(ws, frame(spark, []), lm.train(ws, df.select("text"))).count() == 0
+def scores(rows):
+    return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows)
 
 
-def test_rare_ngrams_are_arcs_in_a_large_corpus(spark):
-    rare, half = "zig zag zog", "zog zig"
-    docs = [(0, rare), (1, half), (2, "zig zag zog")] + [(k, prose(k, 2000)) for k in range(3, 153)]
+@pytest.mark.parametrize(("cut", "bucket"), [(lm.SLICE, lm.BUCKET), (150, 400)])
+def test_language_model_matches_brute_force(spark, cut, bucket, monkeypatch):
+    """Small slices and buckets give what one of each gives; contexts that occur once in training are met by scored texts as well."""
+    monkeypatch.setattr(lm, "SLICE", cut)
+    monkeypatch.setattr(lm, "BUCKET", bucket)
+    docs = texts() + [(30, "brand new words only"), (31, "brand new"), (33, "brand new words again"), (32, prose(3, 50)), (34, "zig zag zog"), (35, "zag zog zig"), (36, prose(14, 40) + " " + prose(7, 60))]
+    learns = lambda i: (i or 0) % 3 != 0
     with Workspace(spark, "t") as ws:
         df = frame(spark, docs)
-        got = {r["doc_id"]: r for r in lm.score(ws, df, lm.train(ws, df.where("doc_id <> 1").select("text"))).collect()}
-    n, v = got[0]["train_tokens"], len({w for i, t in docs if i != 1 for w in t.split()}) + 1
-    assert n > 300_000
-    p1 = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    # each word of the rare text follows its context twice of twice
-    assert abs(got[0]["score"] - (p1(2) + 3 * math.log10(1.5 / 2))) < 1e-6
-    # "zog" goes on to the end only; what comes after it otherwise is backed off to
-    back = math.log10((1 - 1.5 / 2) / (1 - 10 ** p1(152)))
-    assert abs(got[1]["score"] - (p1(2) + back + p1(2) + math.log10((1 - 1.5 / 2) / (1 - 10 ** p1(2))) + p1(152))) < 1e-6
+        got = scores(lm.score(ws, df, F.col("doc_id") % 3 != 0).collect())
+    want = brute_scores(docs, [t for i, t in docs if learns(i)])
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    assert np.allclose([x[4:] for x in got], [x[4:] for x in want], atol=1e-9)
+
+
+def test_probabilities_of_a_state_add_up_to_one():
+    docs = ["a b a b c", "b a c", "c"]
+    c, vocab = Counter(), "abc\n"
+    for t in docs:
+        t = [*t.split(), "\n"]
+        for k in (1, 2, 3):
+            c.update(tuple(t[i : i + k]) for i in range(len(t) - k + 1))
+    n = sum(x for g, x in c.items() if len(g) == 1)
+    p = lambda h, w: (c[*h, w] + lm.PRIOR * p(h[1:], w)) / (c[tuple(h)] + lm.PRIOR) if h else (c[w,] + 0.1) / (n + 0.1 * 5)
+    unseen = lambda h: lm.PRIOR / (c[tuple(h)] + lm.PRIOR) * unseen(h[1:]) if h else 0.1 / (n + 0.1 * 5)
+    for h in ([], ["a"], ["a", "b"], ["b", "a"], ["c", "a"]):
+        assert sum(p(h, w) for w in vocab) + unseen(h) == pytest.approx(1)
+
+
+def test_language_model_without_training(spark):
+    with Workspace(spark, "t") as ws:
+        got = lm.score(ws, frame(spark), F.lit(None).cast("boolean")).collect()
+        assert len(got) == len(texts()) and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] == 0 for r in got)
+        assert lm.score(ws, frame(spark, []), F.lit(True)).count() == 0
 
 
 # toxicity

@@ -114,6 +114,13 @@ class Workspace:
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def settle(self) -> None:
+        """Let the driver forget what has been written, so that executors delete the shuffle files behind it."""
+        import gc
+
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
 

@@ -1,250 +1,248 @@
-"""Language-model scoring by a weighted backoff automaton that lies in tables.
+"""Language-model scoring by a weighted backoff automaton whose arcs are counted and asked for in one exchange.
 
-States are contexts, arcs of a state read a word and carry its discounted log-probability, and a state's failure arc carries the
-backoff weight and leads to the context without its first word. Every n-gram of the training texts is an arc, whatever its count and
-the size of the corpus, so arcs and weights stay in tables partitioned by hash. A text's trigrams meet the arcs; only positions
-without one go on to the weight of their context and the arcs of its shorter state, and from there to single words.
+States are contexts of two, one and no words. An arc of a state reads a word and carries its smoothed probability
+(c(hw) + PRIOR * p(w | shorter)) / (c(h) + PRIOR); a state's failure arc carries PRIOR / (c(h) + PRIOR) and leads to the context without
+its first word. Probabilities of a state add up to one. Every n-gram of the training texts is an arc, whatever its count.
+
+1. *Slices.* Texts are cut into slices of some hundred thousand tokens, once: different words and, for each token, which of them it is.
+2. *Words and bigrams.* A slice sends each different one once, with how often its training texts have it, to a bucket by hash. A bucket
+   adds up and answers each slice in the order in which it asked, so the answer is counts alone.
+3. *Trigrams* the same way, of those places whose context has been met twice or by a text that is scored only. What follows a context
+   that occurs once in all training texts is known without asking: it occurs once.
+4. *Traversal.* Slices come together with their answers, and each text is read from left to right in the state of its last two words.
+
+No word, context or n-gram gathers its occurrences anywhere: a bucket sees it once a slice.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, plain_words, remainder, table
+from .common import Workspace, partitions, plain_words, remainder, table, tidy
 
-#: Share of all tokens from which a word's count is sent to the tasks, a million words at most; rarer ones join the table of all.
-HEAD = 1e-6
-#: Share of all tokens that an n-gram of two or more words, and each word of it, needs to be an arc: none, so every n-gram is one.
-KEEP = 0.0
-DISCOUNT = 0.5
+PRIOR = 1.0
 ADD = 0.1
-#: Texts that a task holds at once.
-AT_ONCE = 1000
-
+#: Tokens of a slice (a longer text is a slice of its own), and tokens of the corpus for each bucket.
+SLICE, BUCKET = 400_000, 1 << 19
+WORD, TWO, THREE = 1, 2, 3
+_SLICE = pa.schema([("slice", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("learns", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int64())), ("words", pa.binary()), ("tokens", pa.binary())])
+_ASK = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("slice", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+_DDL = "kind int, bucket long, slice long, n long, body binary"
 
-def _hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the texts one after another, an end after each, and the place behind each end."""
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
-    end, out, ends = digest(b"\n"), [], []
-    for t in texts:
-        out += map(digest, plain_words(t))
-        out.append(end)
-        ends.append(len(out))
-    return np.array(out, np.uint64).view(np.int64), np.array(ends, np.int64)
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones, then all second ones: leading bytes of sorted or of small numbers pack well."""
+    return x.view("u1").reshape(len(x), -1).T.tobytes() if len(x) else b""
 
-def _slices(batches):
-    for batch in batches:
-        for i in range(0, len(batch), AT_ONCE):
-            part = batch.slice(i, AT_ONCE)
-            yield part, *_hashes(part.column("text").to_pylist())
 
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, -1).T).view(kind).ravel()
 
-def _rows(keys: np.ndarray, counts: np.ndarray):
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["k", "c"])
 
+def slices(docs: DataFrame) -> DataFrame:
+    """Rows (slice, n, ids, learns, ends, words, tokens) of ``docs`` (doc_id, text, learns): hashes of the different words of a slice,
+    ascending, and the place among them of each token of its texts, one after another, an end after each text."""
+    import xxhash
 
-def _merged(found: list[np.ndarray]):
-    keys, counts = np.unique(np.concatenate(found), return_counts=True)
-    return _rows(keys, counts)
+    digest = xxhash.xxh64_intdigest
 
+    def row(name: int, ids: list, learns: list, ends: list, hashes: list):
+        import zstandard
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(k, c): hash and count of every token of ``text``, added up in each task first."""
+        words, tokens = np.unique(np.array(hashes, np.uint64), return_inverse=True)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return pa.RecordBatch.from_pylist([{"slice": name, "n": len(tokens), "ids": ids, "learns": learns, "ends": ends, "words": pack(_planes(words)), "tokens": pack(_planes(tokens.astype("<u4")))}], schema=_SLICE)
 
     def task(batches):
-        found, held = [], 0
-        for _, h, _ in _slices(batches):
-            found.append(h)
-            held += len(h)
-            if held > 4_000_000:
-                yield _merged(found)
-                found, held = [], 0
-        if found:
-            yield _merged(found)
-
-    return docs.select("text").mapInArrow(task, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-
-
-def _number(h: np.ndarray, known: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Numbers of hashes, -1 for what is not among the sorted ``known``."""
-    if not len(known):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, number[at], -1)
-
-
-def _keys(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the bigram and of the trigram that begin at each token, and the tokens that follow it in its text."""
-    u = h.view(np.uint64)
-    after = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(h)) - 1
-
-    def mix(x, y):
-        x = (x * np.uint64(0x9E3779B97F4A7C15)) ^ (x >> np.uint64(32))
-        x = (x + y) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        return x * np.uint64(0xC2B2AE3D27D4EB4F)
-
-    two = mix(u, np.append(u[1:], np.zeros(1, np.uint64))) if len(u) else u
-    three = mix(two, np.append(u[2:], np.zeros(2, np.uint64))[: len(u)]) if len(u) else u
-    return two.view(np.int64), three.view(np.int64), after
-
-
-def ngrams(docs: DataFrame, n: int) -> DataFrame:
-    """(k, a, b, c): hashes of all n-grams of two or three words, of their first and last n - 1 words, and their counts."""
-    schema = pa.schema([(x, pa.int64()) for x in "kabc"])
+        from pyspark import TaskContext
 
-    def merged(found):
-        k, a, b = (np.concatenate(x) for x in zip(*found))
-        k, first, c = np.unique(k, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, a[first], b[first], c.astype(np.int64))], schema=schema)
+        name, end = TaskContext.get().partitionId() << 32, digest(b"\n")
+        ids, learns, ends, hashes = [], [], [], []
+        for batch in batches:
+            for doc, text, learn in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("learns").to_pylist()):
+                hashes += map(digest, plain_words(text))
+                hashes.append(end)
+                ids.append(doc)
+                learns.append(bool(learn))
+                ends.append(len(hashes))
+                if len(hashes) >= SLICE:
+                    yield row(name, ids, learns, ends, hashes)
+                    name, ids, learns, ends, hashes = name + 1, [], [], [], []
+        if ids:
+            yield row(name, ids, learns, ends, hashes)
+
+    return docs.mapInArrow(tidy(task), "slice long, n long, ids array<long>, learns array<boolean>, ends array<long>, words binary, tokens binary")
+
+
+def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x = (x * np.uint64(0x9E3779B97F4A7C15)) ^ (x >> np.uint64(32))
+    x = (x + y) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class Slice:
+    """A slice's tokens; which of its different n-grams ends at each token, from the place where its text has so many words."""
+
+    def __init__(self, row: dict):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.name, self.ids = row["slice"], row["ids"]
+        self.words, self.tokens = _numbers(unpack(row["words"]), "<u8"), _numbers(unpack(row["tokens"]), "<u4")
+        self.ends = np.array(row["ends"], np.int64)
+        sizes = np.diff(self.ends, prepend=0)
+        self.learns = np.repeat(np.array(row["learns"], bool), sizes)
+        #: Place of each token in its text.
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.ends - sizes, sizes)
+        hashes = self.words[self.tokens]
+        self.two_at = np.flatnonzero(self.place >= 1)
+        self._pairs = _mix(hashes[self.two_at - 1], hashes[self.two_at])
+        self.two, self.two_of = np.unique(self._pairs, return_inverse=True)
+        self._hashes = hashes
+
+    def three(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(at, keys, of): tokens whose trigram is asked for, the different trigrams, and which of them ends at each.
+
+        ``known`` are the answers for bigrams: twice the count in training texts, and one more if a text that only is scored has it.
+        """
+        at = np.flatnonzero(self.place >= 2)
+        before = np.zeros(len(self.tokens), np.int64)
+        before[self.two_at] = known[self.two_of]
+        context = before[at - 1]
+        at = at[np.where(self.learns[at], context >= 3, context >= 2)]
+        pairs = np.zeros(len(self.tokens), np.uint64)
+        pairs[self.two_at] = self._pairs
+        keys, of = np.unique(_mix(pairs[at - 1], self._hashes[at]), return_inverse=True)
+        return at, keys, of
+
+    def asks(self, kind: int, keys: np.ndarray, of: np.ndarray, learns: np.ndarray, bits: int):
+        """A row for each bucket: the keys, ascending, with twice the training count of each, and one more for texts only scored."""
+        n = len(keys)
+        counts = 2 * np.bincount(of[learns], minlength=n) + (np.bincount(of[~learns], minlength=n) > 0)
+        cuts = np.concatenate((np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64), [n]))
+        rows = [(kind, b, self.name, int(j - i), _planes(keys[i:j]) + _planes(counts[i:j].astype("<u8"))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASK)] if rows else [pa.array([], f.type) for f in _ASK], schema=_ASK)
+
+
+def _answers(asked: DataFrame, rows: int) -> DataFrame:
+    """Each ask's totals over all slices, in its own order. A row with slice -1 says how many keys of a bucket have a count, and their sum."""
 
     def task(batches):
-        found, held = [], 0
-        for _, h, ends in _slices(batches):
-            two, three, after = _keys(h, ends)
-            at = np.flatnonzero(after >= n - 1)
-            short = h if n == 2 else two
-            found.append(((two if n == 2 else three)[at], short[at], short[at + 1]))
-            held += len(at)
-            if held > 2_000_000:
-                yield merged(found)
-                found, held = [], 0
-        if held:
-            yield merged(found)
-
-    rows = docs.select("text").mapInArrow(task, "k long, a long, b long, c long")
-    return rows.groupBy("k").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("c").alias("c"))
-
-
-def _pulled(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts, most frequent first; their number is bounded by the share that they have of all tokens."""
-    t = df.toArrow()
-    k, c = t.column("k").to_numpy(), t.column("c").to_numpy()
-    order = np.lexsort((k, -c))
-    return k[order].astype(np.int64), c[order].astype(np.int64)
-
-
-def _arcs(grams: DataFrame, shorter: DataFrame) -> DataFrame:
-    """(k, a, c, p, lower): p(w | h) = (c(hw) - D) / c(h) of each n-gram hw, and the probability of its last n - 1 words.
-
-    ``shorter`` (k, c, p) are the arcs of one word less; it holds every first and last part.
-    """
-    before = shorter.select(F.col("k").alias("a"), F.col("c").alias("times"))
-    rest = shorter.select(F.col("k").alias("b"), F.col("p").alias("lower"))
-    return grams.join(before, "a").join(rest, "b").select("k", "a", "c", ((F.col("c") - DISCOUNT) / F.col("times")).alias("p"), "lower")
-
-
-def _weights(arcs: DataFrame) -> DataFrame:
-    """(k, w): log10 of the weight that makes the probabilities of a context add up to one."""
-    left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
-    return arcs.groupBy(F.col("a").alias("k")).agg(F.log10(left("p") / left("lower")).alias("w"))
-
-
-@dataclass(frozen=True)
-class Model:
-    """Tables of unigram counts, of arcs of two and of three words and of their contexts' weights; numbers of tokens and of words."""
-
-    counts: DataFrame
-    two: DataFrame
-    back_one: DataFrame
-    three: DataFrame
-    back_two: DataFrame
-    n: int
-    v: int
-
-
-def train(ws: Workspace, docs: DataFrame) -> Model:
-    """All unigrams, bigrams and trigrams of the column ``text`` of all rows. A single word has (c + 0.1) / (N + 0.1 (V + 1))."""
-    counts = ws.save(unigrams(docs), "counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    kept = F.col("c") >= KEEP * n
-    one = counts.where(kept).withColumn("p", (F.col("c") + ADD) / (n + ADD * (v + 1)))
-    two = ws.save(_arcs(ngrams(docs, 2).where(kept), one), "two")
-    three = ws.save(_arcs(ngrams(docs, 3).where(kept), two), "three")
-    return Model(counts, two, ws.save(_weights(two), "back-one"), three, ws.save(_weights(three), "back-two"), n, v)
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        kinds, buckets, names, sizes = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(4))
+        bodies = [x for b in parts for x in b.column("body").to_pylist()]
+        del parts
+        for kind in np.unique(kinds):
+            own = np.flatnonzero(kinds == kind)
+            keys = np.concatenate([_numbers(bodies[i][: 8 * sizes[i]], "<u8") for i in own])
+            counts = np.concatenate([_numbers(bodies[i][8 * sizes[i] :], "<u8") for i in own]).astype(np.int64)
+            order = np.argsort(keys, kind="stable")
+            heads = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+            learnt = np.add.reduceat(counts[order] >> 1, heads)
+            total = 2 * learnt + (np.add.reduceat(counts[order] & 1, heads) > 0)
+            back = np.empty(len(keys), "<u8")
+            back[order] = np.repeat(total, np.diff(np.append(heads, len(keys))))
+            ends = np.cumsum(sizes[own])
+            out = [(int(kind), int(buckets[i]), int(names[i]), int(sizes[i]), _planes(back[e - sizes[i] : e])) for i, e in zip(own, ends)]
+            out.append((int(kind), 0, -1, int((learnt > 0).sum()), np.array([learnt.sum()], "<i8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ASK)], schema=_ASK)
+
+    n = partitions(asked.sparkSession, rows, 2 * BUCKET)
+    return asked.repartition(n, "kind", "bucket").mapInArrow(tidy(task), _DDL)
+
+
+def _told(cut: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Slices with the list of their answers."""
+    rows = answers[0]
+    for x in answers[1:]:
+        rows = rows.unionByName(x)
+    lists = rows.where("slice >= 0").groupBy("slice").agg(F.collect_list(F.struct("kind", "bucket", "body")).alias("told"))
+    return cut.join(lists, "slice")
+
+
+def _read(told: list[dict], kind: int) -> np.ndarray:
+    parts = [_numbers(x["body"], "<u8") for x in sorted(told, key=lambda x: x["bucket"]) if x["kind"] == kind]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+
+def _rows(batches):
+    """Rows of batches, one after another: a slice's arrays are large."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
-def score(ws: Workspace, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every whole text.
+def score(ws: Workspace, docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every whole text; those where ``learns`` is true are trained on.
 
-    Null and empty texts are one end. Rows that repeat an identifier come back each; extra columns are ignored. Without training
-    texts every token is unseen and has probability one.
+    Null and empty texts are one end. Rows that repeat an identifier or a text come back each, and count each. A null ``learns`` is
+    false; extra columns are ignored. Without training texts every token is unseen and has probability one.
     """
-    counts, n, total = model.counts, model.n, model.n + ADD * (model.v + 1)
-    words, often = _pulled(counts.where(F.col("c") >= HEAD * n))
-    order = np.argsort(words)
-    sent = docs.sparkSession.sparkContext.broadcast((words[order], np.log10((often[order] + ADD) / total)))
-    fields = [("row", pa.int64()), ("d", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    cut = ws.save(slices(docs), "slices")
+    tokens = cut.agg(F.sum("n")).first()[0] or 0
+    bits = max(0, (-(-tokens // BUCKET) - 1).bit_length())
+
+    def short(batches):
+        for row in _rows(batches):
+            own = Slice(row)
+            yield own.asks(WORD, own.words, own.tokens, own.learns, bits)
+            yield own.asks(TWO, own.two, own.two_of, own.learns[own.two_at], bits)
+
+    def long(batches):
+        for row in _rows(batches):
+            own = Slice(row)
+            at, keys, of = own.three(_read(row["told"], TWO))
+            yield own.asks(THREE, keys, of, own.learns[at], bits)
+
+    first = ws.save(_answers(cut.mapInArrow(tidy(short), _DDL), 2 * tokens), "answers-short")
+    ws.settle()
+    second = ws.save(_answers(_told(cut, first.where(F.col("kind") == TWO)).mapInArrow(tidy(long), _DDL), tokens), "answers-long")
+    ws.settle()
+    known = first.where((F.col("slice") < 0) & (F.col("kind") == WORD)).select("n", "body").collect()  # a row for each task
+    v, n = sum(r["n"] for r in known), sum(int.from_bytes(r["body"], "little") for r in known)
+    total = n + ADD * (v + 1)
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
     schema = pa.schema(fields)
 
-    def task(batches):
-        from pyspark import TaskContext
-
-        row, (known, alone) = TaskContext.get().partitionId() << 33, sent.value
-        for part, h, ends in _slices(batches):
-            numbers = _number(h, known, np.arange(len(known)))
-            base = np.append(alone, 0.0)[numbers]
-            out = []
-            for d, doc, i, j in zip(part.column("d").to_pylist(), part.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
-                own = numbers[i:j]
-                rare, times = np.unique(h[i:j][own < 0], return_counts=True)
-                out.append((row, d, doc, j - i, int((own >= 0).sum()), float(base[i:j].sum()), rare, times))
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], schema=schema)
-
-    def trigrams(batches):
-        for part, h, ends in _slices(batches):
-            _, three, after = _keys(h, ends)
-            d = np.repeat(part.column("d").to_numpy(), np.diff(ends, prepend=0))
-            place = np.arange(len(h)) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))
-            at = np.flatnonzero(after >= 2)
-            yield pa.RecordBatch.from_arrays([pa.array(three[at]), pa.array(d[at]), pa.array((place[at] + 2).astype(np.int32))], names=["k", "d", "i"])
-
-    def missed(batches):
-        """Positions without an arc of three words, and the first two: context, bigram, word before, word. What is not there is d, which no key is."""
-        for part, h, ends in _slices(batches):
-            two, _, _ = _keys(h, ends)
-            out = [[] for _ in range(5)]
-            for d, miss, first, end in zip(part.column("d").to_pylist(), part.column("miss").to_pylist(), [0, *ends.tolist()], ends.tolist()):
-                i = first + np.array([0, *([1] if end - first > 1 else []), *(miss or [])], np.int64)
-                none = np.full(len(i), d, np.int64)
-                second, third = i > first, i > first + 1
-                for col, x in zip(out, (none, np.where(third, two[i - 2], none), np.where(second, two[i - 1], none), np.where(second, h[i - 1], none), h[i])):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["d", "a", "b", "v", "w"])
-
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("d", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
-    own = ws.save(docs.mapInArrow(task, "row long, d long, doc_id long, n_tokens long, known long, base double, rare array<long>, times array<long>"), "words")
-    rare = own.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("k"), F.col("x.times").alias("times"))
-    rare = rare.join(counts.where(F.col("c") < HEAD * n), "k", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + ADD) / total)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("seen"))
-    met = docs.mapInArrow(trigrams, "k long, d long, i int").join(model.three.select("k", F.log10("p").alias("p")), "k", "left")
-    met = ws.save(met.groupBy("d").agg(F.sum("p").alias("arcs"), F.collect_set(F.when(F.col("p").isNull(), F.col("i"))).alias("miss")), "arcs")
-    lost = docs.join(met.select("d", "miss"), "d", "left").select("d", "text", "miss").mapInArrow(missed, "d long, a long, b long, v long, w long")
-    lost = lost.join(model.back_two.select(F.col("k").alias("a"), F.col("w").alias("from_two")), "a", "left")
-    lost = lost.join(model.two.select(F.col("k").alias("b"), F.log10("p").alias("p")), "b", "left")
-    lost = lost.join(model.back_one.select(F.col("k").alias("v"), F.col("w").alias("from_one")), "v", "left")
-    lost = lost.join(counts.select(F.col("k").alias("w"), "c"), "w", "left")
-    zero = F.lit(0.0)
-    single = F.coalesce("from_one", zero) + F.log10((F.coalesce("c", F.lit(0)) + ADD) / total)
-    lost = lost.groupBy("d").agg(F.sum(F.coalesce("from_two", zero) + F.coalesce("p", single)).alias("backed"))
-    # rows that repeat identifier and text were added up together
-    scores = own.groupBy("d").agg(F.count("*").alias("copies")).join(met.select("d", "arcs"), "d", "left").join(lost, "d", "left")
-    scores = scores.select("d", (F.coalesce("arcs", zero) / F.col("copies") + F.coalesce("backed", zero) / F.col("copies")).alias("score"))
-    out = own.join(rare, "row", "left").join(scores, "d")
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", zero)).alias("base_score"), "score")
+    def walk(batches):
+        for row in _rows(batches):
+            own = Slice(row)
+            word = (_read(row["told"], WORD) >> 1)[own.tokens]
+            answer = _read(row["told"], TWO)
+            pair, triple = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+            pair[own.two_at] = answer[own.two_of] >> 1
+            # what a training text has after a context of its own alone
+            triple[(own.place >= 2) & own.learns] = 1
+            at, _, of = own.three(answer)
+            triple[at] = _read(row["told"], THREE)[of] >> 1
+            p = (word + ADD) / total
+            base = np.log10(p)
+            best = base.copy()
+            # arcs of the state of one word, then of two; where there is none the failure arc's weight, then the shorter state's arc
+            for count, context, where in ((pair, word, own.place >= 1), (triple, pair, own.place >= 2)):
+                i = np.flatnonzero(where)
+                c, h = count[i], context[i - 1]
+                best[i] = np.where(c > 0, np.log10((c + PRIOR * p[i]) / (h + PRIOR)), np.log10(PRIOR / (h + PRIOR)) + best[i])
+                p[i] = (c + PRIOR * p[i]) / (h + PRIOR)
+            starts = np.concatenate(([0], own.ends[:-1]))
+            sums = [np.add.reduceat(x, starts) for x in ((word > 0).astype(np.int64), base, best)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip((own.ids, own.ends - starts, *sums), fields)], schema=schema)
+
+    out = _told(cut, first, second).mapInArrow(tidy(walk), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Every row of ``documents``, learnt from unless it is held out."""
     with Workspace(spark, "op10") as ws:
-        out = score(ws, docs, train(ws, docs.where(remainder("doc_id", 10) != 0).select("text")))
+        out = score(ws, table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
         return ws.result(out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
