@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import classify, documents, entities, joins, learning, metrics, quality, reports, retrieval, sources, summaries, text, variants, windows  # noqa: F401
+from .queries import assess, classify, documents, entities, joins, learning, metrics, quality, reports, retrieval, sources, summaries, text, variants, windows  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

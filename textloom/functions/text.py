@@ -215,3 +215,38 @@ def pdf_date(raw: Column) -> Column:
 def header_date(raw: Column) -> Column:
     """An HTTP date as an ISO date."""
     return F.to_date(F.try_to_timestamp(F.regexp_extract(raw, r"(\d{2} \w{3} \d{4})", 1), F.lit("dd MMM yyyy")))
+
+
+def identity_key(text: Column, folds: dict[str, str] | None = None) -> Column:
+    """What names the same thing however it is written: lower case, "and" for &, words alone, whole words folded by a table."""
+    out = F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")
+    for pattern, whole in (folds or {}).items():
+        out = F.regexp_replace(out, rf"\b(?:{pattern})\b", whole)
+    return F.trim(F.regexp_replace(out, " +", " "))
+
+
+def title(text: Column) -> Column:
+    """A name without marks of novelty, each word with a capital."""
+    return F.initcap(F.lower(collapse_space(F.regexp_replace(text, r"(?i)\(new\)|[*]", " "))))
+
+
+def is_new(text: Column) -> Column:
+    return text.rlike(r"(?i)\(new\)|[*]")
+
+
+def to_prose(text: Column) -> Column:
+    """Lines "Label: value" as sentences in their order; other lines stay away, and a text without labels is empty."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"^[A-Za-z][A-Za-z ]*: *[^ ]"))
+    said = lambda x: F.concat(F.lit("The "), F.lower(F.regexp_extract(x, "^([A-Za-z ]+): *(.*)$", 1)), F.lit(" is "), F.regexp_extract(x, "^([A-Za-z ]+): *(.*)$", 2), F.lit("."))
+    return F.array_join(F.transform(lines, said), " ")
+
+
+def char_ngrams(word: Column, low: int = 2, high: int = 5) -> Column:
+    """Character n-grams of a word with a space on either side."""
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+
+    def grams(n: int) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, own).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(grams, range(low, high + 1)))

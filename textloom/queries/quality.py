@@ -24,7 +24,14 @@ union all select 'unique_text', count(*) - count(distinct trim(regexp_replace(lo
 union all select 'one_lang_per_source', count(*) from (select source from documents group by 1 having count(distinct lang) > 1)
 union all select 'label_has_document', count(*) from labels where doc_id not in (select doc_id from documents)
 union all select 'documents_not_blank', count(*) from documents where not coalesce(trim(text) <> '', false)
-) select "check", failures, failures = 0 as passed from c
+union all select 'line_has_supplier', count(*) from lineitem where l_suppkey not in (select s_suppkey from supplier)
+union all select 'customer_has_nation', count(*) from customer where c_nationkey not in (select n_nationkey from nation)
+union all select 'nation_has_region', count(*) from nation where n_regionkey not in (select r_regionkey from region)
+union all select 'unique_line', coalesce(sum(n - 1), 0) from (select count(*) as n from lineitem group by l_orderkey, l_linenumber)
+union all select 'price_positive', count(*) from lineitem where not coalesce(l_extendedprice > 0, false)
+union all select 'chars_counted', count(*) from documents where not coalesce(n_chars = length(text), false)
+union all select 'labels_binary', count(*) from labels where not coalesce(quality in (0, 1) and toxic in (0, 1), false)
+) select "check", cast(failures as bigint) as failures, failures = 0 as passed from c
 """)
 def quality_checks(spark, d):
     t = lambda n: table(spark, d, n)
@@ -39,7 +46,13 @@ def quality_checks(spark, d):
         surplus("unique_text", docs, dedupe_key(F.col("text"))),
         Q.check("one_lang_per_source", Q.conflicting(docs, "source", "lang")),
         Q.check("label_has_document", Q.not_in(t("labels"), "doc_id", docs, "doc_id")),
-        Q.row_checks(docs, {"documents_not_blank": F.trim("text") != ""}),
+        Q.row_checks(docs, {"documents_not_blank": F.trim("text") != "", "chars_counted": F.col("n_chars") == F.length("text")}),
+        Q.check("line_has_supplier", Q.not_in(lines, "l_suppkey", t("supplier"), "s_suppkey")),
+        Q.check("customer_has_nation", Q.not_in(t("customer"), "c_nationkey", t("nation"), "n_nationkey")),
+        Q.check("nation_has_region", Q.not_in(t("nation"), "n_regionkey", t("region"), "r_regionkey")),
+        surplus("unique_line", lines, F.struct("l_orderkey", "l_linenumber")),
+        Q.row_checks(lines, {"price_positive": F.col("l_extendedprice") > 0}),
+        Q.row_checks(t("labels"), {"labels_binary": F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)}),
     )
 
 
