@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import digest_int
+from .sequences import running
 
 
 def confusion(df: DataFrame, labels: list, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -43,12 +44,11 @@ def calibration_error(df: DataFrame, conf: str = "conf", correct: str = "correct
 def risk_coverage(df: DataFrame, conf: str = "conf", correct: str = "correct") -> DataFrame:
     """Accuracy at each distinct confidence, from the highest down; equal confidences come together.
 
-    Rows fall together by confidence first, so the ordered window sees distinct values alone.
+    Rows fall together by confidence first, and windows see one of 4096 ranges of it.
     """
     by = df.groupBy(conf).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("long")).alias("hits"))
-    w = Window.orderBy(F.desc(conf)).rowsBetween(Window.unboundedPreceding, 0)
-    total = by.agg(F.sum("n")).first()[0] or 1
-    out = by.withColumns({"covered": F.sum("n").over(w), "right": F.sum("hits").over(w)})
+    total = df.count() or 1
+    out = running(by, [], -F.floor(F.col(conf) * 4096), [F.desc(conf)], {"covered": "n", "right": "hits"})
     return out.select(F.col(conf).alias("threshold"), F.round(F.col("covered") / total, 6).alias("coverage"), F.round(F.col("right") / F.col("covered"), 6).alias("accuracy"))
 
 

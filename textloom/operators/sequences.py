@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +70,21 @@ def bio_decode(tags: DataFrame, by: list[str], pos: str, tag: str, p: str | None
     rows = tags.withColumns({"label": label, "_f": fresh}).withColumn("_k", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("label <> ''")
     more = [F.when(F.count(p) == F.count("*"), F.round(F.avg(p), 4)).alias("confidence")] if p else []
     return rows.groupBy(*by, "_k", "label").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), *more).drop("_k")
+
+
+def running(df: DataFrame, by: list[str], bucket: Column, order: list, sums: dict[str, str | None]) -> DataFrame:
+    """Adds running sums over ``order`` within ``by``: of a column, or of rows where that is None.
+
+    ``bucket`` ascends with ``order`` and cuts a group into parts. A window sees one part alone, and what the parts before hold is added
+    from their totals, a row each, so a group may be as large as the table.
+    """
+    df = df.withColumn("_b", bucket)
+    value = lambda c: F.lit(1).cast("long") if c is None else F.col(c)
+    total = df.groupBy(*by, "_b").agg(*[F.sum(value(c)).alias(f"_t_{out}") for out, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "_b"]
+    total = total.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_t_{out}") for out in sums])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.join(total, same)
+    return rows.withColumns({out: F.col(f"_t_{out}") + F.sum(value(c)).over(own) for out, c in sums.items()}).drop("_b", *[f"_k{i}" for i in range(len(keys))], *[f"_t_{out}" for out in sums])

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ABBREVIATIONS, dedupe_key
-from ..session import digest_int
+from ..session import digest_int, small
+from .sequences import running
 
 
 def _words(text: Column) -> Column:
@@ -102,9 +103,10 @@ def expand(df: DataFrame, key: str, text: str, most: int = 2) -> DataFrame:
 def group_split(df: DataFrame, group: str, stratum: str, seed: int = 7) -> DataFrame:
     """(stratum, group, split): whole groups, about 70/15/15 in each stratum by digest order; under three groups all train."""
     groups = df.groupBy(group).agg(F.min(stratum).alias(stratum))
-    w = Window.partitionBy(stratum)
-    order = w.orderBy(F.md5(F.concat_ws("|", F.col(group).cast("string"), F.lit(str(seed)))), group)
-    groups = groups.withColumns({"_k": F.row_number().over(order), "_n": F.count("*").over(w)})
+    digest = F.md5(F.concat_ws("|", F.col(group).cast("string"), F.lit(str(seed))))
+    groups = running(groups.withColumn("_d", digest), [stratum], F.substring("_d", 1, 3), ["_d", group], {"_k": None})
+    sizes = groups.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    groups = groups.join(small(sizes), F.col(stratum).eqNullSafe(F.col("_s")))
     share = (F.col("_k") - 1) / F.col("_n")
     split = F.when(F.col("_n") < 3, "train").when(share < 0.7, "train").when(share < 0.85, "validation").otherwise("test")
-    return groups.withColumn("split", split).drop("_k", "_n")
+    return groups.withColumn("split", split).drop("_k", "_n", "_d", "_s")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import parsing as P
 from ..registry import query
-from ..session import table
+from ..session import small, table
 
 
 def sheets(spark, d):
@@ -28,7 +28,7 @@ select s_suppkey, count(*) as mentions, string_agg(k, '|' order by k) as names f
 """)
 def nation_mentions(spark, d):
     names = table(spark, d, "nation").select(F.col("n_name").alias("name"))
-    t = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    t = table(spark, d, "supplier").join(small(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     t = t.select("s_suppkey", F.concat(F.lit("ships to "), "n_name", F.lit(" and china")).alias("text"))
     found = P.mentions(t, "s_suppkey", "text", names).groupBy("s_suppkey")
     return found.agg(F.count("*").alias("mentions"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))

@@ -8,7 +8,7 @@ from ..functions.text import mask
 from ..operators import entities as E
 from ..operators.sequences import bio_decode
 from ..registry import query
-from ..session import table
+from ..session import small, table
 
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 
@@ -142,7 +142,7 @@ def gazetteer_tags(spark, d):
 
     lexicon = spark.createDataFrame([("of the", "PAIR"), ("the", "ARTICLE")], "phrase string, label string")
     toks = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(tokens(F.col("text"), "[a-z]+")).alias("pos", "token"))
-    return E.gazetteer(toks, F.broadcast(lexicon), longest=2).groupBy("doc_id", "label").agg(F.count("*").alias("found"))
+    return E.gazetteer(toks, small(lexicon), longest=2).groupBy("doc_id", "label").agg(F.count("*").alias("found"))
 
 
 @query("sequence_tagger")

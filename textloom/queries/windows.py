@@ -14,8 +14,8 @@ from ..session import table
 select o_orderkey, 'G' || lpad(cast(row_number() over (partition by o_orderpriority order by o_orderdate, o_orderkey) as varchar), 6, '0') as group_id, o_orderpriority from orders
 """)
 def sequential_ids(spark, d):
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("G"), F.lpad(F.row_number().over(w).cast("string"), 6, "0")).alias("group_id"), "o_orderpriority")
+    rows = S.running(table(spark, d, "orders"), ["o_orderpriority"], F.date_trunc("month", "o_orderdate"), ["o_orderdate", "o_orderkey"], {"nth": None})
+    return rows.select("o_orderkey", F.concat(F.lit("G"), F.lpad(F.col("nth").cast("string"), 6, "0")).alias("group_id"), "o_orderpriority")
 
 
 @query("previous_end_overlap", """
