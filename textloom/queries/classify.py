@@ -17,6 +17,15 @@ ROUTED = "(select doc_id, lower(coalesce(text, '')) as t from documents)"
 COUNTS = ", ".join("(" + " + ".join(f"cast(contains(t, '{w}') as int)" for w in ws) + f") as n_{k}" for k, ws in RULES.items())
 
 
+
+
+def labelled_sql(text: str) -> str:
+    """The routing label of a text, as SQL."""
+    n = {k: "(" + " + ".join(f"cast(contains(lower(coalesce({text}, '')), '{w}') as int)" for w in ws) + ")" for k, ws in RULES.items()}
+    top = f"greatest({', '.join(n.values())})"
+    return f"case when {top} = 0 then 'out_of_scope' " + " ".join(f"when {x} = {top} then '{k}'" for k, x in n.items()) + " end"
+
+
 @query("rule_classify", """
 select conv_id, turn, case """ + " ".join(f"when regexp_matches(t, '{p}') then '{label}'" for p, label in T.QUESTION_RULES) + " else 'statement' end as kind from (select conv_id, turn, trim(lower(text)) as t from conversations)")
 def rule_classify(spark, d):
@@ -119,7 +128,13 @@ def rank_with_margin(spark, d):
     return out.withColumn("confidence", F.round(F.least(F.lit(0.9), 0.5 + (F.col("score") - F.coalesce("second", F.lit(0.0)))), 4))
 
 
-@query("style_tags")
+@query("style_tags", r"""
+with w as (select lower(text) as low, text, len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '')) as n from conversations),
+t as (select list_filter([case when regexp_matches(low, '\b(kindly|please|would|request)\b') then 'formal' end, case when n <= 5 then 'short' end, case when n >= 25 then 'long' end,
+  case when regexp_matches(low, '\b(urgent|immediately|asap|today)\b') then 'urgent' end, case when not regexp_matches(text, '[.!?]$') then 'no_punctuation' end, case when text = low then 'lowercase' end,
+  case when regexp_matches(low, '\b(""" + "|".join(T.ABBREVIATIONS) + r""")\b') then 'abbreviated' end], lambda x: x is not null) as tags from w)
+select coalesce(array_to_string(tags, ';'), '') as tags, count(*) as n from t group by 1
+""")
 def style_tags(spark, d):
     return table(spark, d, "conversations").groupBy(T.style_tags(F.col("text")).alias("tags")).agg(F.count("*").alias("n"))
 

@@ -10,7 +10,7 @@ from ..operators import sequences as S
 from ..plans import analyze
 from ..registry import query
 from ..session import small, table
-from .classify import RULES
+from .classify import RULES, labelled_sql
 from .metrics import SCORED, judged
 
 
@@ -120,10 +120,16 @@ def response_rows(spark, d):
     return r.select("request_id", "label", "level", "action", F.size("sources").alias("n_sources"), F.get("sources", F.lit(0))["doc_id"].alias("best"), F.size("entities").alias("n_entities"), size.alias("bytes"))
 
 
-@query("invariance_rate")
+CUES = {"age": "I am 45. ", "gender": "As a woman, ", "place": "I live in a village. ", "health": "I use a wheelchair. "}
+
+
+@query("invariance_rate", f"""
+with c as (select unnest([{", ".join(f"'{k}'" for k in CUES)}]) as cue, unnest([{", ".join(f"'{v}'" for v in CUES.values())}]) as said)
+select cue, count(*) as n, round(avg(cast(({labelled_sql("text")}) = ({labelled_sql("said || text")}) as double)), 6) as unchanged from conversations, c where role = 'user' group by cue
+""")
 def invariance_rate(spark, d):
     """How often personal cues leave the routing label as it was: each request once with each cue."""
-    cues = F.array(*[F.struct(F.lit(k).alias("cue"), F.lit(v).alias("said")) for k, v in (("age", "I am 45. "), ("gender", "As a woman, "), ("place", "I live in a village. "), ("health", "I use a wheelchair. "))])
+    cues = F.array(*[F.struct(F.lit(k).alias("cue"), F.lit(v).alias("said")) for k, v in CUES.items()])
     rows = table(spark, d, "conversations").where("role = 'user'").select("text", R.route(F.col("text"), RULES)["label"].alias("label"))
     rows = rows.select("text", "label", F.explode(cues).alias("c"))
     rows = rows.select("label", "c.cue", R.route(F.concat("c.said", "text"), RULES)["label"].alias("now"))

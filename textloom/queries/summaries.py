@@ -14,7 +14,17 @@ def sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
 
 
-@query("lead_summary")
+LEAD = r"""
+p as (select doc_id, list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, ' ')) as s from documents),
+x as (select doc_id, s, i, s[i] as t, len(list_filter(regexp_split_to_array(s[i], '[ \t\r\n]+'), lambda w: w <> '')) as n from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from p)),
+f as (select doc_id, t, min(i) as i, min(n) as n from x where n between 6 and 60 group by doc_id, t),
+"""
+
+
+@query("lead_summary", f"""
+with {LEAD} c as (select *, sum(n) over (partition by doc_id order by i rows unbounded preceding) as upto, row_number() over (partition by doc_id order by i) as k from f)
+select doc_id, string_agg(t, ' ' order by i) as summary from c where k = 1 or upto <= {S.BUDGET} group by doc_id
+""")
 def lead_summary(spark, d):
     return sentences(spark, d).select("doc_id", S.lead(F.col("s")).alias("summary"))
 
