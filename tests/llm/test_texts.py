@@ -111,6 +111,18 @@ def test_rotation(spark):
     assert ann == "<|system|>\nBe kind.<|end|>\n<|assistant|>\nHi<|end|>\n<|user name=bob|>\n<|end|>\n<|assistant|>\nBye<|end|>\n"
 
 
+def test_rotation_of_ties_and_repeated_rows(spark):
+    """Messages that share a turn go by speaker and text, repeated rows are messages, a null turn comes first; an empty table has none."""
+    kinds = "conv_id long, turn long, role string, text string, start long, loss string"
+    rows = [(1, 1, "bob", "b"), (1, 1, "ann", "a"), (1, 1, "ann", "a"), (1, None, "bob", "first"), (1, 1, "ann", "A")]
+    df = spark.createDataFrame([(*r, 7, "clash") for r in rows], kinds)
+    own = sorted((r for r in chat.rotate(df).collect() if r["perspective"] == "bob"), key=lambda r: r["nth"])
+    said = ["".join(r["rendered"].split("\n")[1:-1]) for r in own]
+    assert said == ["first<|end|>", "A<|end|>", "a<|end|>", "a<|end|>", "b<|end|>"]
+    assert [r["start"] for r in own] == [sum(len(x["rendered"]) for x in own[:k]) for k in range(5)]
+    assert chat.rotate(df.where("false")).count() == 0
+
+
 # quality
 
 

@@ -73,6 +73,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, for every participant."""
     return rotate(table(spark, sf_dir, "conversations"))
 
 

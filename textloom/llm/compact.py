@@ -429,5 +429,6 @@ def near_passages(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_c
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate passages of all ``documents``."""
     with Workspace(spark, "op8") as ws:
         return ws.result(near_passages(ws, table(spark, sf_dir, "documents")))

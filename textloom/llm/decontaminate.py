@@ -140,6 +140,7 @@ def contaminated(ws: Workspace, docs: DataFrame, benchmark: DataFrame, id_col: s
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of ``benchmark`` that all ``documents`` contain."""
     with Workspace(spark, "op5") as ws:
         return ws.result(contaminated(ws, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 

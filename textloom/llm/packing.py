@@ -150,10 +150,12 @@ def pack(ws: Workspace, docs: DataFrame, tokenizer: str, capacity: int = CAPACIT
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of ``CAPACITY`` ids."""
     return stage(spark, table(spark, sf_dir, "documents"), sf_dir)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows with their places; null texts are one end id, null and repeated identifiers are rows like others."""
     import public_tokenizers
 
     with Workspace(spark, "op6") as ws:

@@ -152,6 +152,7 @@ def rate(ws: Workspace, docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of all ``documents``."""
     with Workspace(spark, "op9") as ws:
         out = rate(ws, table(spark, sf_dir, "documents"))
         return ws.result(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"))

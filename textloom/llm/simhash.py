@@ -201,6 +201,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, radius: int = RADIUS, id_col
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all ``documents``."""
     with Workspace(spark, "op4") as ws:
         out = near_duplicates(ws, table(spark, sf_dir, "documents"))
         return ws.result(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))

@@ -247,6 +247,7 @@ def digests(spark: SparkSession, folder: str, shards: list[dict]) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` as they are read back from shards written in the shared folder."""
     import public_tokenizers
 
     with Workspace(spark, "op7") as ws:

@@ -351,6 +351,7 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is cut from all ``documents``."""
     docs = keyed(table(spark, sf_dir, "documents"))
     with Workspace(spark, "op2") as ws:
         return ws.result(digests(docs, repeated_spans(ws, docs)))
