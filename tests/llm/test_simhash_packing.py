@@ -36,15 +36,26 @@ def test_pairs_within_four_bits_meet():
     y = x.copy()
     for _ in range(4):
         y ^= np.int64(1) << rng.integers(0, 64, len(x)).astype(np.int64)
-    met = np.zeros(len(x), bool)
-    for b in range(3):
-        r, a, near = simhash.anchors(x, b)
+    met, rows = np.zeros(len(x), bool), 0
+    for p in range(3):
+        row, at, asks = simhash.anchors(x, p)
+        assert asks.sum() == len(x) and len(np.unique(np.stack([row, at]), axis=1)[0]) == len(row)
         nearest = np.zeros(len(x), np.int64)
-        nearest[r[near]] = a[near]
-        assert near.sum() == len(x)
-        r, a, _ = simhash.anchors(y, b)
-        met[r[a == nearest[r]]] = True
-    assert met.all()
+        nearest[row[asks]] = at[asks]
+        row, at, _ = simhash.anchors(y, p)
+        rows += len(row)
+        met[row[at == nearest[row]]] = True
+    assert met.all() and rows <= 190 * len(x)
+
+
+@pytest.mark.parametrize("n", [2_000, 20_000, 200_000])
+def test_lists_stay_short_and_rows_grow_with_the_values(n):
+    """At ten and a hundred times the values an asker meets few others, and each value still has 184 rows."""
+    fp = np.random.default_rng(n).integers(-(2**63), 2**63 - 1, n)
+    row, at, asks = simhash.anchors(fp, 1)
+    _, of, size = np.unique(at, return_inverse=True, return_counts=True)
+    assert abs(len(row) / n - 61.2) < 1
+    assert size[of[asks]].mean() < 1.1 + 4 * n * 61.2 / 2**24
 
 
 def closure(ids, fps, radius=4):
@@ -65,11 +76,12 @@ def closure(ids, fps, radius=4):
     return {i: min((ids[k] for k in g if ids[k] is not None), default=None) for g in groups.values() for i in g}
 
 
-def test_near_duplicates_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "AT_ONCE", 3)  # crowded anchors are dealt over chunks
+@pytest.mark.parametrize("at_once", [1, simhash.AT_ONCE])
+def test_near_duplicates_match_brute_force(spark, at_once):
+    """With one value at once every anchor is dealt over chunks."""
     rows = texts()
     with Workspace(spark, "t") as ws:
-        got = sorted((r["doc_id"] or -1, r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(ws, frame(spark)).collect())
+        got = sorted((r["doc_id"] or -1, r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(ws, frame(spark), at_once=at_once).collect())
     fps = [brute_fingerprint(t) for _, t in rows]
     want = closure([i for i, _ in rows], fps)
     assert got == sorted((i or -1, f, want[k]) for k, ((i, _), f) in enumerate(zip(rows, fps)))
@@ -158,6 +170,27 @@ def test_stage_keeps_one_of_each_group(spark):
     assert similar.stage(spark, frame(spark, []), "").count() == 0
 
 
+def test_links_of_dense_values(spark):
+    """Many values around a few centres, more to a list than are compared side by side."""
+    r = np.random.default_rng(6)
+    x = np.repeat(r.integers(-(2**63), 2**63 - 1, 3), 120)
+    for _ in range(5):
+        x ^= np.int64(1) << r.integers(0, 64, len(x)).astype(np.int64)
+    x = np.unique(x)
+    with Workspace(spark, "t") as ws:
+        got = simhash.links(ws, spark.createDataFrame([(int(v),) for v in x], "fp long")).collect()
+
+    def joined(pairs):
+        root = {int(v): int(v) for v in x}
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            if old != new:
+                root = {k: new if v == old else v for k, v in root.items()}
+        return {frozenset(k for k, v in root.items() if v == w) for w in root.values()}
+
+    assert joined((r["a"], r["b"]) for r in got) == joined((int(a), int(b)) for i, a in enumerate(x) for b in x[:i] if ((int(a) ^ int(b)) % 2**64).bit_count() <= 4)
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000, x) for x in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2030)]

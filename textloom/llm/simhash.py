@@ -4,9 +4,10 @@ A covering code of radius R puts every value within R bits of an anchor. If two
 the one lies within R + t of the other. So each value asks at its nearest anchor and is listed at every anchor within R + t, and every
 pair within t meets at an anchor.
 
-A fingerprint has 64 bits, three blocks. Of four differing bits one block holds at most one, so each block is covered for t = 1. The
-code is the binary Golay code: perfect, 23 bits, 4096 anchors, R = 3. Blocks are shorter, and padded with zeros; 5.3 anchors
-on the average lie within R + t = 4 of a value.
+A fingerprint has 64 bits, three blocks. The code is the binary Golay code: perfect, 23 bits, 4096 anchors, R = 3; blocks are shorter, and
+padded with zeros. Of four differing bits the block with most of them has two at least, so the two others have one each at most, or
+one has none and the other two. An anchor is one of two blocks together, so there are 3 * 2^24, and a value is listed at about 61 of
+each pair of blocks: the rows grow with the values, and a list is 3.6 millionths of them.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ from .components import components
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: First bit and bits of each block; RADIUS differing bits leave a block with at most one of them.
+#: First bit and bits of each block, and the pairs of blocks.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
+PAIRS = ((0, 1), (0, 2), (1, 2))
 GENERATOR = 0b101011100011  # of the Golay code, a fixed value
-CODE_RADIUS, BLOCK_RADIUS = 3, 1
+CODE_RADIUS = 3
 #: Values listed at one anchor that one task compares; an anchor with more is dealt over several tasks.
 AT_ONCE = 4096
+#: Lists up to this length are compared side by side.
+SHORT = 64
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -69,27 +73,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 @cache
-def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchors; the anchor nearest to each 12-bit remainder's coset leader, as an error pattern; all patterns up to R + t bits by remainder."""
-    n = 23
-
-    def remainder(x: np.ndarray) -> np.ndarray:
-        x = x.copy()
-        for i in range(n - 1, 10, -1):
-            x = np.where(x >> i & 1, x ^ (GENERATOR << (i - 11)), x)
-        return x
-
+def golay(more: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each remainder the pattern that leads to the nearest anchor; all patterns of up to R + ``more`` bits by remainder, light ones
+    first; where each remainder's begin."""
     patterns = [0]
-    for _ in range(CODE_RADIUS + BLOCK_RADIUS):
-        patterns = list({p | 1 << i for p in patterns for i in range(n)} | set(patterns))
+    for _ in range(CODE_RADIUS + more):
+        patterns = list({p | 1 << i for p in patterns for i in range(23)} | set(patterns))
     errors = np.array(sorted(patterns), np.int64)
-    rem = remainder(errors)
+    rem, weight = remainders(errors), np.bitwise_count(errors)
     near = np.zeros(2048, np.int64)
-    light = np.bitwise_count(errors) <= CODE_RADIUS
+    light = weight <= CODE_RADIUS
     near[rem[light]] = errors[light]
-    order = np.argsort(rem, kind="stable")
-    first = np.searchsorted(rem[order], np.arange(2049))
-    return near, errors[order], first
+    order = np.lexsort((weight, rem))
+    return near, errors[order], np.searchsorted(rem[order], np.arange(2049))
 
 
 def remainders(x: np.ndarray) -> np.ndarray:
@@ -98,41 +94,51 @@ def remainders(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def anchors(fp: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, nearest) for the anchors within R + t of each value's block."""
-    at, bits = BLOCKS[block]
-    near, errors, first = golay()
-    x = (fp.view(np.uint64) >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    rem = remainders(x)
-    n = first[rem + 1] - first[rem]
-    row = np.repeat(np.arange(len(x)), n)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    anchor = x[row] ^ errors[first[rem[row]] + nth]
-    # the code is systematic in its upper 12 bits, which number the anchors
-    return row, (anchor >> 11) + (block << 12), anchor == (x ^ near[rem])[row]
-
-
-def _keys(fps: DataFrame, chunks: dict[int, int] | None) -> DataFrame:
-    """Rows (key, fp, asks) of each value at its anchors; a crowded anchor is dealt over chunks of askers, listed in each of them."""
+@cache
+def _upto() -> np.ndarray:
+    """How many patterns of each remainder have up to R, R + 1 and R + 2 bits."""
+    _, errors, first = golay(2)
+    weight = np.bitwise_count(errors)
+    return np.stack([np.add.reduceat((weight <= CODE_RADIUS + t).astype(np.int64), first[:-1]) for t in range(3)], axis=1)
+
+
+def _crossed(n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, i, j) for i under n and j under m of each row."""
+    row = np.repeat(np.arange(len(n)), n * m)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+    return row, at // m[row], at % m[row]
+
+
+def anchors(fp: np.ndarray, pair: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, asks) for the anchors of a pair of blocks at which values are listed; a value asks at the nearest one."""
+    _, errors, first = golay(2)
+    x, rem = [], []
+    for at, bits in (BLOCKS[b] for b in PAIRS[pair]):
+        x.append((fp.view(np.uint64) >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64))
+        rem.append(remainders(x[-1]))
+    (n0, n1, n2), (m0, m1, m2) = _upto()[rem[0]].T, _upto()[rem[1]].T
+    # one bit in either block, or two in one of them
+    out = []
+    for n, skip_n, m, skip_m in ((n1, 0, m1, 0), (n0, 0, m2 - m1, m1), (n2 - n1, n1, m0, 0)):
+        row, i, j = _crossed(n, m)
+        i, j = i + (skip_n if isinstance(skip_n, int) else skip_n[row]), j + (skip_m if isinstance(skip_m, int) else skip_m[row])
+        # the code is systematic in its upper 12 bits, which number the anchors
+        a, b = ((x[k][row] ^ errors[first[rem[k][row]] + at]) >> 11 for k, at in enumerate((i, j)))
+        out.append((row, (pair << 24) + (a << 12) + b, (i == 0) & (j == 0)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _listed(fps: DataFrame) -> DataFrame:
+    """Rows (key, fp, asks) of each value at its anchors."""
     schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("asks", pa.bool_())])
 
     def task(batches):
-        many = np.ones(len(BLOCKS) << 12, np.int64)
-        for a, m in (chunks or {}).items():
-            many[a] = m
         for batch in batches:
-            for i in range(0, len(batch), 8192):
-                fp = batch.column("fp").slice(i, 8192).to_numpy()
-                for block in range(len(BLOCKS)):
-                    row, anchor, asks = anchors(fp, block)
-                    if chunks is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(asks)], schema=schema)
-                        continue
-                    m = many[anchor]
-                    own = (fp[row].view(np.uint64) % m.astype(np.uint64)).astype(np.int64)
-                    again = np.repeat(np.arange(len(row)), m)
-                    chunk = np.arange(len(again)) - np.repeat(np.cumsum(m) - m, m)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[again] << 24 | chunk), pa.array(fp[row[again]]), pa.array(asks[again] & (chunk == own[again]))], schema=schema)
+            for i in range(0, len(batch), 4096):
+                fp = batch.column("fp").slice(i, 4096).to_numpy()
+                for pair in range(len(PAIRS)):
+                    row, anchor, asks = anchors(fp, pair)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(asks)], schema=schema)
 
     return fps.select("fp").mapInArrow(tidy(task), "key long, fp long, asks boolean")
 
@@ -152,38 +158,56 @@ def _forest(listed: np.ndarray, asks: np.ndarray, radius: int) -> list[tuple[int
     return out
 
 
-def links(ws: Workspace, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct values ``fp`` within ``radius`` (up to 4) bits."""
+def links(ws: Workspace, fps: DataFrame, radius: int = RADIUS, at_once: int = AT_ONCE) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of distinct values ``fp`` within ``radius`` (up to 4) bits.
+
+    An anchor with more than ``at_once`` values is listed in as many chunks as that needs; each chunk's own askers ask there.
+    """
     if radius > RADIUS:
         raise ValueError("the blocks cover four differing bits")
-    spark = fps.sparkSession
-    # one row an anchor: 12288 at most, whatever the input
-    counts = {r["key"]: r["count"] for r in _keys(fps, None).groupBy("key").count().collect()}
-    chunks = {a: -(-n // AT_ONCE) for a, n in counts.items() if n > AT_ONCE}
-    rows = sum(n * chunks.get(a, 1) for a, n in counts.items())
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches]
+        parts = [b for b in batches if len(b)]
         if not parts:
             return
-        key, fp, asks = (np.concatenate(c) for c in zip(*parts))
-        order = np.argsort(key, kind="stable")
-        key, fp, asks = key[order], fp[order].view(np.uint64), asks[order]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            own = fp[a:b]
-            out += _forest(own, own[asks[a:b]], radius)
-        if out:
-            both = np.array(out, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
-
-    dealt = _keys(fps, chunks).repartition(partitions(spark, rows, 1_000_000), "key")
+        key, chunk, fp = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in ("key", "chunk", "fp"))
+        asks = np.concatenate([b.column("asks").to_numpy(zero_copy_only=False) for b in parts])
+        order = np.lexsort((chunk, key))
+        key, chunk, fp, asks = key[order], chunk[order], fp[order].view(np.uint64), asks[order]
+        heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))))
+        size = np.diff(np.append(heads, len(key)))
+        # askers of short lists meet all of their list at once
+        of = np.repeat(np.arange(len(heads)), size)
+        who = np.flatnonzero(asks & (size[of] <= SHORT) & (size[of] > 1))
+        out = [np.zeros((0, 2), np.uint64)]
+        for i in range(0, len(who), 100_000):
+            own = who[i : i + 100_000]
+            row, at, _ = _crossed(size[of[own]], np.ones(len(own), np.int64))
+            a, b = fp[own[row]], fp[heads[of[own[row]]] + at]
+            near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
+            out.append(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near]], axis=1))
+        for g in np.flatnonzero(size > SHORT):
+            own = slice(heads[g], heads[g] + size[g])
+            if asks[own].any():
+                out.append(np.array(_forest(fp[own], fp[own][asks[own]], radius), np.uint64).reshape(-1, 2))
+        both = np.unique(np.concatenate(out), axis=0).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
+
+    listed = _listed(fps)
+    crowded = ws.save(listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > at_once), "crowded")
+    n = F.lit(1).cast("long")
+    if not crowded.isEmpty():
+        listed = listed.join(crowded, "key", "left")
+        n = F.ceil(F.coalesce("n", F.lit(1)) / at_once)
+    rows = listed.withColumn("m", n).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    rows = rows.select("key", "chunk", "fp", (F.col("asks") & (F.pmod("fp", "m") == F.col("chunk"))).alias("asks"))
+    values = fps.count()
+    dealt = rows.repartition(partitions(fps.sparkSession, 184 * values, 1_000_000), "key", "chunk")
     return ws.save(dealt.mapInArrow(tidy(task), "a long, b long").distinct(), "links")
 
 
-def near_duplicates(ws: Workspace, docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(ws: Workspace, docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", at_once: int = AT_ONCE) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that links of at most ``radius`` bits reach.
 
     Equal fingerprints meet once, as one value with its smallest identifier. Null and empty texts share fingerprint zero. Rows that
@@ -192,7 +216,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, radius: int = RADIUS, id_col
     """
     own = ws.save(fingerprints(docs, id_col, text_col), "fingerprints")
     values = ws.save(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
-    roots = components(ws, links(ws, values, radius))
+    roots = components(ws, links(ws, values, radius, at_once))
     values = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     values = ws.save(values, "rooted")
     least = values.groupBy("root").agg(F.min("least").alias("component_id"))
