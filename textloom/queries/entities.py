@@ -159,3 +159,31 @@ def sequence_tagger(spark, d):
     tagger = tagging.fit_sample(rows, "words", "gold", "o_orderkey", 200)
     both = rows.select(F.explode(F.arrays_zip("gold", tagging.tag(tagger, F.col("words")).alias("pred"))).alias("x"))
     return both.groupBy(F.col("x.gold").alias("tag")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("x.gold") == F.col("x.pred")).cast("double")), 6).alias("accuracy"))
+
+
+@query("merged_spans", f"""
+with {SPANS} select doc_id, s as start, e as stop, label from gold union all select doc_id, s, e, label from pred p where not exists (select 1 from gold g where g.doc_id = p.doc_id and g.s < p.e and p.s < g.e)
+""")
+def merged_spans(spark, d):
+    """All spans of one source, and those of another that overlap none of them."""
+    lists = lambda df, name: df.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "label")).alias(name))
+    rows = lists(spans(spark, d, False), "first").join(lists(spans(spark, d, True), "second"), "doc_id", "left")
+    none = F.array().cast("array<struct<start:int,end:int,label:string>>")
+    merged = rows.select("doc_id", F.explode(E.merge(F.col("first"), F.coalesce("second", none))).alias("s"))
+    return merged.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "s.label")
+
+
+def _masked(text: str) -> str:
+    from ..functions.text import MASKS
+
+    for pattern, name in MASKS:
+        text = f"regexp_replace({text}, '{pattern}', '{name}', 'g')"
+    return text
+
+
+@query("masked_notes", f"with {NOTES} select o_orderkey, {_masked("lower(text || ' Mail a' || o_orderkey || '@example.org, see https://example.org/' || o_orderkey || ' by 2031-01-09, 3.5 kg')")} as masked from notes")
+def masked_notes(spark, d):
+    """Every mask in turn: addresses, links, dates of two kinds, amounts, percents, telephone and other numbers."""
+    key = F.col("o_orderkey").cast("string")
+    said = F.concat("text", F.lit(" Mail a"), key, F.lit("@example.org, see https://example.org/"), key, F.lit(" by 2031-01-09, 3.5 kg"))
+    return notes(spark, d).select("o_orderkey", mask(said).alias("masked"))

@@ -44,6 +44,20 @@ def yaml_rows(spark: SparkSession, text: str, schema: str | StructType, pick: Ca
     return spark.createDataFrame(list(pick(yaml.safe_load(text))), schema)
 
 
+def query_rows(parsed: dict, defaults: dict[str, str]) -> Iterable[tuple]:
+    """(branch, fact, query, kind) of a nested document: branches of facts of queries.
+
+    A key "F1+F2" stands for several facts. A query is a text, or a mapping with ``query`` and perhaps ``kind``; what it doesn't say is the
+    branch's default. One query instead of a list is a list of one.
+    """
+    for branch, facts in parsed.items():
+        for keys, said in (facts or {}).items():
+            for entry in as_list(said):
+                entry = entry if isinstance(entry, dict) else {"query": entry}
+                for fact in str(keys).split("+"):
+                    yield branch, fact.strip(), entry["query"], entry.get("kind", defaults.get(branch, "plain"))
+
+
 def as_list(value: object) -> list:
     """A scalar, a list or nothing as a list."""
     return [] if value is None else list(value) if isinstance(value, list) else [value]

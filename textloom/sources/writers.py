@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.quality import markdown
 
-__all__ = ["by_split", "csv", "json_results", "markdown", "schema_json"]
+__all__ = ["by_split", "csv", "json_results", "markdown", "schema_json", "texts"]
 
 
 def by_split(df: DataFrame, path: str, split: str = "split", fmt: str = "parquet") -> None:
@@ -30,3 +30,13 @@ def json_results(df: DataFrame, path: str) -> None:
 def schema_json(**tables: DataFrame) -> str:
     """The schemas of several tables as one JSON document."""
     return json.dumps({name: json.loads(df.schema.json()) for name, df in tables.items()}, indent=1, sort_keys=True)
+
+
+def texts(spark, path: str, files: dict[str, str]) -> None:
+    """A few small files by name below a folder, on whatever file system its path names."""
+    jvm = spark._jvm
+    for name, text in files.items():
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+        out.write(text.encode("utf-8"))
+        out.close()
