@@ -115,11 +115,17 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(at)
 
     def settle(self) -> None:
-        """Let the driver forget what has been written, so that executors delete the shuffle files behind it."""
+        """Let the driver forget what has been written, so that executors delete the shuffle files behind it.
+
+        The first collection frees what Python held, the second what that held in turn; executors are told in the background.
+        """
         import gc
+        import time
 
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(1)
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)

@@ -28,19 +28,28 @@ ADD = 0.1
 #: Tokens of a slice (a longer text is a slice of its own), and tokens of the corpus for each bucket.
 SLICE, BUCKET = 400_000, 1 << 19
 WORD, TWO, THREE = 1, 2, 3
+#: Bytes of a hash that a bucket is sent, those that follow the bits which the bucket stands for.
+KEY, KEY_BYTES = "key", 6
 _SLICE = pa.schema([("slice", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("learns", pa.list_(pa.bool_())), ("ends", pa.list_(pa.int64())), ("words", pa.binary()), ("tokens", pa.binary())])
 _ASK = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("slice", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 _DDL = "kind int, bucket long, slice long, n long, body binary"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of numbers, all first ones, then all second ones: leading bytes of sorted or of small numbers pack well."""
-    return x.view("u1").reshape(len(x), -1).T.tobytes() if len(x) else b""
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, a row of all first ones, then of all second ones: leading bytes of sorted or of small numbers pack well."""
+    return np.ascontiguousarray(x.view("u1").reshape(len(x), x.itemsize).T)
 
 
 def _numbers(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, -1).T).view(kind).ravel()
+    """Numbers of their planes; planes that were left out are low ones, and zero."""
+    size = 8 if kind == KEY else np.dtype(kind).itemsize
+    some = np.frombuffer(raw, "u1")
+    n = len(some) // (KEY_BYTES if kind == KEY else size)
+    out = np.zeros((n, size), "u1")
+    if n:
+        planes = some.reshape(-1, n)
+        out[:, size - len(planes) :] = planes.T
+    return out.view("<u8" if kind == KEY else kind).ravel()
 
 
 def slices(docs: DataFrame) -> DataFrame:
@@ -55,7 +64,7 @@ def slices(docs: DataFrame) -> DataFrame:
 
         words, tokens = np.unique(np.array(hashes, np.uint64), return_inverse=True)
         pack = zstandard.ZstdCompressor(level=1).compress
-        return pa.RecordBatch.from_pylist([{"slice": name, "n": len(tokens), "ids": ids, "learns": learns, "ends": ends, "words": pack(_planes(words)), "tokens": pack(_planes(tokens.astype("<u4")))}], schema=_SLICE)
+        return pa.RecordBatch.from_pylist([{"slice": name, "n": len(tokens), "ids": ids, "learns": learns, "ends": ends, "words": pack(_planes(words).tobytes()), "tokens": pack(_planes(tokens.astype("<u4")).tobytes())}], schema=_SLICE)
 
     def task(batches):
         from pyspark import TaskContext
@@ -125,7 +134,9 @@ class Slice:
         n = len(keys)
         counts = 2 * np.bincount(of[learns], minlength=n) + (np.bincount(of[~learns], minlength=n) > 0)
         cuts = np.concatenate((np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64), [n]))
-        rows = [(kind, b, self.name, int(j - i), _planes(keys[i:j]) + _planes(counts[i:j].astype("<u8"))) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        sent = _planes(keys << np.uint64(bits)).reshape(8, -1)[2:] if n else None
+        told = _planes(counts.astype("<u8"))
+        rows = [(kind, b, self.name, int(j - i), sent[:, i:j].tobytes() + told[:, i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASK)] if rows else [pa.array([], f.type) for f in _ASK], schema=_ASK)
 
 
@@ -141,8 +152,11 @@ def _answers(asked: DataFrame, rows: int) -> DataFrame:
         del parts
         for kind in np.unique(kinds):
             own = np.flatnonzero(kinds == kind)
-            keys = np.concatenate([_numbers(bodies[i][: 8 * sizes[i]], "<u8") for i in own])
-            counts = np.concatenate([_numbers(bodies[i][8 * sizes[i] :], "<u8") for i in own]).astype(np.int64)
+            keys = np.concatenate([_numbers(bodies[i][: KEY_BYTES * sizes[i]], KEY) for i in own])
+            counts = np.concatenate([_numbers(bodies[i][KEY_BYTES * sizes[i] :], "<u8") for i in own]).astype(np.int64)
+            # a task has few buckets: their numbers take the place of the bits that they stand for
+            nth = np.unique(buckets[own], return_inverse=True)[1].astype(np.uint64)
+            keys = np.repeat(nth, sizes[own]) << np.uint64(8 * KEY_BYTES) | keys >> np.uint64(64 - 8 * KEY_BYTES)
             order = np.argsort(keys, kind="stable")
             heads = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
             learnt = np.add.reduceat(counts[order] >> 1, heads)
@@ -150,7 +164,7 @@ def _answers(asked: DataFrame, rows: int) -> DataFrame:
             back = np.empty(len(keys), "<u8")
             back[order] = np.repeat(total, np.diff(np.append(heads, len(keys))))
             ends = np.cumsum(sizes[own])
-            out = [(int(kind), int(buckets[i]), int(names[i]), int(sizes[i]), _planes(back[e - sizes[i] : e])) for i, e in zip(own, ends)]
+            out = [(int(kind), int(buckets[i]), int(names[i]), int(sizes[i]), _planes(back[e - sizes[i] : e]).tobytes()) for i, e in zip(own, ends)]
             out.append((int(kind), 0, -1, int((learnt > 0).sum()), np.array([learnt.sum()], "<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ASK)], schema=_ASK)
 
