@@ -3,7 +3,8 @@
 One dictionary is trained on toxic texts and one, of the same size, on as many ordinary texts; no text is in both. A window of words is
 compressed with either, and the difference of the two lengths is the window's evidence. Both dictionaries lie before the same base, a
 third one of other ordinary texts, so that the two lengths differ by what either class says and not by which rare words it happened to
-hold. In a second round the toxic dictionary is trained on those windows of toxic texts that it compressed better than the ordinary one.
+hold. In later rounds the toxic dictionary is trained on those windows of toxic texts that another pair found to be better compressed as
+toxic.
 
 How far differences go beyond margins to either side, by the number of windows, and the largest difference feed a logistic threshold,
 fitted on labelled texts that no dictionary has seen.
@@ -28,8 +29,8 @@ LEVEL = 7
 MARGINS = (0, 1, 2, 3, 4, 6)
 #: Bytes of a class's dictionary and of the base; lengths of the segments and of the strings that training counts.
 CLASS_BYTES, BASE_BYTES, SEGMENT, COUNTED = 8192, 112_640, 8, 6
-#: Words of a training window in the first round and in the second, and bytes by which a window goes on to the second.
-FIRST, SECOND, GAIN = 3, 12, 3
+#: Words of a training window at first and in later rounds, bytes by which a window goes on, and later rounds.
+FIRST, SECOND, GAIN, ROUNDS = 3, 12, 3, 3
 #: Pairs of dictionaries, each trained without another part of the texts; their differences are averaged.
 PAIRS = 3
 #: Bounds of the labelled sample: texts of each class, and the longest text that is learnt from, in characters.
@@ -84,13 +85,22 @@ def _trained(size: int, samples: list[bytes], **how: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _pair(plain: list[str], toxic: list[str], base: bytes) -> tuple[bytes, bytes]:
-    """A dictionary of ordinary and one of toxic texts; the toxic one anew on those of its windows that it compressed better."""
-    how = {"k": SEGMENT, "d": COUNTED}
-    ordinary, first = (_trained(CLASS_BYTES, [w for t in own for w in windows(t, FIRST)], **how) for own in (plain, toxic))
-    short, long = _compressor(first, base), _compressor(ordinary, base)
-    better = [w for t in toxic for w in windows(t, SECOND) if len(long(w)) - len(short(w)) >= GAIN]
-    return ordinary, _trained(CLASS_BYTES, better, **how) or first
+def _pairs(plain: list[str], toxic: list[str], base: bytes) -> tuple[tuple[bytes, bytes], ...]:
+    """Pairs of an ordinary and a toxic dictionary, each trained without one part of the texts.
+
+    Toxic dictionaries are trained anew, ``ROUNDS`` times, on those windows of toxic texts that the pair which has not seen the text
+    compresses better as toxic: what it has learnt by heart does not count.
+    """
+    train = lambda parts, k: _trained(CLASS_BYTES, [w for i, p in enumerate(parts) if i != k for w in p], k=SEGMENT, d=COUNTED)
+    ordinary, samples = ([[w for t in texts[k::PAIRS] for w in windows(t, FIRST)] for k in range(PAIRS)] for texts in (plain, toxic))
+    long, short = ([train(parts, k) for k in range(PAIRS)] for parts in (ordinary, samples))
+    for _ in range(ROUNDS):
+        better = []
+        for k in range(PAIRS):
+            one, other = _compressor(long[k], base), _compressor(short[k], base)
+            better.append([w for t in toxic[k::PAIRS] for w in windows(t, SECOND) if len(one(w)) - len(other(w)) >= GAIN])
+        short = [train(better, k) or short[k] for k in range(PAIRS)]
+    return tuple(zip(long, short))
 
 
 def fit(texts: list[tuple[str, int]], share: float | None = None) -> Model:
@@ -108,7 +118,7 @@ def fit(texts: list[tuple[str, int]], share: float | None = None) -> Model:
     n = min(len(toxic), -(-len(plain) // 2))
     by_class, rest = (plain[:n], toxic), plain[n:]
     base = _trained(BASE_BYTES, [w for t in rest for w in windows(t, WINDOW // 3)])
-    pairs = tuple(_pair(*([t for i, t in enumerate(own) if i % PAIRS != k] for own in by_class), base) for k in range(PAIRS))
+    pairs = _pairs(*by_class, base)
     model = Model(pairs, base)
     x = np.array([model.features(t) for t, _ in check]).reshape(len(check), FEATURES)
     return Model(pairs, base, _logistic(x, np.array([y for _, y in check]), share))
