@@ -73,7 +73,7 @@ def entity_details_map(spark, d):
 
 def spans(spark, d, shift: bool):
     """Spans of words of documents; the predicted ones are moved or named otherwise by their identifiers."""
-    s = table(spark, d, "documents").where("n_chars >= 40").select("doc_id", F.explode(F.array(F.lit(0), F.lit(12), F.lit(25))).alias("k"))
+    s = table(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(12), F.lit(25))).alias("k"))
     s = s.withColumn("label", F.when((F.col("doc_id") + F.col("k")) % 2 == 0, "A").otherwise("B")).withColumn("start", F.col("k"))
     if not shift:
         return s.select("doc_id", "start", (F.col("start") + 8).alias("end"), "label")
@@ -84,7 +84,7 @@ def spans(spark, d, shift: bool):
 
 
 SPANS = """
-base as (select doc_id, k, case when (doc_id + k) % 2 = 0 then 'A' else 'B' end as label from documents, (select unnest([0, 12, 25]) as k) where n_chars >= 40),
+base as (select doc_id, k, case when (doc_id + k) % 2 = 0 then 'A' else 'B' end as label from documents, (select unnest([0, 12, 25]) as k)),
 gold as (select doc_id, k as s, k + 8 as e, label from base),
 pred as (select doc_id, k + m as s, k + m + 8 as e, l as label from (select doc_id, k, case when doc_id % 5 = 0 then 3 when doc_id % 11 = 0 then 9 else 0 end as m, case when doc_id % 3 = 0 then 'A' else label end as l from base where (doc_id + k) % 7 <> 0))
 """
@@ -121,13 +121,11 @@ def span_errors(spark, d):
 
 @query("bio_round_trip", f"with {SPANS} select doc_id, s as start, e as stop, label from gold")
 def bio_round_trip(spark, d):
-    """Spans to BIO tags over character cells of four, and back; spans begin and end on cells here."""
-    gold = spans(spark, d, False).withColumn("start", F.col("start") + F.when(F.col("start") == 25, 3).otherwise(0)).withColumn("end", F.col("start") + 8)
-    cells = table(spark, d, "documents").where("n_chars >= 40").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("pos"))
-    cells = cells.withColumn("start", F.col("pos") * 4).withColumn("end", F.col("pos") * 4 + 4)
-    back = bio_decode(E.to_bio(cells, gold), ["doc_id"], "pos", "tag")
-    start = F.col("first") * 4
-    return back.select("doc_id", F.when(start == 28, 25).otherwise(start).alias("start"), F.when(start == 28, 33).otherwise(F.col("last") * 4 + 4).alias("stop"), "label")
+    """Spans to BIO tags over characters, and back."""
+    cells = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(35))).alias("pos"))
+    cells = cells.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1)
+    back = bio_decode(E.to_bio(cells, spans(spark, d, False)), ["doc_id"], "pos", "tag")
+    return back.select("doc_id", F.col("first").alias("start"), (F.col("last") + 1).alias("stop"), "label")
 
 
 @query("gazetteer_tags", """
