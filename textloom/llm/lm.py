@@ -4,7 +4,8 @@ States are contexts of two, one and no words. An arc of a state reads a word and
 (c(hw) + PRIOR * p(w | shorter)) / (c(h) + PRIOR); a state's failure arc carries PRIOR / (c(h) + PRIOR) and leads to the context without
 its first word. Probabilities of a state add up to one. Every n-gram of the training texts is an arc, whatever its count.
 
-1. *Slices.* Texts are cut into slices of some hundred thousand tokens, once: different words and, for each token, which of them it is.
+1. *Slices.* Texts are cut into slices of 200,000 tokens, once: different words and, for each token, which of them it is. They lie in
+   buckets of their own and don't move again.
 2. *Words and bigrams.* A slice sends each different one once, with how often its training texts have it, to a bucket by hash. A bucket
    adds up and answers each slice in the order in which it asked, so the answer is counts alone.
 3. *Trigrams* the same way, of those places whose context has been met twice or by a text that is scored only. What follows a context
@@ -26,7 +27,7 @@ from .common import Workspace, partitions, plain_words, remainder, table, tidy
 PRIOR = 1.0
 ADD = 0.1
 #: Tokens of a slice (a longer text is a slice of its own), and tokens of the corpus for each bucket.
-SLICE, BUCKET = 400_000, 1 << 19
+SLICE, BUCKET = 200_000, 1 << 19
 WORD, TWO, THREE = 1, 2, 3
 #: Bytes of a hash that a bucket is sent, those that follow the bits which the bucket stands for.
 KEY, KEY_BYTES = "key", 6
@@ -201,7 +202,9 @@ def score(ws: Workspace, docs: DataFrame, learns: Column, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
-    cut = ws.save(slices(docs), "slices")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    # about four slices to a bucket; their answers come to them
+    cut = ws.save_by(slices(docs), "slices", "slice", partitions(spark, chars, 24 * SLICE))
     tokens = cut.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (-(-tokens // BUCKET) - 1).bit_length())
 
