@@ -41,6 +41,13 @@ def route(text: Column, rules: dict[str, list[str]]) -> Column:
     return F.struct(F.when(best["n"] < 0, best["label"]).otherwise(F.lit(OUT)).alias("label"), (-best["n"]).alias("score"), F.round(share, 6).alias("p"))
 
 
+def ranked_labels(text: Column, rules: dict[str, list[str]], k: int) -> Column:
+    """The k labels with most keywords as (label, score, p), the first of equal ones by the order of the rules."""
+    scores = [F.struct((-keyword_score(text, ws)).alias("n"), F.lit(i).alias("i"), F.lit(name).alias("label")) for i, (name, ws) in enumerate(rules.items())]
+    z = reduce(lambda a, b: a + b, [F.exp(-s["n"].cast("double")) for s in scores])
+    return F.transform(F.slice(F.array_sort(F.array(*scores)), 1, k), lambda x: F.struct(x["label"].alias("label"), (-x["n"]).alias("score"), F.round(F.exp(-x["n"].cast("double")) / z, 6).alias("p")))
+
+
 def decide(in_scope: Column, intent_p: Column, route_p: Column, missing: Column, review: float = 0.5) -> Column:
     """Action and reason: reject, clarify, review, ask for details, or route."""
     two = lambda x: F.format_string("%.2f", x)

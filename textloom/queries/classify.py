@@ -156,3 +156,43 @@ def error_categories(spark, d):
     a, b, c = F.col("a_right"), F.col("b_right"), F.col("conf")
     kind = F.when(a & b, "ok").when(~a & ~b, "both_wrong").when(a, "second_wrong").when(c >= 0.75, "confident_error").otherwise("uncertain_error")
     return judged(spark, d).groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("route_top_two", f"""
+with n as (select doc_id, {COUNTS} from {ROUTED}), z as (select *, {" + ".join(f"exp(n_{k})" for k in RULES)} as z from n),
+l as (select doc_id, unnest([{", ".join(f"'{k}'" for k in RULES)}]) as label, unnest([{", ".join(f"n_{k}" for k in RULES)}]) as score, unnest(range(0, {len(RULES)})) as i, z from z)
+select doc_id, label, score, round(exp(score) / z, 6) as p, rank from (select *, row_number() over (partition by doc_id order by score desc, i) as rank from l) where rank <= 2
+""")
+def route_top_two(spark, d):
+    """The two best labels of each document by keywords, within the row; equal scores go by the order of the rules."""
+    rows = table(spark, d, "documents").select("doc_id", R.ranked_labels(F.col("text"), RULES, 2).alias("r"))
+    return rows.select("doc_id", F.posexplode("r").alias("k", "x")).select("doc_id", "x.*", (F.col("k") + 1).cast("long").alias("rank"))
+
+
+@query("current_orders", "select o_orderkey, o_orderstatus from orders where not (o_orderdate < timestamp '1993-01-01' and o_orderstatus = 'F')")
+def current_orders(spark, d):
+    """Rows that are not historical."""
+    old = (F.col("o_orderdate") < F.lit("1993-01-01").cast("timestamp")) & (F.col("o_orderstatus") == "F")
+    return table(spark, d, "orders").where(~old).select("o_orderkey", "o_orderstatus")
+
+
+@query("single_labels", "with t as (select user_id, string_agg(distinct event_type, '|' order by event_type) as kinds from events where value > 200 group by 1) select user_id as row_id, kinds as label from t where not contains(kinds, '|')")
+def single_labels(spark, d):
+    """Rows of one label, in the shape that models take."""
+    kinds = F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("kinds")
+    rows = table(spark, d, "events").where("value > 200").groupBy("user_id").agg(kinds)
+    return rows.where(~F.contains("kinds", F.lit("|"))).select(F.col("user_id").alias("row_id"), F.col("kinds").alias("label"))
+
+
+@query("verified_rows", "select l.doc_id, quality from labels l join documents d on l.doc_id = d.doc_id where quality = 1 and not (toxic = 1) and not (lang <> 'en')")
+def verified_rows(spark, d):
+    """Rows that meet several conditions at once."""
+    rows = table(spark, d, "labels").where((F.col("quality") == 1) & ~(F.col("toxic") == 1))
+    return rows.join(table(spark, d, "documents").where(~(F.col("lang") != "en")).select("doc_id"), "doc_id").select("doc_id", "quality")
+
+
+@query("answered_queries", "select conv_id, list_sort(list(distinct turn)) as relevant from conversations where role <> 'user' and length(text) > 80 group by 1 having count(*) > 0")
+def answered_queries(spark, d):
+    """Queries whose set of relevant rows is not empty."""
+    relevant = F.array_sort(F.collect_set(F.when((F.col("role") != "user") & (F.length("text") > 80), F.col("turn")))).alias("relevant")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(relevant).where(F.size("relevant") > 0)
