@@ -12,7 +12,8 @@ its first word. Probabilities of a state add up to one. Every n-gram of the trai
    that occurs once in all training texts is known without asking: it occurs once.
 4. *Traversal.* Slices come together with their answers, and each text is read from left to right in the state of its last two words.
 
-No word, context or n-gram gathers its occurrences anywhere: a bucket sees it once a slice.
+No word, context or n-gram gathers its occurrences anywhere: a bucket sees it once a slice. What crosses a shuffle are rows of a slice's
+n-grams for one bucket, never more rows than different n-grams of slices.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import Workspace, partitions, plain_words, remainder, table, tidy
 PRIOR = 1.0
 ADD = 0.1
 #: Tokens of a slice (a longer text is a slice of its own), and tokens of the corpus for each bucket.
-SLICE, BUCKET = 200_000, 1 << 19
+SLICE, BUCKET = 200_000, 1 << 21
 WORD, TWO, THREE = 1, 2, 3
 #: Bytes of a hash that a bucket is sent, those that follow the bits which the bucket stands for.
 KEY, KEY_BYTES = "key", 6
