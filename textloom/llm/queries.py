@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compact, decontaminate, lm, packing, quality, simhash, sstable, suffix_dedup, toxicity
+from . import chat, compact, counts, decontaminate, lm, packing, quality, simhash, sstable, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_compact_windows": compact.query,
     "op9_quality_rules": quality.query,
     "op10_lm_scoring": lm.query,
+    "op11_token_counts": counts.query,
 }
 
 ORACLE: dict[str, str] = {
