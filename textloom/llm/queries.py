@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compact, counts, decontaminate, lm, packing, quality, simhash, sstable, suffix_dedup, toxicity
+from . import chat, compact, counts, decontaminate, lm, packing, quality, simhash, sstable, suffix_dedup, toxicity, variants, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality_rules": quality.query,
     "op10_lm_scoring": lm.query,
     "op11_token_counts": counts.query,
+    "op12_embedding_whitening": whitening.query,
+    "op13_spelling_variants": variants.query,
 }
 
 ORACLE: dict[str, str] = {
@@ -23,4 +25,5 @@ ORACLE: dict[str, str] = {
     "op3_chat_formatting": chat.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op9_quality_rules": quality.SQL,
+    "op13_spelling_variants": variants.SQL,
 }
