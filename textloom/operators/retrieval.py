@@ -1,4 +1,4 @@
-"""Lexical, vector and fused retrieval: scored (query, document) rows in, ranked rows out."""
+"""Vector and fused retrieval: scored (query, document) rows in, ranked rows out. Lexical search is in ``index``."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-from ..session import small
-
-K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF = 60
 
 
@@ -20,60 +16,6 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id"
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def asked_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query", most: int = 100_000) -> tuple[DataFrame, list[str]]:
-    """(query_id, term, qtf), and the different terms of a stated set of queries, at most ``most`` of them."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = [r["term"] for r in asked.select("term").distinct().limit(most + 1).collect()]
-    if len(terms) > most:
-        raise ValueError(f"over {most} terms; ask in blocks")
-    return asked, terms
-
-
-def statistics(docs: DataFrame, terms: list[str], doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, int], dict]:
-    """Document frequencies of ``terms``, and totals: documents, average length, mean idf of all terms. One pass over the texts.
-
-    A document counts a term once, so the only shuffle is that of partial counts. Its length goes with the empty term, which no token is.
-    """
-    n = docs.count()
-    toks = docs.select(tokens(F.col(text)).alias("toks"))
-    marked = F.concat(F.array_distinct("toks"), F.array(F.lit("")))
-    df = toks.select(F.size("toks").alias("len"), F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("len").alias("len"))
-    real = F.col("term") != ""
-    total = df.agg(
-        F.sum(F.when(~real, F.col("len"))).alias("len"),
-        F.avg(F.when(real, F.log(n - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))).alias("mean"),
-        F.collect_list(F.when(F.col("term").isin(terms), F.struct("term", "n"))).alias("asked"),
-    ).first()
-    return {r["term"]: r["n"] for r in total["asked"]}, {"docs": n, "avgdl": (total["len"] or 0) / n if n and total["len"] else 1.0, "mean_idf": total["mean"] or 0.0}
-
-
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """(query_id, doc_id, score) of every document that has a term of the query.
-
-    idf = ln(N - n + .5) - ln(n + .5); a negative one becomes a quarter of the mean over all terms. A term counts as often as the
-    query repeats it; scores are not under zero. Texts are read twice: for the statistics, and for the postings of the queries' terms;
-    those of other terms never leave their task.
-    """
-    asked, terms = asked_terms(queries, query_id, query)
-    df, total = statistics(docs, terms, doc_id, text)
-    toks = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("toks"))
-    hits = toks.select("doc_id", F.size("toks").alias("len"), F.explode(F.filter("toks", lambda t: t.isin(terms))).alias("term"))
-    tf = hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    idf = docs.sparkSession.createDataFrame(list(df.items()), "term string, n long")
-    raw = F.log(total["docs"] - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
-    asked = asked.join(F.broadcast(idf.withColumn("idf", F.when(raw < 0, FLOOR * total["mean_idf"]).otherwise(raw)).drop("n")), "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / total["avgdl"]))
-    rows = tf.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    return rows.withColumn("score", F.greatest(F.round("score", 6), F.lit(0.0)))
-
-
-def overlap(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """Different tokens that a query and a document share, 1 at least for what shares any."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    return own.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Of unit vectors, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import squash, tokens
+from ..operators import index
 from ..operators import retrieval as R
 from ..registry import query
 from ..session import small, table
@@ -48,13 +49,14 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def bm25_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return R.ranked(R.bm25(table(spark, d, "documents"), items(spark, d)), k)
+def hits(spark: SparkSession, d: str, k: int, plain: bool = False) -> DataFrame:
+    """The k best documents of every item, by BM25 or by the number of shared terms: from the stored index of ``documents``."""
+    return index.of(spark, f"{d}/documents.parquet").search(items(spark, d), k, plain)
 
 
 @query("bm25_top5", f"with {BM25} select query_id, doc_id, score, rank from bm25 where rank <= 5")
 def bm25_top5(spark, d):
-    return bm25_hits(spark, d, 5)
+    return hits(spark, d, 5)
 
 
 def relevant(spark: SparkSession, d: str) -> DataFrame:
@@ -81,12 +83,12 @@ select count(*) as queries, round(avg(coalesce(cast(first <= 1 as int), 0)), 4)
   round(avg(coalesce(cast(first <= 5 as int), 0)), 4) as recall_5, round(avg(coalesce(cast(first <= 10 as int), 0)), 4) as recall_10, round(avg(coalesce(1 / first, 0.0)), 4) as mrr from first
 """)
 def bm25_recall_mrr(spark, d):
-    return R.recall_mrr(bm25_hits(spark, d, 10), relevant(spark, d))
+    return R.recall_mrr(hits(spark, d, 10), relevant(spark, d))
 
 
 @query("token_overlap_top3", f"with {OVERLAP} select query_id, doc_id, score, rank from overlapped where rank <= 3")
 def token_overlap_top3(spark, d):
-    return R.ranked(R.overlap(table(spark, d, "documents"), items(spark, d)), 3)
+    return hits(spark, d, 3, plain=True)
 
 
 FUSED = """
@@ -98,8 +100,7 @@ fused as (
 
 
 def fused(spark, d):
-    docs = table(spark, d, "documents")
-    return R.fuse(bm25_hits(spark, d, 20), R.ranked(R.overlap(docs, items(spark, d)), 20))
+    return R.fuse(hits(spark, d, 20), hits(spark, d, 20, plain=True))
 
 
 @query("rrf_fusion", f"""
@@ -130,9 +131,11 @@ again as (select query_id, doc_id, round(cast(coalesce(o.score, 0) as double), 6
 select * from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from again) where rank <= 5
 """)
 def rerank_pool(spark, d):
-    hits = bm25_hits(spark, d, 20)
-    other = R.overlap(table(spark, d, "documents"), items(spark, d)).withColumnRenamed("score", "shared")
-    return R.rerank(hits.drop("score").join(other, ["query_id", "doc_id"], "left"), F.coalesce("shared", F.lit(0)).cast("double")).select("query_id", "doc_id", "score", "rank")
+    # twenty rows an item, and the items are a stated set
+    pool = hits(spark, d, 20).drop("score").join(small(items(spark, d)), "query_id")
+    pool = table(spark, d, "documents").select("doc_id", "text").join(small(pool), "doc_id")
+    shared = F.size(F.array_intersect(tokens(F.col("query")), tokens(F.col("text"))))
+    return R.rerank(pool, shared.cast("double")).select("query_id", "doc_id", "score", "rank")
 
 
 @query("retriever_comparison", f"""
@@ -144,13 +147,11 @@ first as (select system, query_id, min(rank) as first from systems cross join re
 select system, count(*) as queries, round(avg(coalesce(cast(first <= 1 as int), 0)), 4) as recall_1, round(avg(coalesce(cast(first <= 3 as int), 0)), 4) as recall_3, round(avg(coalesce(1 / first, 0.0)), 4) as mrr from first group by system
 """)
 def retriever_comparison(spark, d):
-    rel, docs = relevant(spark, d), table(spark, d, "documents")
-    lexical = R.ranked(R.overlap(docs, items(spark, d)), 20)
-    bm = bm25_hits(spark, d, 20)
+    rel, lexical, bm = relevant(spark, d), hits(spark, d, 20, plain=True), hits(spark, d, 20)
     systems = {"bm25": bm.where("rank <= 5"), "overlap": lexical.where("rank <= 5"), "fused": R.ranked(R.fuse(bm, lexical), 5)}
     out = None
-    for name, hits in systems.items():
-        part = R.recall_mrr(hits, rel, (1, 3)).withColumn("system", F.lit(name))
+    for name, found in systems.items():
+        part = R.recall_mrr(found, rel, (1, 3)).withColumn("system", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -161,7 +162,7 @@ rest as (select query_id, doc_id, score from bm25 where rank <= 8 and not exists
 select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from rest) where rank <= 2
 """)
 def hard_negatives(spark, d):
-    return R.mine_negatives(bm25_hits(spark, d, 8), relevant(spark, d))
+    return R.mine_negatives(hits(spark, d, 8), relevant(spark, d))
 
 
 KNN = """

@@ -51,15 +51,21 @@ def ordered_values(pos: Column, value: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(pos.alias("p"), value.alias("v")))), lambda x: x["v"])
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below spark.checkpoint.dir, which driver and executors share; a session in one process may do without."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a session in one process may do without."""
     import re
     import tempfile
-    import uuid
 
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = f"file://{tempfile.gettempdir()}/textloom"
-    return f"{at.rstrip('/')}/textloom-{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one."""
+    import uuid
+
+    return f"{shared_root(spark)}/textloom-{name}-{uuid.uuid4().hex}"
