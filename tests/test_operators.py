@@ -149,14 +149,3 @@ def test_models_save_and_load(spark, tmp_path):
     assert folds.count() == 40 and folds.where("label = prediction").count() == 40
     weights = {r["label"]: r["weight"] for r in L.balanced(df.where("id < 30")).select("label", "weight").distinct().collect()}
     assert weights == {0.0: 1.0, 1.0: 1.0}
-
-
-def test_tagger_learns_and_keeps_labels_together(spark):
-    from textloom.operators import tagging
-
-    data = [([f"order{i}", "costs", "Rs", str(100 + i), "on", "Monday"], ["O", "O", "B-AMOUNT", "I-AMOUNT", "O", "B-DAY"]) for i in range(20)]
-    tagger = tagging.fit(data)
-    assert tagger.decode("it costs Rs 777 on Monday".split()) == ["O", "O", "B-AMOUNT", "I-AMOUNT", "O", "B-DAY"]
-    assert tagger.decode([]) == []
-    df = spark.createDataFrame([(["costs", "Rs", "5"],), ([],), (None,)], "w array<string>")
-    assert [r[0] for r in df.select(tagging.tag(tagger, F.col("w"))).collect()] == [["O", "B-AMOUNT", "I-AMOUNT"], [], []]

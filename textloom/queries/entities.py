@@ -143,20 +143,54 @@ def gazetteer_tags(spark, d):
     return E.gazetteer(toks, small(lexicon), longest=2).groupBy("doc_id", "label").agg(F.count("*").alias("found"))
 
 
+def tagged_notes(spark, d):
+    """Notes as words with the tags that rule entities spell."""
+    said = notes(spark, d)
+    if said.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        said = said.repartition(spark.sparkContext.defaultParallelism)  # few rows of a table make much work here
+    rows = said.select("o_orderkey", E.offset_tokens("text").alias("t"), E.rule_entities("text").alias("e"))
+    inside = lambda t, e: (t["start"] >= e["start"]) & (t["end"] <= e["end"])
+    entity = lambda t: F.get(F.filter("e", lambda e: inside(t, e)), F.lit(0))
+    gold = F.transform("t", lambda t: F.when(entity(t).isNull(), "O").otherwise(F.concat(F.when(entity(t)["start"] == t["start"], "B-").otherwise("I-"), entity(t)["label"])))
+    return rows.select("o_orderkey", F.transform("t", lambda t: t["text"]).alias("words"), gold.alias("gold"), "e")
+
+
+def by_tag(done):
+    """Tokens of tagged rows by gold tag: how many, how many right, and the mean probability of what was said."""
+    both = done.select(F.explode(F.arrays_zip("gold", "pred", "p")).alias("x"))
+    right = (F.col("x.gold") == F.col("x.pred")).cast("double")
+    return both.groupBy(F.col("x.gold").alias("tag")).agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg("x.p"), 4).alias("mean_p"))
+
+
 @query("sequence_tagger")
 def sequence_tagger(spark, d):
-    """A tagger fitted on a bounded sample of notes with rule entities, and its token accuracy over all notes by tag."""
+    """A conditional random field fitted on all notes with rule entities, and its token accuracy over them by tag."""
     from ..operators import tagging
 
-    tok = E.offset_tokens("text")
-    rows = notes(spark, d).select("o_orderkey", tok.alias("t"), E.rule_entities("text").alias("e"))
-    inside = lambda t, e: (t["start"] >= e["start"]) & (t["end"] <= e["end"])
-    entity = lambda t: F.get(F.filter("e", lambda e: inside(t, e)), F.lit(0))
-    gold = F.transform("t", lambda t: F.when(entity(t).isNull(), "O").otherwise(F.concat(F.when(entity(t)["start"] == t["start"], "B-").otherwise("I-"), entity(t)["label"])))
-    rows = rows.select("o_orderkey", F.transform("t", lambda t: t["text"]).alias("words"), gold.alias("gold"))
-    tagger = tagging.fit_sample(rows, "words", "gold", "o_orderkey", 200)
-    both = rows.select(F.explode(F.arrays_zip("gold", tagging.tag(tagger, F.col("words")).alias("pred"))).alias("x"))
-    return both.groupBy(F.col("x.gold").alias("tag")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("x.gold") == F.col("x.pred")).cast("double")), 6).alias("accuracy"))
+    rows = tagged_notes(spark, d)
+    field = tagging.fit(rows, "words", "gold", steps=15)
+    return by_tag(tagging.tag(field, rows, "words", ("gold",)))
+
+
+@query("tagger_gazetteers")
+def tagger_gazetteers(spark, d):
+    """Entities found in notes that are held out, by what a gazetteer of the others' entities told in training: none, all, or by folds."""
+    from ..operators import tagging
+    from ..session import digest_int
+
+    rows = tagged_notes(spark, d)
+    held = digest_int(F.col("o_orderkey").cast("string")) % 5 == 0
+    train, rest = rows.where(~held), rows.where(held)
+    lexicon = tagging.phrases(train.select(F.explode("e").alias("e")).select("e.text", "e.label"))
+    out = None
+    for mode in ("none", "full", "crossfit"):
+        field = tagging.fit(tagging.listed(train, "o_orderkey", "words", lexicon, mode, longest=8), "words", "gold", None if mode == "none" else "spans", steps=8)
+        asked = tagging.listed(rest, "o_orderkey", "words", lexicon, "none" if mode == "none" else "full", longest=8)
+        done = tagging.tag(field, asked, "words", ("o_orderkey", "gold"), None if mode == "none" else "spans")
+        tags = done.select("o_orderkey", F.posexplode(F.arrays_zip("gold", "pred")).alias("pos", "x")).select("o_orderkey", "pos", "x.gold", "x.pred")
+        part = E.sequence_scores(tags, ["o_orderkey"]).withColumn("mode", F.lit(mode))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("merged_spans", f"""
