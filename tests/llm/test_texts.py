@@ -251,6 +251,41 @@ def test_toxicity_held_out(spark):
     assert toxicity.fit([("a b c", 0), ("d e f", 0)], None).score("x") < 0.3
 
 
+def test_toxicity_matches_a_slow_version():
+    """Features from a compressor that is built anew for every window."""
+    import zstandard
+
+    bad = ["zzgrunt", "blorfel", "kwexit"]
+    docs = [(prose(1000 + k, 60) + (f" {bad[k % 3]} " if k % 3 == 0 else " ") + prose(3000 + k, 20), int(k % 3 == 0)) for k in range(240)]
+    model = toxicity.fit(docs, 0.3)
+    assert all(w.encode() not in model.plain + model.base for w in bad) and any(w.encode()[:5] in model.toxic for w in bad)
+
+    def size(own, window):
+        d = zstandard.ZstdCompressionDict(own + model.base, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, level=toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    for text in (docs[0][0], docs[1][0], "", prose(5, 33), "x " * 50):
+        ws = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+        own = [b" " + b" ".join(ws[i : i + toxicity.WINDOW]) + b" " for i in range(0, len(ws), toxicity.WINDOW)] or [b""]
+        gain = [size(model.plain, w) - size(model.toxic, w) for w in own]
+        x = [math.log1p(100 * sum(max(s * g - m, 0) for g in gain) / len(gain)) for s in (1, -1) for m in toxicity.MARGINS]
+        x += [math.log1p(max(0, *gain, 0)), sum(gain) / len(gain)]
+        z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x))
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_dictionaries_of_another_format_are_refused(monkeypatch):
+    import zstandard
+
+    class Odd:
+        def as_bytes(self):
+            return b"another format"
+
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda *a, **b: Odd())
+    with pytest.raises(ValueError):
+        toxicity._trained(100, [b"some sample"])
+
+
 # decontamination
 
 
