@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.functions.python_text import main_text, porter, rouge_l, semesters
+from textloom.functions.python_text import main_text, porter, rouge_l, rouge_n, semesters
 from textloom.operators import variants as V
 from textloom.queries.documents import SEMESTERS
 
@@ -72,7 +72,16 @@ def test_main_text():
 
 
 def test_stem_and_rouge():
-    assert [porter(w) for w in ("running", "caresses", "hoped", "payments")] == ["run", "caress", "hop", "pai"]
+    # the published example words of every step
+    told = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl
+        sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration
+        valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic
+        operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form
+        formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust
+        defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular
+        homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll hoped hope payments payment pays pai by by""".split()
+    assert [porter(w) for w in told[::2]] == told[1::2]
+    assert rouge_n("a b c".split(), "a b d b".split(), 1) == pytest.approx(4 / 7) and rouge_n("a b c".split(), "a b d".split(), 2) == 0.5 and rouge_n([], [], 2) == 0.0
     assert rouge_l("a b c d".split(), "a c d".split()) == pytest.approx(2 * 0.75 / 1.75)
     assert rouge_l([], ["a"]) == 0.0
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 
 @F.pandas_udf(StringType())
@@ -94,29 +95,69 @@ def semester_list(texts: pd.Series) -> pd.Series:
     return texts.map(semesters)
 
 
-_VOWELS = "aeiou"
+# The endings of Porter's published algorithm with what takes their place, by step
+_STEP_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+_STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+def _sounds(word: str) -> str:
+    """v for each vowel and c for each consonant; y is a vowel after a consonant."""
+    out = ""
+    for c in word:
+        out += "v" if c in "aeiou" or c == "y" and out.endswith("c") else "c"
+    return out
+
+
+def measure(stem: str) -> int:
+    """How often consonants follow vowels."""
+    return len(re.findall("v+c+", _sounds(stem)))
+
+
+def _short(stem: str) -> bool:
+    """Ends in consonant, vowel, consonant, the last none of w, x and y."""
+    return _sounds(stem).endswith("cvc") and stem[-1] not in "wxy"
+
+
+def _ending(word: str, ends) -> str | None:
+    """The longest of the endings that the word has: one rule of a step is tried."""
+    return max((e for e in ends if word.endswith(e)), key=len, default=None)
 
 
 def porter(word: str) -> str:
-    """A light Porter-style stem: plural, -ed/-ing, -ly and common noun endings, while a vowel is left before them."""
-    stem = word
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if stem.endswith(end):
-            stem = stem[: len(stem) - len(end)] + new
-            break
-    for end in ("ingly", "edly", "ing", "ed"):
-        if stem.endswith(end) and any(c in _VOWELS for c in stem[: -len(end)]):
-            stem = stem[: -len(end)]
-            if stem[-2:] in ("at", "bl", "iz"):
-                stem += "e"
-            elif len(stem) > 2 and stem[-1] == stem[-2] and stem[-1] not in "lsz":
-                stem = stem[:-1]
-            break
-    for end, new in (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ness", ""), ("ment", ""), ("ly", "")):
-        if stem.endswith(end) and len(stem) - len(end) > 2:
-            stem = stem[: len(stem) - len(end)] + new
-            break
-    return stem[:-1] + "i" if stem.endswith("y") and any(c in _VOWELS for c in stem[:-1]) else stem
+    """The stem of an English word in lower case by Porter's five steps; words of one or two letters stay."""
+    if len(word) < 3:
+        return word
+    # 1a: plurals
+    if end := _ending(word, ("sses", "ies", "ss", "s")):
+        word = word[: len(word) - len(end)] + {"sses": "ss", "ies": "i", "ss": "ss", "s": ""}[end]
+    # 1b: -eed, -ed, -ing
+    end = _ending(word, ("eed", "ed", "ing"))
+    stem = word[: -len(end)] if end else ""
+    if end == "eed":
+        word = stem + "ee" if measure(stem) else word
+    elif end and "v" in _sounds(stem):
+        if stem.endswith(("at", "bl", "iz")):
+            word = stem + "e"
+        elif len(stem) > 1 and stem[-1] == stem[-2] and _sounds(stem)[-1] == "c" and stem[-1] not in "lsz":
+            word = stem[:-1]
+        else:
+            word = stem + "e" if measure(stem) == 1 and _short(stem) else stem
+    # 1c: -y
+    if word.endswith("y") and "v" in _sounds(word[:-1]):
+        word = word[:-1] + "i"
+    for table in (_STEP_2, _STEP_3):
+        if (end := _ending(word, table)) and measure(word[: -len(end)]):
+            word = word[: -len(end)] + table[end]
+    if (end := _ending(word, _STEP_4)) and measure(stem := word[: -len(end)]) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
+        word = stem
+    # 5: a last e, a double l
+    if word.endswith("e") and (measure(word[:-1]) > 1 or measure(word[:-1]) == 1 and not _short(word[:-1])):
+        word = word[:-1]
+    return word[:-1] if word.endswith("ll") and measure(word) > 1 else word
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -154,6 +195,16 @@ def rouge_l(a: list[str], b: list[str]) -> float:
     return 2 * p * r / (p + r) if p + r else 0.0
 
 
-@F.pandas_udf(DoubleType())
-def rouge_l_f(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([rouge_l([porter(x) for x in (u if u is not None else [])], [porter(x) for x in (v if v is not None else [])]) for u, v in zip(a, b)])
+def rouge_n(a: list[str], b: list[str], n: int) -> float:
+    """F-measure of the runs of n tokens that both have, each as often as both have it."""
+    x, y = (Counter(zip(*[t[i:] for i in range(n)])) for t in (a, b))
+    shared, total = sum((x & y).values()), x.total() + y.total()
+    return 2 * shared / total if total else 0.0
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("rouge_1", "rouge_2", "rouge_l")]))
+def rouge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """ROUGE-1, 2 and L of lists of tokens; those of over three letters count by their stems."""
+    stemmed = lambda ts: [porter(t) if len(t) > 3 else t for t in (ts if ts is not None else [])]
+    rows = [(stemmed(x), stemmed(y)) for x, y in zip(a, b)]
+    return pd.DataFrame({"rouge_1": [rouge_n(x, y, 1) for x, y in rows], "rouge_2": [rouge_n(x, y, 2) for x, y in rows], "rouge_l": [rouge_l(x, y) for x, y in rows]}, dtype="float64")

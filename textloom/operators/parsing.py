@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small
+from .names import places
 from .sequences import forward_fill
 
 
@@ -32,15 +33,8 @@ def parse(docs: DataFrame, key: str, text: str, fields: dict[str, str], inferred
 
 
 def mentions(docs: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
-    """(key, name, start) of known names in texts, longest first, none inside another. Names meet texts by their first word."""
-    low = F.lower("name")
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    lexicon = small(names.select(low.alias("name"), F.regexp_extract(low, "[a-z0-9]+", 0).alias("w")).distinct())
-    hits = docs.select(key, F.lower(text).alias("_t"), F.explode(words(text)).alias("w")).join(lexicon, "w")
-    hits = hits.withColumn("start", F.expr("locate(name, _t) - 1")).where("start >= 0")
-    spans = hits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), F.col("start"), F.col("name")))).alias("s"))
-    kept = F.aggregate("s", F.array().cast("array<struct<n:int,start:int,name:string>>"), lambda acc, x: F.when(F.exists(acc, lambda k: (k["start"] < x["start"] - x["n"]) & (x["start"] < k["start"] - k["n"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return spans.select(key, F.explode(kept).alias("x")).select(key, "x.name", "x.start")
+    """(key, name, start) of all places of known names in texts, longest first, none inside another."""
+    return places(docs, key, text, names, overlaps=False)
 
 
 def sections(rows: DataFrame, by: list[str], order: list[str], head: str) -> DataFrame:

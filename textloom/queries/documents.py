@@ -23,17 +23,53 @@ def labelled_fields(spark, d):
 
 
 @query("nation_mentions", """
-with n as (select n_name, lower(n_name) as k from nation), t as (select s_suppkey, lower('ships to ' || n_name || ' and china') as t from supplier join nation on s_nationkey = n_nationkey)
-select s_suppkey, count(*) as mentions, string_agg(k, '|' order by k) as names from t join n on contains(t, k) where not exists (select 1 from n n2 where contains(t, n2.k) and contains(n2.k, n.k) and n2.k <> n.k) group by 1
+with t as (select s_suppkey, unnest(regexp_extract_all(lower('ships to ' || n_name || ', then NATION_1; not nation_1x, and ' || n_name || '.'), '[a-z0-9_]+')) as w from supplier join nation on s_nationkey = n_nationkey)
+select s_suppkey, count(*) as mentions, string_agg(w, '|' order by w) as names from t where w in (select lower(n_name) from nation) group by 1
 """)
 def nation_mentions(spark, d):
+    """All places of nations' names, not inside other words."""
     names = table(spark, d, "nation").select(F.col("n_name").alias("name"))
     t = table(spark, d, "supplier").join(small(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    t = t.select("s_suppkey", F.concat(F.lit("ships to "), "n_name", F.lit(" and china")).alias("text"))
+    t = t.select("s_suppkey", F.concat(F.lit("ships to "), "n_name", F.lit(", then NATION_1; not nation_1x, and "), "n_name", F.lit(".")).alias("text"))
     found = P.mentions(t, "s_suppkey", "text", names).groupBy("s_suppkey")
     return found.agg(F.count("*").alias("mentions"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))
 
 
+@query("name_places", """
+with names as (select distinct regexp_extract(lower(text), '[a-z0-9]+ [a-z0-9]+') as name from benchmark),
+pieces as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+')) as p, generate_subscripts(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+'), 1) as i from documents),
+placed as (select doc_id, i, p, sum(length(p)) over (partition by doc_id order by i) - length(p) as start from pieces),
+pairs as (select doc_id, start, p || lead(p, 1) over w || lead(p, 2) over w as name from placed window w as (partition by doc_id order by i))
+select doc_id, name, cast(start as int) as start from pairs join names using (name) where name <> ''
+""")
+def name_places(spark, d):
+    """Every place in documents of the first two words of each benchmark item."""
+    from ..operators.names import places
+
+    names = table(spark, d, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z0-9]+ [a-z0-9]+", 0).alias("name"))
+    return places(table(spark, d, "documents"), "doc_id", "text", names)
+
+
+SAID = ["n_name", "'number ' || n_nationkey || ' or so'", "'by way of ' || n_name || ' to ' || (n_nationkey % 7)", "'a nation'"]
+
+
+@query("name_match", f"""
+with said as (select s_suppkey, replace(lower(case s_suppkey % 4 {' '.join(f"when {i} then {x}" for i, x in enumerate(SAID))} end), '_', ' ') as t from supplier join nation on s_nationkey = n_nationkey),
+n as (select replace(lower(n_name), '_', ' ') as name from nation),
+met as (select s_suppkey, name, contains(' ' || t || ' ', ' ' || name || ' ') as exact, len(list_intersect(string_split(name, ' '), string_split(t, ' '))) as shared, contains(' ' || t || ' ', ' ' || string_split(name, ' ')[2] || ' ') as strong from said, n),
+ranked as (select *, row_number() over (partition by s_suppkey order by exact desc, case when exact then length(name) end desc, shared desc, length(name), name) as r from met where exact or strong and shared >= 1),
+lists as (select s_suppkey, list(name order by r) as x, bool_or(exact) as e from ranked where r <= 5 group by 1)
+select s_suppkey, x[1] as best, case when e then 'exact' when x is null then 'none' else 'partial' end as kind, coalesce(x[2:], []) as alternatives from said left join lists using (s_suppkey)
+""")
+def name_match(spark, d):
+    """The nation that a text means, exactly or in part, and what else it may mean."""
+    from ..operators.names import match
+
+    t = table(spark, d, "supplier").join(small(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    said = F.element_at(F.array(*map(F.expr, SAID)), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return match(t.select("s_suppkey", said.alias("text")), "s_suppkey", "text", table(spark, d, "nation"), "n_name", weak=("nation",))
+
+
 @query("carried_context", """
 with x as (select conv_id, turn, role, text, max(case when role = 'user' then turn end) over (partition by conv_id order by turn rows unbounded preceding) as asked from conversations)
 select conv_id, asked, count(*) as turns, cast(sum(length(text)) as bigint) as chars from x group by all
@@ -54,8 +90,8 @@ def year_notations(spark, d):
 
 #: Each form with the numbers that it names.
 SEMESTERS = {
-    "Semester III": [3], "sem 1-3": [1, 2, 3], "Semesters IV and VI": [4, 6], "5th semester": [5], "sem: 2": [2], "offered in Sem. VII or VIII": [7, 8],
-    "Year / Semester: II / IV": [4], "the second semester": [2], "3rd and 4th semester": [3, 4], "seminar room 4": [], "semesters 1, 3 & 5": [1, 3, 5], "no notion": [],
+    "taught in semester 2 of the plan": [2], "semesters 3 to 6, twice a week": [3, 4, 5, 6], "Sems. V & VII by turns": [5, 7], "the tenth semester alone": [10], "Sem - 8": [8],
+    "runs in semester ix or x": [9, 10], "Year / Sem: I / II": [2], "seminars on 4 days": [], "1st, 2nd and 3rd semesters": [1, 2, 3], "no term is named": [], "semesters 2–4 and 7": [2, 3, 4, 7],
 }
 _FORMS = ", ".join(f"'{x}'" for x in SEMESTERS)
 _NAMED = ", ".join(map(str, SEMESTERS.values()))

@@ -92,14 +92,14 @@ def lexicon_mode_by_dim(spark, d):
 
 
 @query("probability_blend", """
-with a as (select doc_id as row_id, unnest(['x', 'y']) as label, unnest([0.25, 0.75]) as p from documents where doc_id < 1000000),
+with a as (select doc_id as row_id, unnest(['x', 'y']) as label, unnest([0.25, 0.75]) as p from documents),
 b as (select doc_id as row_id, unnest(['y', 'z']) as label, unnest([0.5, 0.5]) as p from documents where lang = 'en')
 select row_id, label, round(sum(p) / 3.0, 6) as p from (select row_id, label, p * 1.0 as p from a union all select row_id, label, p * 2.0 from b) group by all
 """)
 def probability_blend(spark, d):
     docs = table(spark, d, "documents")
     long = lambda df, *kv: df.select(F.col("doc_id").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(v).alias("p")) for k, v in kv])).alias("x")).select("row_id", "x.*")
-    return J.blend([(long(docs.where("doc_id < 1000000"), ("x", 0.25), ("y", 0.75)), 1.0), (long(docs.where("lang = 'en'"), ("y", 0.5), ("z", 0.5)), 2.0)])
+    return J.blend([(long(docs, ("x", 0.25), ("y", 0.75)), 1.0), (long(docs.where("lang = 'en'"), ("y", 0.5), ("z", 0.5)), 2.0)])
 
 
 @query("label_roll_up", """

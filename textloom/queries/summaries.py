@@ -41,15 +41,12 @@ def mmr_summary(spark, d):
 
 @query("rouge_scores")
 def rouge_scores(spark, d):
-    """ROUGE-1 and ROUGE-L of lead against TextRank summaries: unigrams as expressions, subsequences in Arrow batches."""
-    from ..functions.python_text import rouge_l_f
+    """ROUGE-1, 2 and L of lead against TextRank summaries."""
+    from ..functions.python_text import rouge
 
     rows = sentences(spark, d).select("doc_id", S.lead(F.col("s")).alias("a"), S.textrank(F.col("s")).alias("b"))
-    rows = rows.select("doc_id", T.tokens(F.col("a")).alias("a"), T.tokens(F.col("b")).alias("b"))
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    shared = F.aggregate(F.array_intersect("a", "b"), F.lit(0), lambda s, x: s + F.least(count(F.col("a"), x), count(F.col("b"), x)))
-    total = F.size("a") + F.size("b")
-    return rows.select("doc_id", F.round(F.when(total > 0, 2 * shared / total).otherwise(0.0), 6).alias("rouge_1"), F.round(rouge_l_f("a", "b"), 6).alias("rouge_l"))
+    rows = rows.select("doc_id", rouge(T.tokens(F.col("a")), T.tokens(F.col("b"))).alias("x"))
+    return rows.select("doc_id", *[F.round(f"x.{c}", 6).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l")])
 
 
 @query("sentence_counts", """
