@@ -1,6 +1,7 @@
 """Extractive summaries: lead, TextRank and maximal marginal relevance, each within a word budget.
 
-A document's sentences are one group; a graph of a few hundred sentences is worked on as a matrix in one Arrow batch of documents.
+A document's sentences are one group. Ranks go through sentences' words, so no pair of sentences is ever formed: within one Arrow batch
+of documents, or over tables where a text is too long for a task.
 """
 
 from __future__ import annotations
@@ -31,16 +32,25 @@ def lead(sentences: Column, budget: int = BUDGET) -> Column:
     return F.array_join(F.aggregate(sentences, start, step)["out"], " ")
 
 
-def _bags(sentences: list[str]) -> np.ndarray:
-    """tf-idf rows of unit length."""
-    words = [s.lower().split() for s in sentences]
-    df = Counter(w for ws in words for w in set(ws))
+def _sparse(sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the tf-idf bags of sentences, of unit length; a column is a word."""
+    counts = [Counter(s.lower().split()) for s in sentences]
+    df = Counter(w for c in counts for w in c)
     index = {w: i for i, w in enumerate(sorted(df))}
-    out = np.zeros((len(words), len(index)))
-    for i, ws in enumerate(words):
-        for w, n in Counter(ws).items():
-            out[i, index[w]] = n * (math.log((1 + len(words)) / (1 + df[w])) + 1)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+    col = np.array([index[w] for c in counts for w in c], np.int64)
+    idf = np.array([math.log((1 + len(counts)) / (1 + df[w])) + 1 for w in sorted(df)])
+    value = np.array([n for c in counts for n in c.values()], np.float64) * idf[col]
+    norm = np.sqrt(np.bincount(row, value * value, len(counts)))
+    return row, col, value / norm[row]
+
+
+def _bags(sentences: list[str]) -> np.ndarray:
+    """The same as a matrix."""
+    row, col, value = _sparse(sentences)
+    out = np.zeros((len(sentences), int(col.max(initial=-1)) + 1))
+    out[row, col] = value
+    return out
 
 
 def _within(sentences: list[str], order: list[int], budget: int) -> list[str]:
@@ -56,15 +66,65 @@ def _within(sentences: list[str], order: list[int], budget: int) -> list[str]:
 
 
 def textrank_order(sentences: list[str]) -> list[int]:
-    x = _bags(sentences)
-    w = x @ x.T
-    np.fill_diagonal(w, 0)
-    total = w.sum(axis=1, keepdims=True)
-    step = np.divide(w, total, out=np.full_like(w, 1 / max(1, len(w))), where=total > 0)
-    rank = np.full(len(w), 1 / max(1, len(w)))
+    """Sentences by rank. The graph's weights are products of sentences' bags; a round goes from sentences to words and back, so that nothing
+    is kept but the bags: a text takes memory by its words, not by pairs of its sentences."""
+    if not sentences:
+        return []
+    row, col, w = _sparse(sentences)
+    n, words = len(sentences), int(col.max(initial=-1)) + 1
+    through = lambda r: np.bincount(row, w * np.bincount(col, w * r[row], words)[col], n)
+    self_weight = np.bincount(row, w * w, n)
+    total = through(np.ones(n)) - self_weight
+    linked = total > 1e-12
+    rank = np.full(n, 1 / n)
     for _ in range(ROUNDS):
-        rank = (1 - DAMPING) / len(w) + DAMPING * step.T @ rank
-    return sorted(range(len(w)), key=lambda i: (-round(rank[i], 9), i))
+        sent = np.divide(rank, total, out=np.zeros(n), where=linked)
+        rank = (1 - DAMPING) / n + DAMPING * (through(sent) - self_weight * sent + rank[~linked].sum() / n)
+    return sorted(range(n), key=lambda i: (-round(rank[i], 9), i))
+
+
+def ranks(bags: DataFrame, group: str, node: str, folder: str, rounds: int = ROUNDS, store: int = 5) -> DataFrame:
+    """(group, node, rank) of nodes that are linked by the product of their bags: ``bags`` has group, node, term, w, without a row twice.
+
+    The same rounds for texts that fit no task: sums by term, then by node, over tables below ``folder``, a folder that driver and
+    executors share. Ranks are written there every ``store`` rounds, which cuts lineage. No pair of nodes is formed: a round is two
+    joins of the bags, whose other sides have a row for each node or term.
+    """
+    spark = bags.sparkSession
+    bags.select(group, node, "term", "w").write.parquet(f"{folder}/bags")
+    bags = spark.read.parquet(f"{folder}/bags")
+
+    def through(values: DataFrame, name: str) -> DataFrame:
+        terms = bags.join(values, [group, node]).groupBy(group, "term").agg(F.sum(F.col("w") * F.col(name)).alias("_u"))
+        return bags.join(terms, [group, "term"]).groupBy(group, node).agg(F.sum(F.col("w") * F.col("_u")).alias("_through"))
+
+    own = bags.groupBy(group, node).agg(F.sum(F.col("w") * F.col("w")).alias("self"), F.lit(1.0).alias("one"))
+    n = own.groupBy(group).agg(F.count("*").alias("n"))
+    base = own.join(through(own, "one"), [group, node]).join(n, group).select(group, node, "n", "self", (F.col("_through") - F.col("self")).alias("total"))
+    base.write.parquet(f"{folder}/nodes")
+    base = spark.read.parquet(f"{folder}/nodes")
+    now = base.select(group, node, (1.0 / F.col("n")).alias("rank"))
+    linked = F.col("total") > 1e-12
+    for k in range(1, rounds + 1):
+        state = base.join(now, [group, node]).withColumn("sent", F.when(linked, F.col("rank") / F.col("total")).otherwise(0.0))
+        idle = state.groupBy(group).agg(F.sum(F.when(linked, 0.0).otherwise(F.col("rank"))).alias("idle"))
+        now = state.join(through(state, "sent"), [group, node]).join(idle, group)
+        got = F.col("_through") - F.col("self") * F.col("sent") + F.col("idle") / F.col("n")
+        now = now.select(group, node, ((1 - DAMPING) / F.col("n") + DAMPING * got).alias("rank"))
+        if k % store == 0 or k == rounds:
+            now.write.parquet(f"{folder}/ranks-{k}")
+            now = spark.read.parquet(f"{folder}/ranks-{k}")
+    return now
+
+
+def sentence_bags(docs: DataFrame, key: str, sentences: str) -> DataFrame:
+    """(key, pos, term, w): tf-idf of the words of each sentence, of unit length; a word's idf is that of its own text."""
+    words = docs.select(key, F.size(sentences).alias("n"), F.posexplode(sentences).alias("pos", "s")).select(key, "n", "pos", F.explode(F.filter(F.split(F.lower("s"), r"\s+"), lambda w: w != "")).alias("term"))
+    tf = words.groupBy(key, "n", "pos", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(key, "term").agg(F.count("*").alias("df"))
+    w = tf.join(df, [key, "term"]).select(key, "pos", "term", (F.col("tf") * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    norm = w.groupBy(key, "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norm, [key, "pos"]).select(key, "pos", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def mmr_order(sentences: list[str], query: str | None = None) -> list[int]:

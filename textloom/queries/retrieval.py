@@ -233,3 +233,37 @@ def chunk_to_document(spark, d):
     hits = cut.select("doc_id", "pos", F.explode(F.array_distinct("w")).alias("term")).join(small(asked), "term")
     hits = hits.groupBy("query_id", "doc_id", "pos").agg(F.count("*").alias("score")).withColumn("chunk", F.col("pos"))
     return R.ranked(R.best_part(hits), 3)
+
+
+TURN = "conv_id * 100000 + turn"
+
+
+def turn_pairs(least: float) -> str:
+    return f"""
+with t as (select {TURN} as id, list_sort({TOK.format("text")}) as toks from conversations),
+c as (select toks, min(id) as id, count(*) as members from t where len(toks) > 0 group by toks),
+tf as (select id, term, count(*) as tf from (select id, unnest(toks) as term from c) group by all),
+df as (select term, count(*) as df from tf group by term),
+w as (select id, term, tf * (ln((1.0 + (select count(*) from c)) / (1 + df)) + 1) as w from tf join df using (term)),
+u as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as w from w),
+p as (select a.id as a, b.id as b, round(sum(a.w * b.w), 6) as similarity from u a join u b on a.term = b.term and a.id < b.id group by all)
+select a, b, similarity, x.members as members_a, y.members as members_b from p join c x on x.id = a join c y on y.id = b where similarity >= {least}
+"""
+
+
+@query("similar_turns", turn_pairs(0.55))
+def similar_turns(spark, d):
+    """All pairs of turns whose tf-idf cosine is 0.55 or more, between classes of equal tokens."""
+    from ..operators.pairs import similar_pairs
+
+    rows = table(spark, d, "conversations").select(F.expr(TURN).alias("id"), "text")
+    return similar_pairs(rows, "id", "text", 0.55)
+
+
+@query("copied_turns", turn_pairs(0.8))
+def copied_turns(spark, d):
+    """The same at 0.8."""
+    from ..operators.pairs import similar_pairs
+
+    rows = table(spark, d, "conversations").select(F.expr(TURN).alias("id"), "text")
+    return similar_pairs(rows, "id", "text", 0.8)

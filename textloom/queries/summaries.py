@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import summarize as S
 from ..registry import query
-from ..session import table
+from ..session import shared_folder, table
 
 
 def sentences(spark, d):
@@ -34,6 +34,16 @@ def textrank_summary(spark, d):
     return sentences(spark, d).select("doc_id", S.textrank(F.col("s")).alias("summary"))
 
 
+@query("sentence_ranks")
+def sentence_ranks(spark, d):
+    """The best ranked sentence of every document, by ten rounds over the whole table: a text of any length is dealt over tasks."""
+    folder = shared_folder(spark, "ranks")
+    rows = sentences(spark, d).where(F.size("s") > 0)
+    done = S.ranks(S.sentence_bags(rows, "doc_id", "s"), "doc_id", "pos", folder, rounds=10, store=2)
+    best = done.groupBy("doc_id").agg(F.max_by(F.struct("pos", "rank"), F.struct(F.round("rank", 9), -F.col("pos"))).alias("b"), F.count("*").alias("sentences"))
+    return best.select("doc_id", "sentences", F.col("b.pos").alias("pos"), F.round("b.rank", 6).alias("rank"))
+
+
 @query("mmr_summary")
 def mmr_summary(spark, d):
     return sentences(spark, d).select("doc_id", S.mmr(F.col("s")).alias("summary"))
