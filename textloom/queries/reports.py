@@ -104,10 +104,16 @@ def failure_pools(spark, d):
     return c.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 6")
 
 
-@query("component_info", "select unnest(['article', 'german', 'spanish', 'french', 'out_of_scope']) as label, unnest([2, 3, 3, 3, 0]) as keywords, '1.0' as schema_version")
+@query("component_info", f"""
+with k as (select unnest(['article', 'german', 'spanish', 'french', 'out_of_scope']) as label, unnest([2, 3, 3, 3, 0]) as keywords), r as (select {labelled_sql("text")} as label, count(*) as n from documents group by 1)
+select label, keywords, coalesce(n, 0) as documents, '1.0' as schema_version from k left join r using (label)
+""")
 def component_info(spark, d):
-    rows = [(k, len(v)) for k, v in RULES.items()] + [(R.OUT, 0)]
-    return spark.createDataFrame(rows, "label string, keywords int").withColumn("schema_version", F.lit(analyze.SCHEMA_VERSION))
+    """What the router knows of each label, and how many documents it sends there."""
+    rows = spark.createDataFrame([(k, len(v)) for k, v in RULES.items()] + [(R.OUT, 0)], "label string, keywords int")
+    sent = table(spark, d, "documents").select(R.route(F.col("text"), RULES)["label"].alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    out = rows.join(sent, "label", "left").select("label", "keywords", F.coalesce("n", F.lit(0)).alias("documents"))
+    return out.withColumn("schema_version", F.lit(analyze.SCHEMA_VERSION))
 
 
 @query("response_rows")

@@ -10,10 +10,12 @@ from ..sources import readers as S
 from ..sources import writers as W
 
 
-@query("record_source", "select i as id, 'record ' || cast(i as varchar) as name, true as ok from (select unnest(range(0, 25)) as i)")
+@query("record_source", "select i as id, 'record ' || cast(i as varchar) as name, true as ok, p_name from (select p_partkey as i, p_name from part where p_partkey < (select count(*) from part))")
 def record_source(spark, d):
+    """A service with a record for each part, asked in ranges, beside the parts themselves."""
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), "p_name")
     spark.dataSource.register(S.RecordSource)
-    return spark.read.format("textloom_records").option("count", 25).option("parts", 4).load()
+    return spark.read.format("textloom_records").option("count", part.count()).option("parts", 4).load().join(part, "id")
 
 
 @query("page_kinds", "select case when regexp_matches(lower(substr(html, 1, 512)), '<html|<!doctype') then 'html' else 'text' end as kind, count(*) as pages from pages group by 1")
@@ -98,6 +100,27 @@ def decoded_documents(spark, d):
     return rows.select("conv_id", "turn", S.document_text(F.col("t"), F.col("e")).alias("text"))
 
 
+WORDS = "list_filter(regexp_split_to_array(html, '[ \\t\\r\\n]+'), lambda w: w <> '')"
+
+
+@query("office_round_trip", f"""
+with w as (select page_id, {WORDS} as w from pages where len({WORDS}) > 0)
+select page_id, 'docx' as kind, 1 as pages, sha256(array_to_string(w, ' ')) as sha256, null as created from w
+union all select page_id, 'pdf', cast(ceil(len(w) / 120) as int), sha256(array_to_string(w, ' ')), 'D:2024010' || (page_id % 9 + 1) from w
+""")
+def office_round_trip(spark, d):
+    """Pages as Word and as PDF files of 120 words a page, read back by their first bytes."""
+    from ..sources import office
+
+    words = F.filter(F.split("html", r"[ \t\r\n]+"), lambda w: w != "")
+    rows = table(spark, d, "pages").select("page_id", words.alias("w")).where("size(w) > 0")
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / 120).cast("int") - 1), lambda i: F.array_join(F.slice("w", i * 120 + 1, 120), " "))
+    made = F.concat(F.lit("D:2024010"), (F.col("page_id") % 9 + 1).cast("string"))
+    files = rows.select("page_id", office.docx_file(F.array_join("w", "\n")).alias("f")).unionByName(rows.select("page_id", office.pdf_file(cut, made).alias("f")))
+    got = files.select("page_id", office.pages("f").alias("x"))
+    return got.select("page_id", "x.kind", F.size("x.pages").alias("pages"), F.sha2(F.replace(F.array_join("x.pages", " "), F.lit("\n"), F.lit(" ")), 256).alias("sha256"), "x.created")
+
+
 @query("method_labels", """
 select case when page_id % 4 = 0 then 'html' when page_id % 5 = 0 then 'pdf_text' when page_id % 5 >= 3 then 'pdf_ocr' else 'pdf_text+ocr' end as method, count(*) as n from pages group by 1
 """)
