@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import digest_int
+from ..session import digest_int, shared_folder, small
 from .sequences import running
 
 
@@ -107,7 +109,44 @@ def confused_pairs(df: DataFrame, k: int, gold: str = "gold", pred: str = "pred"
     return df.where(F.col(gold) != F.col(pred)).groupBy(gold, pred).agg(F.count("*").alias("n")).orderBy(F.desc("n"), gold, pred).limit(k)
 
 
+def quantiles(df: DataFrame, value: str, by: tuple[str, ...] = (), ps: tuple[float, ...] = (0.5, 0.95), bins: int = 1024) -> DataFrame:
+    """(by, n, mean, q): exact interpolated quantiles in an array, by histograms that get finer each round.
+
+    A quantile lies between two ranks. Each round counts, for every rank that is looked for, the values of its interval in ``bins`` parts, with
+    the least and greatest of each; the part that holds the rank is the next interval, until it has one value. Tasks count before the
+    shuffle, so a group of any size is a row for each part and task. There are about as many rounds as digits to base ``bins`` in a
+    group's range over the distance of neighbours. Null values count in n alone; values are finite. Groups are
+    few or many: their intervals are broadcast while they are few.
+    """
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, "quantiles")
+    keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], *([] if by else [F.lit(0).alias("_k0")]), F.col(value).cast("double").alias("v"))
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.count("v").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    groups.write.parquet(f"{folder}/groups")
+    groups = spark.read.parquet(f"{folder}/groups")
+    at = [F.lit(p) * (F.col("m") - 1) for p in ps]
+    sought = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in at])))
+    state = groups.where("m > 0").select(*keys, "lo", "hi", F.lit(0).cast("long").alias("before"), F.explode(sought).alias("rank"))
+    state.write.parquet(f"{folder}/state-0")
+    k, same = 0, lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys])
+    while (state := spark.read.parquet(f"{folder}/state-{k}")).where("lo < hi").limit(1).count():
+        wide = small(state.where("lo < hi")).alias("s")
+        met = rows.alias("r").join(wide, same("r", "s") & F.col("r.v").between(F.col("s.lo"), F.col("s.hi")))
+        share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+        part = F.when(F.col("v") >= F.col("hi"), bins - 1).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)))
+        counts = met.select(*[f"s.{c}" for c in keys], "rank", "before", part.alias("part"), "v").groupBy(*keys, "rank", "before", "part").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("c").over(Window.partitionBy(*keys, "rank").orderBy("part"))
+        found = counts.withColumn("upto", F.col("before") + upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+        done = state.where("lo = hi").select(*keys, "lo", "hi", "before", "rank")
+        k += 1
+        done.unionByName(found.select(*keys, "lo", "hi", (F.col("upto") - F.col("c")).alias("before"), "rank")).write.parquet(f"{folder}/state-{k}")
+    lists = state.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"))
+    out = groups.alias("g").join(lists.alias("l"), same("g", "l"), "left")
+    between = lambda x: F.col("at")[F.floor(x)] + (x - F.floor(x)) * (F.col("at")[F.ceil(x)] - F.col("at")[F.floor(x)])
+    return out.select(*[F.col(f"g.{k}").alias(c) for c, k in zip(by, keys)], "n", "mean", F.when(F.col("m") > 0, F.array(*map(between, at))).alias("q"))
+
+
 def latency(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean, median and 95th percentile, interpolated."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), p.alias("_p")).select(*by, "n", "mean", F.round(F.col("_p")[0], 6).alias("p50"), F.round(F.col("_p")[1], 6).alias("p95"))
+    q = quantiles(df, value, by)
+    return q.select(*by, "n", F.round("mean", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"))

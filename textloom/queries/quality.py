@@ -125,8 +125,11 @@ def having_counts(spark, d):
 
 @query("length_statistics", "select lang, count(*) as n, round(avg(n_chars), 6) as mean, round(quantile_cont(n_chars, 0.5), 6) as median, min(n_chars) as least, max(n_chars) as most from documents group by 1")
 def length_statistics(spark, d):
-    by = table(spark, d, "documents").groupBy("lang")
-    return by.agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.percentile("n_chars", 0.5), 6).alias("median"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    from ..operators.metrics import quantiles
+
+    q = quantiles(table(spark, d, "documents"), "n_chars", ("lang",), (0.0, 0.5, 1.0))
+    ends = [F.col("q")[i].cast("long").alias(c) for i, c in ((0, "least"), (2, "most"))]
+    return q.select("lang", "n", F.round("mean", 6).alias("mean"), F.round(F.col("q")[1], 6).alias("median"), *ends)
 
 
 @query("imbalance_ratio", "with c as (select lang, count(*) as n from documents group by 1) select max(n) as most, min(n) as least, round(max(n) / min(n), 6) as ratio from c")
