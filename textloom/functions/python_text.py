@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections import Counter
 import unicodedata
@@ -165,23 +164,6 @@ def stems(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [porter(t) for t in ts])
 
 
-def closest(vocabulary: dict[str, int], ratio: float = 0.8, most: int = 3):
-    """A UDF that gives the most frequent of the closest known words; known and hopeless words stay. The vocabulary is bounded by the caller."""
-    words = list(vocabulary)
-
-    @F.pandas_udf(StringType())
-    def fix(tokens: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None or t in vocabulary:
-                return t
-            near = difflib.get_close_matches(t, words, n=most, cutoff=ratio)
-            return max(near, key=lambda w: (vocabulary[w], w)) if near else t
-
-        return tokens.map(one)
-
-    return fix
-
-
 def rouge_l(a: list[str], b: list[str]) -> float:
     """F-measure of the longest common subsequence."""
     if not a or not b:

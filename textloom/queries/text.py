@@ -131,11 +131,10 @@ def spell_correct(spark, d):
 
 @query("closest_spelling")
 def closest_spelling(spark, d):
-    """Words of the benchmark that the corpus lacks, by similarity ratio to its frequent words; each different word is compared once."""
-    from ..functions.python_text import closest
+    """Words of the benchmark that are rare in the corpus, by similarity ratio to all of its words that occur five times."""
+    from ..operators.spelling import closest, vocabulary
 
     words = table(spark, d, DOCS).where("lang = 'en'").select(F.explode(T.tokens(F.col("text"), "[a-z]+")).alias("w"))
-    # the vocabulary is the two thousand most frequent words: a stated bound, since every unknown word meets all of it
-    known = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(2000).collect()}
-    asked = table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"), "[a-z]+")).alias("w")).distinct()
-    return asked.select("w", closest(known)("w").alias("corrected"))
+    asked = table(spark, d, "benchmark").select(F.explode(T.tokens(F.col("text"), "[a-z]+")).alias("w"))
+    return closest(asked, vocabulary(words, 5))
+
