@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+from ..session import small
+
 RRF = 60
 
 
@@ -16,6 +19,13 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id"
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def overlap(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """Different tokens that a query and a passage share, 1 at least for what shares any: for passages that are made on the way and have no index."""
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    return own.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of unit vectors, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
