@@ -100,3 +100,26 @@ def test_variants_change_text(spark):
         assert got is None or got != text, name
     assert one(spark, V.typo, text) == one(spark, V.typo, text) != text
     assert one(spark, V.first_half, "a b c d e") == "a b c"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "tags"),
+    [
+        ("isé la", "yes_no", "short;no_punctuation;lowercase"),
+        ("éminé asap", "statement", "short;urgent;no_punctuation;lowercase;abbreviated"),
+        ("Maxé Oui.", "statement", "short;abbreviated"),
+        ("Oui non?\n", "statement", "short;no_punctuation"),
+        ("Non max_1?", "other_question", "short"),
+        (None, "statement", ""),
+    ],
+)
+def test_rules_match_sql(spark, text, kind, tags):
+    """Boundaries beside letters that are not ASCII, and line feeds at the end, as the SQL of these queries reads them."""
+    import duckdb
+
+    from textloom.catalog import ORACLE
+
+    assert one(spark, T.question_type, text) == kind
+    con = duckdb.connect()
+    con.execute("create table conversations as select 1 as conv_id, 0 as turn, ?::varchar as text", [text])
+    assert con.execute(ORACLE["rule_classify"]).fetchone()[2] == kind
