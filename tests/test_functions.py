@@ -119,7 +119,7 @@ def test_rules_match_sql(spark, text, kind, tags):
 
     from textloom.catalog import ORACLE
 
-    assert one(spark, T.question_type, text) == kind
+    assert (one(spark, T.question_type, text), one(spark, T.style_tags, text)) == (kind, tags)
     con = duckdb.connect()
     con.execute("create table conversations as select 1 as conv_id, 0 as turn, ?::varchar as text", [text])
-    assert con.execute(ORACLE["rule_classify"]).fetchone()[2] == kind
+    assert con.execute(ORACLE["rule_classify"]).fetchone()[2] == kind and con.execute(ORACLE["style_tags"]).fetchone()[0] == tags
