@@ -127,6 +127,21 @@ def test_similar_documents_match_brute_force(spark, at_once):
     assert got == Counter(zip((i for i, _ in rows), similar_roots(rows)))
 
 
+@pytest.mark.parametrize("per_block", [10, similar.PER_BLOCK])
+def test_links_beside_a_forest_that_fails(spark, per_block):
+    """Copies with edits around 0.8: nearest fingerprints are often not similar enough, while others of the group are."""
+    r = np.random.default_rng(4)
+    base, rows = [f"w{x}" for x in r.integers(0, 5000, 120)], []
+    for k in range(40):
+        w = list(base)
+        for at in r.choice(120, 2, replace=False):
+            w[at] = f"x{r.integers(0, 5000)}"
+        rows.append((k, " ".join(w)))
+    with Workspace(spark, "t") as ws:
+        got = {x["doc_id"]: x["component_id"] for x in similar.similar_documents(ws, frame(spark, rows), per_block=per_block).collect()}
+    assert got == dict(enumerate(similar_roots(rows)))
+
+
 def test_similar_recall():
     """Pairs with a similarity of 0.8 to 0.85 meet at an anchor in nearly all cases, and unrelated ones are never within the radius."""
     r, met, far = np.random.default_rng(8), 0, 0

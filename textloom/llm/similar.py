@@ -6,8 +6,9 @@ the nearest of 4096 anchors and is listed at those within radius plus one. A pai
 probability 0.27 from either side, in one of ten with over 0.98.
 
 At an anchor, the least distances up to ``RADIUS`` that hold its values together (a minimum spanning forest) become links, fewer
-than values. Any two values within a distance are connected by forest links that are no longer, so what is similar stays connected
-although few pairs are named. Each link is then verified by the exact similarity of the two shingle sets.
+than values. Any two values within a distance are connected by forest links that are no longer. Each link is then verified by the exact
+similarity of the two shingle sets. Where some fail, a group that the forest held together may fall apart although other pairs of it
+are similar: such a group's sets meet, in blocks of bounded size, and all pairs of what fell apart are compared there.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SIMILAR = 0.8
 BLOCKS, BITS, WORDS = 10, 23, 4
 #: Bits of 230 in which values may differ: a pair with similarity 0.8 differs in 35, give or take 5.4; unrelated ones in 115.
 RADIUS = 52
+#: Values, and bytes of shingle sets, that are compared in one task.
+PER_BLOCK, BLOCK_BYTES = 4096, 1 << 26
 
 
 def shingle_set(s: np.ndarray, text: str | None) -> np.ndarray:
@@ -184,8 +187,8 @@ def candidates(ws: Workspace, values: DataFrame, at_once: int = AT_ONCE) -> Data
     return ws.save(dealt.mapInArrow(tidy(task), "a long, b long").distinct(), "candidates")
 
 
-def verified(ws: Workspace, links: DataFrame, values: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links whose texts are similar by ``SIMILAR`` or more, by their whole shingle sets."""
+def verified(ws: Workspace, links: DataFrame, values: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links whose texts are similar by ``SIMILAR`` or more, by their whole shingle sets, and these sets (v, s)."""
     schema = pa.schema([("v", pa.int64()), ("s", pa.binary())])
     linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -207,10 +210,61 @@ def verified(ws: Workspace, links: DataFrame, values: DataFrame, docs: DataFrame
     texts = values.join(needed, "v").select("v", "th").join(docs.select("th", "text").dropDuplicates(["th"]), "th").select("v", "text")
     sets = ws.save(texts.mapInArrow(tidy(bring), "v long, s binary"), "sets")
     x, y = sets.select(F.col("v").alias("a"), F.col("s").alias("x")), sets.select(F.col("v").alias("b"), F.col("s").alias("y"))
-    return ws.save(links.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long"), "verified")
+    good = links.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long")
+    return ws.save(good, "verified"), sets
+
+
+def joins(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sets that are similar by ``SIMILAR`` or more and join different roots: with what is joined already they connect all that is similar."""
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    having = np.repeat(np.arange(len(sets)), size)[np.argsort(ids, kind="stable")]
+    often = np.bincount(ids)
+    first = np.cumsum(often) - often
+    names, label = np.unique(root, return_inverse=True)
+    out = []
+    # two sets of the largest root need no comparison
+    for i in np.flatnonzero(label != np.bincount(label).argmax()):
+        own = ids[ends[i] - size[i] : ends[i]]
+        n = often[own]
+        both = np.bincount(having[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        for j in np.flatnonzero(both >= SIMILAR * (size[i] + size - both) - 1e-9):
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((int(i), int(j)))
+    return out
+
+
+def completed(ws: Workspace, links: DataFrame, good: DataFrame, sets: DataFrame, per_block: int = PER_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``good`` and the links between different roots of it within a group of ``links``: of these groups all pairs are compared.
+
+    A group goes to a task as a whole up to ``per_block`` values and ``block_bytes``; of a larger one each two chunks meet.
+    """
+    named = lambda df, name, column: ws.save(components(ws, df), name).select(F.col("node").alias("v"), F.col("root").alias(column))
+    groups, roots = named(links, "groups", "g"), named(good, "roots", "r")
+    own = sets.select("v", F.length("s").alias("size")).join(groups, "v", "left").join(roots, "v", "left").select("v", "size", F.coalesce("g", "v").alias("g"), F.coalesce("r", "v").alias("r"))
+    own = ws.save(own, "grouped")
+    apart = own.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high")
+    half = lambda c, most: F.when(F.col(c) <= most, 1).otherwise(F.ceil(F.col(c) * 2 / most))
+    apart = apart.select("g", F.greatest(half("n", per_block), half("size", block_bytes)).cast("long").alias("chunks"))
+    dealt = own.join(apart, "g").withColumn("k", F.expr("pmod(v, chunks)")).withColumn("j", F.explode(F.expr("sequence(0L, chunks - 1)")))
+    # a chunk meets each other one, and itself where that is all there is
+    dealt = dealt.where("chunks = 1 or j <> k").select("g", "v", "r", F.least("j", "k").alias("low"), F.greatest("j", "k").alias("high"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def block(rows: pa.Table) -> pa.Table:
+        v = rows.column("v").to_numpy()
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("s").combine_chunks()]
+        pairs = np.array(joins(held, rows.column("r").to_numpy()), np.int64).reshape(-1, 2)
+        both = np.sort(v[pairs], axis=1)
+        return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
+
+    more = dealt.join(sets, "v").groupBy("g", "low", "high").applyInArrow(block, "a long, b long")
+    return ws.save(good.unionByName(more).distinct(), "completed")
 
 
-def similar_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_once: int = AT_ONCE) -> DataFrame:
+def similar_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_once: int = AT_ONCE, per_block: int = PER_BLOCK) -> DataFrame:
     """doc_id, component_id of every row: the smallest doc_id that links of similar texts reach.
 
     Texts with equal shingle sets are one value. Null and empty texts and those without words are one value; texts of fewer than five
@@ -220,8 +274,9 @@ def similar_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     own = ws.save(sketches(docs), "sketches")
     values = ws.save(own.groupBy("v").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("fp").alias("fp")), "values")
-    links = verified(ws, candidates(ws, values, at_once), values, docs)
-    roots = components(ws, links)
+    links = candidates(ws, values, at_once)
+    good, sets = verified(ws, links, values, docs)
+    roots = components(ws, completed(ws, links, good, sets, per_block))
     values = ws.save(values.join(roots, values["v"] == roots["node"], "left").select("v", "least", F.coalesce("root", "v").alias("root")), "rooted")
     least = values.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(values.join(least, "root").select("v", "component_id"), "v").select("doc_id", "component_id")
