@@ -474,3 +474,22 @@ def test_recall_against_brute_force(spark, crowd):
             assert not linked
     print({kind: (found[kind], all_[kind]) for kind in all_})
     assert all(all_[kind] >= 5 and found[kind] >= 0.9 * all_[kind] for kind in ("substitution", "insertion", "deletion"))
+
+
+def test_buckets_of_a_task_are_answered_one_at_a_time(spark):
+    """Four buckets in one task: each is sorted by itself and says its own sum, so a task holds one bucket's keys whatever it is dealt."""
+    asked = []
+    for bucket in range(4):
+        for name in (1, 2):
+            keys = np.array([name << 20, 5 << 20, 9 << 20], "<u8") << np.uint64(20)
+            asked.append((lm.TWO, bucket, name, 3, bytearray(lm._planes(np.sort(keys))[2:].tobytes() + lm._planes(np.array([2, 5, 1], "<u8")).tobytes())))
+    df = spark.createDataFrame(asked, lm._DDL)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = lm._answers(df, 1).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sums = {r["bucket"]: (r["n"], int.from_bytes(r["body"], "little")) for r in got if r["slice"] < 0}
+    assert sums == {b: (3, 6) for b in range(4)}
+    assert all(lm._numbers(r["body"], "<u8").tolist() == [2, 9, 1] for r in got if r["slice"] > 0)

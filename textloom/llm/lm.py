@@ -142,8 +142,25 @@ class Slice:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASK)] if rows else [pa.array([], f.type) for f in _ASK], schema=_ASK)
 
 
+def _totals(bodies: list[bytes], sizes: np.ndarray) -> tuple[list[bytes], int, int]:
+    """The answer to each ask of one bucket; the sum of all training counts, and how many keys have one."""
+    keys = np.concatenate([_numbers(x[: KEY_BYTES * n], KEY) for x, n in zip(bodies, sizes)])
+    counts = np.concatenate([_numbers(x[KEY_BYTES * n :], "<u8") for x, n in zip(bodies, sizes)]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    runs = np.diff(np.append(heads, len(keys)))
+    del keys
+    learnt = np.add.reduceat(counts >> 1, heads)
+    total = 2 * learnt + (np.add.reduceat(counts & 1, heads) > 0)
+    back = np.empty(len(counts), "<u8")
+    back[order] = np.repeat(total, runs)
+    ends = np.cumsum(sizes)
+    return [_planes(back[e - n : e]).tobytes() for e, n in zip(ends, sizes)], int(learnt.sum()), int((learnt > 0).sum())
+
+
 def _answers(asked: DataFrame, rows: int) -> DataFrame:
-    """Each ask's totals over all slices, in its own order. A row with slice -1 says how many keys of a bucket have a count, and their sum."""
+    """Each ask's totals over all slices, in its own order. Rows with slice -1 say how many keys of each bucket have a count, and their sum."""
 
     def task(batches):
         parts = [b for b in batches if len(b)]
@@ -152,22 +169,17 @@ def _answers(asked: DataFrame, rows: int) -> DataFrame:
         kinds, buckets, names, sizes = (np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(4))
         bodies = [x for b in parts for x in b.column("body").to_pylist()]
         del parts
-        for kind in np.unique(kinds):
-            own = np.flatnonzero(kinds == kind)
-            keys = np.concatenate([_numbers(bodies[i][: KEY_BYTES * sizes[i]], KEY) for i in own])
-            counts = np.concatenate([_numbers(bodies[i][KEY_BYTES * sizes[i] :], "<u8") for i in own]).astype(np.int64)
-            # a task has few buckets: their numbers take the place of the bits that they stand for
-            nth = np.unique(buckets[own], return_inverse=True)[1].astype(np.uint64)
-            keys = np.repeat(nth, sizes[own]) << np.uint64(8 * KEY_BYTES) | keys >> np.uint64(64 - 8 * KEY_BYTES)
-            order = np.argsort(keys, kind="stable")
-            heads = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-            learnt = np.add.reduceat(counts[order] >> 1, heads)
-            total = 2 * learnt + (np.add.reduceat(counts[order] & 1, heads) > 0)
-            back = np.empty(len(keys), "<u8")
-            back[order] = np.repeat(total, np.diff(np.append(heads, len(keys))))
-            ends = np.cumsum(sizes[own])
-            out = [(int(kind), int(buckets[i]), int(names[i]), int(sizes[i]), _planes(back[e - sizes[i] : e]).tobytes()) for i, e in zip(own, ends)]
-            out.append((int(kind), 0, -1, int((learnt > 0).sum()), np.array([learnt.sum()], "<i8").tobytes()))
+        # one bucket at a time: what is unpacked and sorted at once is a bucket's, however many a task has
+        order = np.lexsort((buckets, kinds))
+        cuts = np.flatnonzero((np.diff(kinds[order]) != 0) | (np.diff(buckets[order]) != 0)) + 1
+        for own in np.split(order, cuts):
+            told, learnt, some = _totals([bodies[i] for i in own], sizes[own])
+            for i in own:
+                bodies[i] = None
+            kind, bucket = int(kinds[own[0]]), int(buckets[own[0]])
+            out = [(kind, bucket, int(names[i]), int(sizes[i]), body) for i, body in zip(own, told)]
+            out.append((kind, bucket, -1, some, np.array([learnt], "<i8").tobytes()))
+            del told
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ASK)], schema=_ASK)
 
     n = partitions(asked.sparkSession, rows, 2 * BUCKET)
@@ -225,7 +237,7 @@ def score(ws: Workspace, docs: DataFrame, learns: Column, id_col: str = "doc_id"
     ws.settle()
     second = ws.save(_answers(_told(cut, first.where(F.col("kind") == TWO)).mapInArrow(tidy(long), _DDL), tokens), "answers-long")
     ws.settle()
-    known = first.where((F.col("slice") < 0) & (F.col("kind") == WORD)).select("n", "body").collect()  # a row for each task
+    known = first.where((F.col("slice") < 0) & (F.col("kind") == WORD)).select("n", "body").collect()  # a row for each bucket
     v, n = sum(r["n"] for r in known), sum(int.from_bytes(r["body"], "little") for r in known)
     total = n + ADD * (v + 1)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
