@@ -92,3 +92,25 @@ def test_an_index_follows_its_files(spark, tmp_path):
     assert [r["doc_id"] for r in first.search(asked, 3).collect()] == [1] and index.of(spark, at).root == first.root
     spark.createDataFrame([(5, "apple tree")], kind).write.mode("append").parquet(at)
     assert {r["doc_id"] for r in index.of(spark, at).search(asked, 3).collect()} == {1, 5}
+
+
+def test_a_full_shard_fits_a_task():
+    """Four tasks of an executor build full shards of documents with 230 different words within 2 GB of Python."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from textloom.operators import index as I
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n, per, r = I.SHARD, 230, np.random.default_rng(0)
+ends = pa.array(np.arange(n + 1, dtype=np.int32) * per)
+words = pa.array([f'w{i}' for i in range(40000)]).take(pa.array(r.integers(0, 40000, n * per)))
+group = pa.table([pa.array(np.arange(n)), pa.array(np.full(n, per)), pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(np.ones(n * per, np.int64)))], names=['doc_id', 'len', 'terms', 'tfs'])
+before = peak()
+assert len(I._sharded(230.0, I.BLOCK)((pa.scalar(0),), group)) == 40001
+print(peak() - before)
+"""
+    took = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert took < 500_000
