@@ -239,13 +239,13 @@ def joins(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
 def completed(ws: Workspace, links: DataFrame, good: DataFrame, sets: DataFrame, per_block: int = PER_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``good`` and the links between different roots of it within a group of ``links``: of these groups all pairs are compared.
 
-    A group goes to a task as a whole up to ``per_block`` values and ``block_bytes``; of a larger one each two chunks meet.
+    A group of two has no pair that was not compared. A group goes to a task as a whole up to ``per_block`` values and ``block_bytes``; of a larger one each two chunks meet.
     """
     named = lambda df, name, column: ws.save(components(ws, df), name).select(F.col("node").alias("v"), F.col("root").alias(column))
     groups, roots = named(links, "groups", "g"), named(good, "roots", "r")
     own = sets.select("v", F.length("s").alias("size")).join(groups, "v", "left").join(roots, "v", "left").select("v", "size", F.coalesce("g", "v").alias("g"), F.coalesce("r", "v").alias("r"))
     own = ws.save(own, "grouped")
-    apart = own.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high")
+    apart = own.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high and n > 2")
     half = lambda c, most: F.when(F.col(c) <= most, 1).otherwise(F.ceil(F.col(c) * 2 / most))
     apart = apart.select("g", F.greatest(half("n", per_block), half("size", block_bytes)).cast("long").alias("chunks"))
     dealt = own.join(apart, "g").withColumn("k", F.expr("pmod(v, chunks)")).withColumn("j", F.explode(F.expr("sequence(0L, chunks - 1)")))
