@@ -149,3 +149,13 @@ def test_models_save_and_load(spark, tmp_path):
     assert folds.count() == 40 and folds.where("label = prediction").count() == 40
     weights = {r["label"]: r["weight"] for r in L.balanced(df.where("id < 30")).select("label", "weight").distinct().collect()}
     assert weights == {0.0: 1.0, 1.0: 1.0}
+
+
+def test_compared_models_share_their_features(spark, monkeypatch):
+    from textloom.catalog import QUERIES
+    from textloom.queries import learning
+
+    calls, real = [], learning.L.features
+    monkeypatch.setattr(learning.L, "features", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert QUERIES["model_comparison"](spark, "/root/testdata/sf0.001").count() == 2
+    assert len(calls) == 1
