@@ -17,6 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import small
 from .common import Workspace, table
 from .native import with_grams, words
 
@@ -25,8 +26,6 @@ SIMILAR = 0.8
 #: Two shingle multisets that are similar by 0.8 differ in 10 of 64 bits on the average; in over 19 about once in two thousand times.
 RADIUS = 19
 BLOCKS = (13, 13, 13, 13, 12)
-#: Hashes of benchmark shingles in one membership test; more make further tests.
-TEST = 20_000
 
 
 def with_shingles(df: DataFrame, text: Column) -> DataFrame:
@@ -34,25 +33,24 @@ def with_shingles(df: DataFrame, text: Column) -> DataFrame:
     return with_grams(df, words(F.lower(text)), SHINGLE, "sh")
 
 
-def _lanes(hashes: Column, n: Column, width: int) -> Column:
-    """Counters of ``width`` bits side by side in longs; one pass over the hashes for each of ``width`` bits."""
-    one = sum(1 << k for k in range(0, 64, width))
+def _bits(hashes: Column, n: Column, width: int) -> Column:
+    """Bits that over half of the hashes set. Counters of ``width`` bits lie side by side in longs, so a pass over the hashes counts several bits."""
+    one, mask = sum(1 << k for k in range(0, 64, width)), (1 << width) - 1
+    lane = lambda j: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(one)))
+    lanes = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lane)
 
-    def lane(j: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(one)))
+    def bits(at: Column) -> Column:
+        count = lambda j: F.call_function("shiftrightunsigned", F.get(at, j % width), j - j % width).bitwiseAND(F.lit(mask))
+        bit = lambda j: F.when(2 * count(j) > n, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, j: a.bitwiseOR(bit(j)))
 
-    at = F.array(*map(lane, range(width)))
-    out = None
-    for j in range(width):
-        for k in range(0, 64, width):
-            bit = F.when(2 * F.shiftrightunsigned(at[j], k).bitwiseAND(F.lit((1 << width) - 1)) > n, F.shiftleft(F.lit(1).cast("long"), j + k)).otherwise(F.lit(0).cast("long"))
-            out = bit if out is None else out.bitwiseOR(bit)
-    return out
+    # the list of lanes is bound by a lambda: named at each bit, it would be 64 copies of its expression in the plan
+    return F.get(F.transform(F.array(lanes), bits), F.lit(0))
 
 
 def fingerprint(hashes: Column, n: Column) -> Column:
     """SimHash of ``n`` hashes: a bit is set where over half of them set it. Over 65535 hashes take wider counters."""
-    return F.when(n < 1 << 16, _lanes(hashes, n, 16)).otherwise(_lanes(hashes, n, 32))
+    return F.when(n < 1 << 16, _bits(hashes, n, 16)).otherwise(_bits(hashes, n, 32))
 
 
 def block_keys(fp: Column) -> list[Column]:
@@ -91,18 +89,12 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
 def _found(ws: Workspace, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``contaminated``, and th, the hash of the text that the row stands for."""
     known = ws.save(items(benchmark, item_col), "items")
-    listed = known.select("item", "m", F.explode("sh").alias("h")).distinct()
-    # the benchmark is the stated query set; its shingles are tested for in blocks
-    hashes = [r["h"] for r in listed.select("h").distinct().toLocalIterator()]
-    tests = [f"exists(sh, x -> x in ({','.join(map(str, hashes[i : i + TEST]))}))" for i in range(0, len(hashes), TEST)] or ["false"]
+    listed = ws.save(known.select("item", "m", F.explode("sh").alias("h")).distinct(), "listed")
     # rows meet by a key that is never null, as identifiers may be
     own = docs.select(F.xxhash64(id_col, text_col).alias("d"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    own = with_shingles(own, F.col("text")).drop("text")
-    # a filter would be pushed below the steps that make the shingles and repeat them all; a generator is not
-    own = own.select("d", "doc", "th", F.explode(F.when(F.expr(" or ".join(tests)), F.array("sh"))).alias("sh"))
-    own = ws.save(own.withColumn("n", F.size("sh")), "touched").distinct()
-
-    hit = own.select("d", "n", F.posexplode("sh").alias("pos", "h")).join(listed, "h").select("d", "n", "item", "m", "pos").distinct()
+    # shingles leave the scan one by one; an outer generator infers no filter, which would be pushed below the steps that make them and repeat them all
+    places = with_shingles(own.select("d", "text"), F.col("text")).select("d", F.size("sh").alias("n"), F.posexplode_outer("sh").alias("pos", "h"))
+    hit = places.join(small(listed), "h").select("d", "n", "item", "m", "pos").distinct()
     size = F.least("m", "n")
     hit = hit.withColumn("size", size).withColumn("need", need(F.col("m"), F.col("size"))).where("n >= need")
     row = Window.partitionBy("d", "item").orderBy("pos")
@@ -110,8 +102,11 @@ def _found(ws: Workspace, docs: DataFrame, benchmark: DataFrame, id_col: str = "
     # the place with which a window that begins here has enough of them
     last = hit.select("d", "item", (F.col("nth") - F.col("need") + 1).alias("nth"), F.col("pos").alias("reach"))
     begin = hit.join(last, ["d", "item", "nth"]).where("reach - pos < size")
-    begin = begin.select("d", "m", "size", F.least("pos", F.col("n") - F.col("size")).alias("start")).distinct()
+    begin = ws.save(begin.select("d", "m", "size", F.least("pos", F.col("n") - F.col("size")).alias("start")).distinct(), "begin")
 
+    # texts with a window to look at are few, and are read again
+    own = with_shingles(own.join(small(begin.select("d").distinct()), "d", "left_semi"), F.col("text")).drop("text")
+    own = ws.save(own, "touched").distinct()
     shown = own.join(begin, "d").select("d", "doc", "th", "m", "start", F.slice("sh", F.col("start") + 1, F.col("size")).alias("win"))
     shown = ws.save(shown.withColumn("fp", fingerprint(F.col("win"), F.size("win"))), "windows")
     asked = shown.select("m", "fp", F.posexplode(F.array(*block_keys(F.col("fp")))).alias("block", "value")).distinct()
@@ -121,7 +116,8 @@ def _found(ws: Workspace, docs: DataFrame, benchmark: DataFrame, id_col: str = "
         part = known.select("item", "m", "item_fp", F.lit(k).alias("block"), key.alias("key"), F.explode(masks).alias("mask"))
         part = part.select("item", "m", "item_fp", "block", F.col("key").bitwiseXOR(F.col("mask")).alias("value"))
         index = part if index is None else index.unionByName(part)
-    near = asked.join(index, ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    # by a shuffle: a broadcast of the index would be some 1800 rows for each item in the driver
+    near = asked.join(index.hint("merge"), ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     near = near.select("m", "fp", "item").distinct()
     sure = shown.join(near, ["m", "fp"]).join(known.select("item", "m", "sh"), ["item", "m"])
     sure = sure.withColumn("similarity", similarity(F.col("win"), F.col("sh"))).where(F.col("similarity") >= SIMILAR - 1e-12)
