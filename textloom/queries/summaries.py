@@ -34,14 +34,21 @@ def textrank_summary(spark, d):
     return sentences(spark, d).select("doc_id", S.textrank(F.col("s")).alias("summary"))
 
 
+#: Characters of a text whose ranks are made in one task; longer ones are dealt over tasks.
+LONG = 4_000_000
+
+
 @query("sentence_ranks")
 def sentence_ranks(spark, d):
-    """The best ranked sentence of every document, by ten rounds over the whole table: a text of any length is dealt over tasks."""
-    folder = shared_folder(spark, "ranks")
-    rows = sentences(spark, d).where(F.size("s") > 0)
-    done = S.ranks(S.sentence_bags(rows, "doc_id", "s"), "doc_id", "pos", folder, rounds=10, store=2)
-    best = done.groupBy("doc_id").agg(F.max_by(F.struct("pos", "rank"), F.struct(F.round("rank", 9), -F.col("pos"))).alias("b"), F.count("*").alias("sentences"))
-    return best.select("doc_id", "sentences", F.col("b.pos").alias("pos"), F.round("b.rank", 6).alias("rank"))
+    """The best ranked sentence of every document, by ten rounds: within a task, or over tables for a text too long for one."""
+    docs, long = table(spark, d, "documents").select("doc_id", "text"), F.length("text") > LONG
+    cut = lambda df: df.select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    best = S.best_sentences(cut(docs.where(F.coalesce(~long, F.lit(True)))), "doc_id", "s", rounds=10)
+    if not docs.where(long).isEmpty():
+        done = S.ranks(S.sentence_bags(cut(docs.where(long)), "doc_id", "s"), "doc_id", "pos", shared_folder(spark, "ranks"), rounds=10, store=2)
+        done = done.groupBy("doc_id").agg(F.max_by(F.struct("pos", "rank"), F.struct(F.round("rank", 9), -F.col("pos"))).alias("b"), F.count("*").alias("sentences"))
+        best = best.unionByName(done.select("doc_id", "sentences", F.col("b.pos").alias("pos"), F.col("b.rank").alias("rank")))
+    return best.withColumn("rank", F.round("rank", 6))
 
 
 @query("mmr_summary")
