@@ -126,8 +126,10 @@ union all select page_id, 'pdf', cast(ceil(len(w) / 120) as int), sha256(array_t
 """)
 def office_round_trip(spark, d):
     """Pages as Word and as PDF files of 120 words a page, read back by their first bytes."""
+    from ..session import small_batches
     from ..sources import office
 
+    small_batches(spark)
     words = F.filter(F.split("html", r"[ \t\r\n]+"), lambda w: w != "")
     rows = table(spark, d, "pages").select("page_id", words.alias("w")).where("size(w) > 0")
     cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / 120).cast("int") - 1), lambda i: F.array_join(F.slice("w", i * 120 + 1, 120), " "))
