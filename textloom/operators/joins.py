@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +88,61 @@ def roll_up(probs: DataFrame, parents: DataFrame, fallback: str = "out_of_scope"
 def first_slot(slots: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return slots.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+#: Terms of a set of queries that goes to every task; a larger one is joined.
+MOST = 200_000
+#: Pairs of a query's term and a row that a task looks at together.
+TOGETHER = 1 << 20
+
+
+def best_containment(asked: DataFrame, rows: DataFrame, query: str, terms: str, row: str, words: str, most: int | None = None) -> DataFrame:
+    """(query, row, score): the row with the greatest share of each query's terms, in six digits; of equal ones the least. Both lists have no term twice.
+
+    A stated set of queries goes to every task, which keeps its best row of each: pairs of queries and rows are never grouped.
+    """
+    listed = asked.select(query, F.size(terms).alias("size"), F.explode(terms).alias("term"))
+    known = listed.limit((MOST if most is None else most) + 1).collect()
+    first = lambda score: F.max(F.struct(score, -F.col(row))).alias("b")
+    if len(known) > (MOST if most is None else most):
+        share = rows.select(row, F.explode(words).alias("term")).join(listed, "term").groupBy(query, row, "size").agg(F.count("*").alias("n"))
+        best = share.groupBy(query).agg(first(F.round(F.col("n") / F.col("size"), 6).alias("score")))
+        return best.select(query, (-F.col("b.col2")).alias(row), F.col("b.score").alias("score"))
+    ids = sorted({(r[query], r["size"]) for r in known}, key=lambda x: (x[0] is not None, x))
+    place = {x: k for k, x in enumerate(ids)}
+    listed = sorted((r["term"], place[r[query], r["size"]]) for r in known)
+    vocabulary = sorted({t for t, _ in listed})
+    number = {t: k for k, t in enumerate(vocabulary)}
+    owner = np.array([q for _, q in listed], np.int64)
+    at = np.searchsorted(np.array([number[t] for t, _ in listed], np.int64), np.arange(len(vocabulary) + 1))
+    sent = rows.sparkSession.sparkContext.broadcast((vocabulary, owner, at, np.array([n for _, n in ids], np.int64)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, owner, at, size = sent.value
+        values = pa.array(vocabulary, pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            per = lists.value_lengths().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(batch)), np.nan_to_num(per).astype(np.int64))
+            code = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False)
+            doc, code = doc[code >= 0], code[code >= 0]
+            count = at[code + 1] - at[code]
+            upto, a, own = np.concatenate([[0], np.cumsum(count)]), 0, batch.column(0)
+            ends = np.flatnonzero(np.diff(doc, append=-1)) + 1  # a row's terms stay together
+            while a < len(doc):
+                b = int(ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(upto[ends], upto[a] + TOGETHER, "right") - 1)])
+                c = count[a:b]
+                places = np.arange(upto[b] - upto[a]) + np.repeat(at[code[a:b]] - (upto[a:b] - upto[a]), c)
+                key, n = np.unique(owner[places] * len(batch) + np.repeat(doc[a:b], c), return_counts=True)
+                q, r = key // len(batch), key % len(batch)
+                digits = (2_000_000 * n + size[q]) // (2 * size[q])  # the score as Spark rounds it, in millionths
+                value = np.array(pc.fill_null(own, np.iinfo(np.int64).max).to_numpy(zero_copy_only=False))[r]
+                order = np.lexsort((value, -digits, q))
+                order = order[np.flatnonzero(np.diff(q[order], prepend=-1))]
+                yield pa.RecordBatch.from_arrays([pa.array(q[order]), own.take(pa.array(r[order])), pa.array(n[order].astype(np.int64)), pa.array(size[q[order]])], ["_q", row, "n", "size"])
+                a = b
+
+    found = rows.select(F.col(row).cast("long"), words).mapInArrow(task, f"_q long, {row} long, n long, size long")
+    best = found.groupBy("_q").agg(first(F.round(F.col("n") / F.col("size"), 6).alias("score")))
+    names = rows.sparkSession.createDataFrame([(k, x) for k, (x, _) in enumerate(ids)], f"_q long, {query} {dict(asked.dtypes)[query]}")
+    return best.join(F.broadcast(names), "_q").select(query, (-F.col("b.col2")).alias(row), F.col("b.score").alias("score"))

@@ -165,8 +165,5 @@ def best_containment_match(spark, d):
     from ..functions.text import tokens
 
     asked = table(spark, d, "benchmark").select("item_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
-    terms = small(asked.select("item_id", F.size("q").alias("size"), F.explode("q").alias("t")))
-    own = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"))
-    s = own.join(terms, "t").groupBy("item_id", "doc_id", "size").agg(F.count("*").alias("n")).withColumn("score", F.round(F.col("n") / F.col("size"), 6))
-    best = s.groupBy("item_id").agg(F.max(F.struct("score", -F.col("doc_id"))).alias("b")).select("item_id", (-F.col("b.col2")).alias("doc_id"), F.col("b.score").alias("score"))
+    best = J.best_containment(asked, table(spark, d, "documents").select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("t")), "item_id", "q", "doc_id", "t")
     return best.withColumn("status", F.when(F.col("score") >= 0.75, "met").when(F.col("score") >= 0.6, "partly").otherwise("not met"))
