@@ -11,7 +11,7 @@ from .helpers import frame, prose
 
 
 def test_plans_stay_small(spark):
-    """What the driver holds of a fingerprint: lists of counters were named at each of 64 bits, some 30,000 nodes."""
+    """What the driver holds of a fingerprint: the list of counters was named at each of 64 bits."""
     assert len(str(decontaminate.fingerprint(F.col("h"), F.size("h")))) < 5000
 
 
