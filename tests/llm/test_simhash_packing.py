@@ -142,6 +142,21 @@ def test_links_beside_a_forest_that_fails(spark, per_block):
     assert got == dict(enumerate(similar_roots(rows)))
 
 
+def test_links_inside_a_group_are_followed_once(spark, monkeypatch):
+    """A large group of near copies has many links; after the first components only links between different roots are left."""
+    seen, components = [], similar.components
+    monkeypatch.setattr(similar, "components", lambda ws, links: (seen.append(links.count()), components(ws, links))[1])
+    base, rows = prose(900, 200).split(), []
+    for k in range(60):
+        w = list(base)
+        w[3 * k] = "other"
+        rows.append((k, " ".join(w)))
+    with Workspace(spark, "t") as ws:
+        got = {x["component_id"] for x in similar.similar_documents(ws, frame(spark, rows)).collect()}
+    assert got == {0}
+    assert seen[0] >= 59 and sum(seen[1:]) == 0
+
+
 def test_similar_recall():
     """Pairs with a similarity of 0.8 to 0.85 meet at an anchor in nearly all cases, and unrelated ones are never within the radius."""
     r, met, far = np.random.default_rng(8), 0, 0

@@ -237,14 +237,20 @@ def joins(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
 
 
 def completed(ws: Workspace, links: DataFrame, good: DataFrame, sets: DataFrame, per_block: int = PER_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``good`` and the links between different roots of it within a group of ``links``: of these groups all pairs are compared.
+    """(v, root) of all values of ``links``, by ``good`` and the links between different roots of it within a group of ``links``: of these groups all pairs are compared.
 
+    Components are found once over ``good``; after that only its roots are linked, so links inside what is joined already are not followed again.
     A group of two has no pair that was not compared. A group goes to a task as a whole up to ``per_block`` values and ``block_bytes``; of a larger one each two chunks meet.
     """
-    named = lambda df, name, column: ws.save(components(ws, df), name).select(F.col("node").alias("v"), F.col("root").alias(column))
-    groups, roots = named(links, "groups", "g"), named(good, "roots", "r")
-    own = sets.select("v", F.length("s").alias("size")).join(groups, "v", "left").join(roots, "v", "left").select("v", "size", F.coalesce("g", "v").alias("g"), F.coalesce("r", "v").alias("r"))
-    own = ws.save(own, "grouped")
+    named = lambda df, name, node, root: ws.save(components(ws, df), name).select(F.col("node").alias(node), F.col("root").alias(root))
+    roots = named(good, "roots", "v", "r")
+    between = links
+    for end in ("a", "b"):
+        between = between.join(roots.select(F.col("v").alias(end), F.col("r").alias(f"r_{end}")), end, "left")
+    between = between.select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b")).where("a <> b").distinct()
+    groups = named(ws.save(between, "between"), "groups", "r", "g")
+    own = sets.select("v", F.length("s").alias("size")).join(roots, "v", "left").select("v", "size", F.coalesce("r", "v").alias("r"))
+    own = ws.save(own.join(groups, "r", "left").select("v", "size", F.coalesce("g", "r").alias("g"), "r"), "grouped")
     apart = own.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high and n > 2")
     half = lambda c, most: F.when(F.col(c) <= most, 1).otherwise(F.ceil(F.col(c) * 2 / most))
     apart = apart.select("g", F.greatest(half("n", per_block), half("size", block_bytes)).cast("long").alias("chunks"))
@@ -254,14 +260,14 @@ def completed(ws: Workspace, links: DataFrame, good: DataFrame, sets: DataFrame,
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def block(rows: pa.Table) -> pa.Table:
-        v = rows.column("v").to_numpy()
+        r = rows.column("r").to_numpy()
         held = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("s").combine_chunks()]
-        pairs = np.array(joins(held, rows.column("r").to_numpy()), np.int64).reshape(-1, 2)
-        both = np.sort(v[pairs], axis=1)
+        both = r[np.array(joins(held, r), np.int64).reshape(-1, 2)]
         return pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
 
     more = dealt.join(sets, "v").groupBy("g", "low", "high").applyInArrow(block, "a long, b long")
-    return ws.save(good.unionByName(more).distinct(), "completed")
+    last = named(ws.save(more.distinct(), "more"), "last", "r", "root")
+    return ws.save(own.join(last, "r", "left").select("v", F.coalesce("root", "r").alias("root")), "completed")
 
 
 def similar_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_once: int = AT_ONCE, per_block: int = PER_BLOCK) -> DataFrame:
@@ -276,8 +282,8 @@ def similar_documents(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", te
     values = ws.save(own.groupBy("v").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("fp").alias("fp")), "values")
     links = candidates(ws, values, at_once)
     good, sets = verified(ws, links, values, docs)
-    roots = components(ws, completed(ws, links, good, sets, per_block))
-    values = ws.save(values.join(roots, values["v"] == roots["node"], "left").select("v", "least", F.coalesce("root", "v").alias("root")), "rooted")
+    roots = completed(ws, links, good, sets, per_block)
+    values = ws.save(values.join(roots, "v", "left").select("v", "least", F.coalesce("root", "v").alias("root")), "rooted")
     least = values.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(values.join(least, "root").select("v", "component_id"), "v").select("doc_id", "component_id")
 
