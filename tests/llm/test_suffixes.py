@@ -98,3 +98,23 @@ def test_stage_rewrites_texts(spark):
     assert out[7]["text"] is None and out[10]["text"] == "one two"
     assert out[5]["text"].startswith(prose(4, 60)) and len(out[5]["text"]) < len(texts()[4][1])
     assert suffix_dedup.stage(spark, frame(spark, []), "").count() == 0
+
+
+def test_windows_without_a_partner_are_not_sorted():
+    """Runs of one anchor that differ beside it: what is left has all windows that two runs share, and few others."""
+    r, length = np.random.default_rng(5), 60
+    rows = []
+    for k in range(40):
+        base = r.integers(97, 123, 160, dtype=np.uint8)
+        for _ in range(3):
+            text = base.copy()
+            text[r.integers(0, 160, 2)] = 33 + r.integers(0, 9, 2)
+            first, n, key, _, _ = suffix_dedup.runs(text, length)
+            rows += [(int(h), text[f : f + m - 1 + length].tobytes(), int(m)) for f, m, h in zip(first, n, key)]
+    rows.sort()
+    keys, texts, n = (list(x) for x in zip(*rows))
+    low, high = suffix_dedup.narrowed(texts, np.array(n), np.array(keys, np.uint64), np.ones(len(n), bool), length)
+    seen = Counter(w for t, m in zip(texts, n) for w in {t[i : i + length] for i in range(m)})
+    shared = [[i for i in range(m) if seen[t[i : i + length]] > 1] for t, m in zip(texts, n)]
+    assert any(shared) and all(a <= i < z for own, a, z in zip(shared, low, high) for i in own)
+    assert sum(high - low) < 1.3 * sum(map(len, shared)) < 0.7 * sum(n)
