@@ -38,6 +38,19 @@ def test_bio_round_trip(spark):
     assert sorted((r["label"], r["first"], r["last"]) for r in back.collect()) == [("A", 0, 1), ("A", 2, 2), ("B", 4, 5)]
 
 
+def test_sequences_are_dealt_over_tasks_by_their_rows(spark):
+    tags = spark.range(100).selectExpr("id as doc_id", "explode(array('B-A', 'I-A', 'O', 'I-B')) as gold").withColumn("pos", F.monotonically_increasing_id())
+    assert S.bio_decode(tags, ["doc_id"], "pos", "gold", per_task=40).rdd.getNumPartitions() == 10
+
+
+def test_sequence_scores_need_no_join(spark):
+    tags = spark.createDataFrame([(1, 0, "B-A", "B-A"), (1, 1, "I-A", "O"), (1, 2, "B-B", "B-B"), (2, 0, "I-B", "B-B"), (2, 1, None, "I-B"), (None, 0, "B-A", "B-A")], "id long, pos int, gold string, pred string")
+    out = E.sequence_scores(tags, ["id"])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    # a sequence without an identifier meets none, as in a join
+    assert {r["label"]: (r["predicted"], r["gold"], r["correct"]) for r in out.collect()} == {"A": (2, 2, 0), "B": (2, 2, 1), "ALL": (4, 4, 1)}
+
+
 def test_merge_keeps_rules_first(spark):
     kind = "a array<struct<start:int,end:int,label:string,text:string>>, b array<struct<start:int,end:int,label:string,text:string>>"
     df = spark.createDataFrame([([(0, 4, "R", "x")], [(2, 6, "M", "y"), (8, 9, "M", "z")])], kind)
