@@ -172,3 +172,20 @@ def test_compared_models_share_their_features(spark, monkeypatch):
     monkeypatch.setattr(learning.L, "features", lambda *a, **k: calls.append(1) or real(*a, **k))
     assert QUERIES["model_comparison"](spark, "/root/testdata/sf0.001").count() == 2
     assert len(calls) == 1
+
+
+def test_texts_are_cut_once_for_all_folds(spark):
+    """What is fitted reads stored counts: a text that is cut tells so, and is cut once."""
+    from textloom.operators import learning as L
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(t):
+        seen.add(1)
+        return t
+
+    rows = spark.createDataFrame([(i, float(i % 2), ("cat dog" if i % 2 else "bond rate") + f" {i}") for i in range(40)], "id long, label double, text string")
+    out = L.cross_validate(rows.withColumn("text", told("text")), "complement_nb", "id", folds=3)
+    assert out.count() == 40 and out.where("label = prediction").count() == 40
+    assert seen.value == 40
