@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.operators import index
 
@@ -94,6 +96,18 @@ def test_an_index_follows_its_files(spark, tmp_path):
     assert {r["doc_id"] for r in index.of(spark, at).search(asked, 3).collect()} == {1, 5}
 
 
+def test_a_task_sorts_one_shard(spark, tmp_path):
+    """Buckets, and so tasks, hold a shard each: the largest does not grow with the number of shards."""
+    frame = spark.createDataFrame([(i, f"w{i % 7} w{i}") for i in range(600)], "doc_id long, text string")
+    made = index.build(frame, f"file://{tmp_path}/i", shard=20, block=10)
+    shards = spark.table(made.name).select("shard").distinct()
+    buckets = shards.groupBy(F.pmod(F.hash("shard"), F.lit(30))).count().collect()
+    assert len(buckets) == 30 and all(r["count"] == 1 for r in buckets)
+    at = [f.rsplit("_", 1)[1] for f in os.listdir(tmp_path / "i" / "postings") if f.endswith(".parquet")]
+    assert len(at) == len(set(at)) == 30  # a file a bucket
+    made.drop()
+
+
 def test_a_full_shard_fits_a_task():
     """Four tasks of an executor build full shards of documents with 230 different words within 2 GB of Python."""
     import subprocess
