@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -65,3 +68,43 @@ def test_any_model_is_asked_for_different_texts_alone(spark, tmp_path):
 def test_encoder_of_no_texts(spark):
     enc = N.fit(spark.createDataFrame([], "text string"), dimensions=2, columns=8, rounds=1)
     assert enc(["some", None]).shape == (2, 2)
+
+
+def plain(text, columns):
+    """Every word, pair and n-gram by itself."""
+    words = re.findall(r"\w+", (text or "").lower())
+    out = Counter(zlib.crc32(x.encode()) % columns for x in [*words, *map(" ".join, zip(words, words[1:]))])
+    for w in (f" {w} " for w in words):
+        out.update(columns + zlib.crc32(w[i : i + n].encode()) % columns for n in range(2, 6) for i in range(len(w) - n + 1))
+    return out
+
+
+def test_entries_are_those_of_single_words():
+    r = random.Random(3)
+    told = [*texts(), "a", "a b", "ab\x00c _ 12", "Größe a élan vital 中文 ab", "x" * 3000, "é" * 500]
+    told += ["".join(r.choices("ab cdé-", k=r.randrange(60))) for _ in range(200)]
+    for t in told:
+        for columns in (8, 64, 1 << 12, 1000):
+            assert N.counts(t, columns) == plain(t, columns)
+
+
+def test_texts_are_cut_once(spark, tmp_path):
+    """Frequencies, all rounds and the vectors are of stored entries; these go with the context."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(t):
+        seen.add(1)
+        return t
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "id long, text string").repartition(3)
+    read = df.select("id", F.udf(told, "string")("text").alias("text"))
+    enc = N.fit(read, dimensions=3, columns=64, rounds=4)
+    assert seen.value == len(texts())
+    with N.counted(df, columns=64) as made:
+        at = made.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(at)
+        again = N.fit_counted(made, dimensions=3, columns=64, rounds=4)
+        got = {r["id"]: r["vector"] for r in N.vectors(made, again).collect()}
+    assert not os.path.exists(at)
+    assert np.allclose(enc.projection, again.projection)
+    assert np.allclose([got[i] for i in range(len(texts()))], enc(texts()))
